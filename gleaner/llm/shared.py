@@ -1,50 +1,19 @@
-"""What the operators of this subpackage share: shared-folder tables, words, row keys."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.storage import shared_folder, written
+
+__all__ = ["SPACE_PATTERN", "WORD_PATTERN", "crc_bucket", "shared_folder", "text_or_empty", "written"]
+
 #: Java pattern of a word: a run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Java pattern of the white space between words.
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is missing, a local session gets a temporary folder;
-    any other session is refused, because its executors could not see one.
-    """
-    global _own_folder
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="gleaner-")
-    return "file://" + _own_folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again.
-
-    This cuts the lineage so that it survives lost executors, and fixes values
-    such as partition numbers that a second evaluation could deal differently.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

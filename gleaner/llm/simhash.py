@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.components import least_labels
+from gleaner.operators.graph import least_labels
 from gleaner.llm.shared import SPACE_PATTERN, text_or_empty, written
 
 SHINGLE = 4

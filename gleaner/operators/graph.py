@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import written
+from gleaner.storage import written
 
 MOST_ROUNDS = 60
 
