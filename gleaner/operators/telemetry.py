@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _line():
-    return Window.partitionBy("run_id").orderBy("at", "row_id")
+    return Window.partitionBy("run_id").orderBy("noted_at", "row_id")
 
 
 def interval_deltas(rows: DataFrame, counters: list[str]) -> DataFrame:
@@ -17,8 +17,8 @@ def interval_deltas(rows: DataFrame, counters: list[str]) -> DataFrame:
 
 def derived(rows: DataFrame) -> DataFrame:
     """Per row: microseconds since the one before (a second for the first), files per 1000 s, utilisation and backlog."""
-    before = F.lag("at").over(_line())
-    dt = F.when(before.isNull(), F.lit(1_000_000)).otherwise(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(before.cast("timestamp")))
+    before = F.lag("noted_at").over(_line())
+    dt = F.when(before.isNull(), F.lit(1_000_000)).otherwise(F.unix_micros(F.col("noted_at").cast("timestamp")) - F.unix_micros(before.cast("timestamp")))
     files = F.col("files") - F.coalesce(F.lag("files").over(_line()), F.col("files"))
     stepped = rows.select("run_id", "row_id", dt.alias("dt_us"), files.alias("new_files"), "active", "workers", "waiting", "queued")
     rate = F.when(F.col("dt_us") > 0, F.floor(F.col("new_files") * 1_000_000_000 / F.col("dt_us"))).otherwise(F.lit(0))
@@ -29,7 +29,7 @@ def stage_bands(rows: DataFrame) -> DataFrame:
     """Runs of one stage: run_id, stage, from and to the next one's beginning; an empty stage parts bands and is none."""
     change = F.when(F.lag("stage").over(_line()) == F.col("stage"), 0).otherwise(1)
     numbered = rows.withColumn("change", change).withColumn("island", F.sum("change").over(_line().rowsBetween(Window.unboundedPreceding, 0)))
-    bands = numbered.groupBy("run_id", "island", "stage").agg(F.min("at").alias("begins"), F.max("at").alias("last"), F.count("*").alias("rows"))
+    bands = numbered.groupBy("run_id", "island", "stage").agg(F.min("noted_at").alias("begins"), F.max("noted_at").alias("last"), F.count("*").alias("rows"))
     ends = F.coalesce(F.lead("begins").over(Window.partitionBy("run_id").orderBy("island")), F.col("last"))
     return bands.select("run_id", "island", "stage", "begins", ends.alias("ends"), "rows").filter("stage <> ''")
 

@@ -37,7 +37,7 @@ SELECT l.doc_id AS id, f.session_id, l.doc_id AS file_id, CASE WHEN toxic = 1 TH
 FROM {{labels}} l JOIN {{files}} f ON f.id = l.doc_id""",
     "soft_deletes": f"""
 SELECT event_id AS id, user_id % 2 + 1 AS session_id, event_id AS file_id, concat('/p/', cast(event_id AS STRING)) AS original_path,
-       {_DAY.format("event_id")} AS deleted_at, {_DAY.format("event_id + 1")} AS expires_at, CASE WHEN event_id % 5 = 0 THEN '2024-07-01' END AS recovered_at
+       {_DAY.format("event_id")} AS deleted_at, {_DAY.format("(event_id + 1)")} AS expires_at, CASE WHEN event_id % 5 = 0 THEN '2024-07-01' END AS recovered_at
 FROM {{events}} WHERE event_type IN ('error', 'purchase')""",
     "requests": f"""
 SELECT event_id AS id, user_id % 2 + 1 AS session_id, md5(cast(event_id % 97 AS STRING)) AS pixel_hash, concat('peer', cast(user_id % 7 AS STRING)) AS target_peer,
@@ -51,7 +51,7 @@ SELECT doc_id AS id, cast(substr(source, 4) AS BIGINT) AS peer_id, cast(doc_id A
 FROM {documents} WHERE doc_id % 3 = 0""",
     "local_files": "SELECT * FROM {files} WHERE id % 3 <> 0",
     "telemetry": """
-SELECT user_id AS run_id, event_id AS row_id, ts AS at, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS stage,
+SELECT user_id AS run_id, event_id AS row_id, ts AS noted_at, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS stage,
        event_id * 3 AS files, event_id % 9 AS active, cast(8 AS BIGINT) AS workers, event_id % 40 AS waiting, event_id % 7 AS queued, event_id * 2 AS lock_us
 FROM {events}""",
 }
@@ -76,9 +76,10 @@ def for_duckdb(query: str) -> str:
                 needed.append(n)
 
     visit(query)
-    plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t).strip()
+    plain = lambda t: re.sub(r"\{([a-z]\w*)\}", r"\1", t).strip()
     clauses = [f"{n} AS ({plain(SQL[n])})" for n in needed]
     body = plain(query)
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join([*clauses, body[5:]]) if clauses else body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return start + ", ".join([*clauses, body[len(start) :]])
     return ("WITH " + ", ".join(clauses) + "\n" if clauses else "") + body

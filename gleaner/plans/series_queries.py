@@ -18,7 +18,7 @@ def query(sql: str | None):
     return register
 
 
-_W = "(PARTITION BY run_id ORDER BY at, row_id)"
+_W = "(PARTITION BY run_id ORDER BY noted_at, row_id)"
 
 
 @query(f"SELECT run_id, row_id, lock_us - coalesce(lag(lock_us) OVER {_W}, 0) AS lock_us_delta, files - coalesce(lag(files) OVER {_W}, 0) AS files_delta FROM {{telemetry}}")
@@ -27,7 +27,7 @@ def telemetry_deltas(spark, d):
 
 
 _DERIVED = f"""
-WITH s AS (SELECT *, coalesce(epoch_us(at) - lag(epoch_us(at)) OVER {_W}, 1000000) AS dt_us, files - coalesce(lag(files) OVER {_W}, files) AS new_files FROM {{telemetry}}),
+WITH s AS (SELECT *, coalesce(epoch_us(noted_at) - lag(epoch_us(noted_at)) OVER {_W}, 1000000) AS dt_us, files - coalesce(lag(files) OVER {_W}, files) AS new_files FROM {{telemetry}}),
 derived AS (SELECT run_id, row_id, stage, dt_us, CASE WHEN dt_us > 0 THEN floor(new_files * 1000000000 / dt_us)::BIGINT ELSE 0 END AS files_per_1000s,
   least(floor(active * 100 / workers), 100)::BIGINT AS utilisation, waiting + queued AS backlog FROM s)"""
 
@@ -46,8 +46,8 @@ def telemetry_card(spark, d):
 
 @query(f"""
 WITH c AS (SELECT *, CASE WHEN lag(stage) OVER {_W} = stage THEN 0 ELSE 1 END AS change FROM {{telemetry}}),
-i AS (SELECT *, sum(change) OVER (PARTITION BY run_id ORDER BY at, row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM c),
-b AS (SELECT run_id, island, stage, min(at) AS begins, max(at) AS last, count(*) AS rows FROM i GROUP BY 1, 2, 3),
+i AS (SELECT *, sum(change) OVER (PARTITION BY run_id ORDER BY noted_at, row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM c),
+b AS (SELECT run_id, island, stage, min(noted_at) AS begins, max(noted_at) AS last, count(*) AS rows FROM i GROUP BY 1, 2, 3),
 e AS (SELECT *, coalesce(lead(begins) OVER (PARTITION BY run_id ORDER BY island), last) AS ends FROM b)
 SELECT run_id, island, stage, epoch_us(begins) AS begins, epoch_us(ends) AS ends, rows FROM e WHERE stage <> ''""")
 def telemetry_bands(spark, d):

@@ -27,8 +27,8 @@ prints AS (SELECT doc_id, ({_BITS}) AS bits FROM votes),
 mine AS (SELECT f.*, p.bits FROM {{files}} f JOIN prints p ON p.doc_id = f.id WHERE session_id = 1 AND status = 'active'),
 reps AS (SELECT id, pixel_hash, bits FROM mine WHERE pixel_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pixel_hash ORDER BY id) = 1),
 links AS (SELECT a.pixel_hash AS a, b.pixel_hash AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM reps a JOIN reps b ON a.pixel_hash < b.pixel_hash AND bit_count(xor(a.bits, b.bits)) <= 8)"""
-_GROUPS = ", both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT pixel_hash AS start, pixel_hash AS at FROM reps UNION SELECT r.start, b.b FROM reach r JOIN both_ways b ON b.a = r.at), " + """
-roots AS (SELECT start AS pixel_hash, min(at) AS root FROM reach GROUP BY 1 HAVING count(*) > 1),
+_GROUPS = ", both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT pixel_hash AS start, pixel_hash AS reached FROM reps UNION SELECT r.start, b.b FROM reach r JOIN both_ways b ON b.a = r.reached), " + """
+roots AS (SELECT start AS pixel_hash, min(reached) AS root FROM reach GROUP BY 1 HAVING count(*) > 1),
 members AS (SELECT l.id AS group_id, m.id AS file_id, m.pixel_hash, bit_count(xor(m.bits, l.bits))::INT AS distance, count(*) OVER (PARTITION BY l.id) AS member_count,
   m.size, m.width, m.height, m.modified_at, m.path FROM mine m JOIN roots r USING (pixel_hash) JOIN reps l ON l.pixel_hash = r.root)"""
 
