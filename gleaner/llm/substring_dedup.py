@@ -5,20 +5,22 @@ of consecutive edges that share a minimizer (the least hash among the word
 runs of MINIMIZER words inside the window) are nonbranching pieces of a path:
 equal text is cut into equal pieces wherever it stands. So
 
-1. each text is cut into pieces, a row each (a fifth of the windows), and
-   only pieces whose minimizer occurs in two rows of the table stay;
-2. of those, the edges are read from the text: a piece gets a digest of the
-   bytes of each of its edges;
-3. joins find each repeated edge's source coordinate, the place in the
-   document of least id in which it starts. Where all pieces of a minimizer
-   are equal, the piece is one path and is joined whole; else its edges are
-   joined one by one;
+1. each text is cut into pieces (a fifth of the windows), and a shuffle on the
+   minimizer, which tells no more than whether another document has it, leaves
+   those that may repeat;
+2. a shuffle on the digest of a piece's whole path finds the pieces that repeat
+   whole, and with them their source coordinate, the place in the document of
+   least id that has the path. Those links cover all edges of the piece;
+3. what is left are first occurrences. Where their minimizer has other paths
+   too, the graph branches there: their edges are joined one by one, on a
+   digest of the edge's own bytes;
 4. pieces and edges that lie behind one another both in the document and in
    its source are compacted into spans, and the words under them go.
 
-An edge matches its source on two hashes of its own: the minimizer's, and one
-over the bytes at the coordinates. Aggregates are map-side combined minima of
-plain numbers; nothing collects the occurrences of an edge, however frequent.
+Before each shuffle a slice of texts is combined: of rows with one key only
+those of the slice's least document are sent, the others are linked to it on
+the spot. So a passage that a third of all documents share costs a row per
+slice, and nothing collects the occurrences of an edge.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import text_or_empty
+from gleaner.llm.shared import text_or_empty, written
 
 K = 13
 MINIMIZER = 5
 #: Bytes of text, at least, that are cut at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -139,120 +141,206 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator
                 lo, size = i + 1, 0
 
 
+#: Minimizers keep so many bits; they only choose what is looked at, and do not decide.
+_M = np.uint64((1 << 48) - 1)
+#: Marks a row that is settled within its slice.
+_SETTLED = np.int64(-(1 << 63))
+
+
+def _places(batch: pa.RecordBatch, text: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """tag << 32 | window: where a piece starts, and in which of the rows with its id."""
+    return batch.column("tag").to_numpy().astype(np.int64)[text] << 32 | window
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) & _M).view(np.int64)
+
+
+def _least(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by group (increasing numbers) the index of the row of least id in each row's group, and that id."""
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    number = np.cumsum(np.append(True, group[1:] != group[:-1]))[: len(group)] - 1
+    order = np.lexsort((ids, number))
+    first = order[starts] if len(group) else starts
+    return first[number], ids[first][number]
+
+
 def _pieces(k: int, minimizer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches):
             cut = Cut(texts, k, minimizer)
-            keys = batch.column("row_key").to_numpy()[cut.text]
-            yield pa.RecordBatch.from_arrays([pa.array(cut.minimizer.view(np.int64)), pa.array(keys), pa.array(cut.window << 8 | cut.windows)], ["m", "row_key", "place"])
+            key = cut.minimizer & _M
+            order = np.lexsort((cut.text, key))
+            fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (cut.text[order][1:] != cut.text[order][:-1]))[: len(order)]
+            at = order[fresh]  # the first piece of each minimizer and text
+            m, ids = key[at].view(np.int64), batch.column("doc_id").to_numpy()[cut.text[at]]
+            place = _places(batch, cut.text[at], cut.window[at])
+            first, low = _least(m, ids)
+            again = np.zeros(len(at), np.bool_)
+            again[first[ids > low]] = True
+            shared = again[first]  # by two documents of this slice
+            send = ~shared | (first == np.arange(len(at)))
+            columns = (np.concatenate([m[send], _spread(ids[shared])]), np.concatenate([ids[send], ids[shared]]), np.concatenate([place[send], place[shared] | _SETTLED]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["deal", "doc_id", "place"])
 
     return run
 
 
-def _edges(k: int, minimizer: int):
+def _joined(cut: Cut) -> tuple[bytes, list[int], list[int]]:
+    """The words one space apart, so that an edge's bytes do not depend on the white space between, and where each starts and ends."""
+    lengths = cut.ends - cut.starts
+    ends = np.cumsum(lengths + 1) - 1
+    solid = ~_SPACE[cut.data]
+    flat = np.where(solid, cut.data, 32)[solid | np.concatenate([[False], solid[:-1]])].tobytes()
+    return flat, ends - lengths, ends
+
+
+_LINKS = "deal long, m long, doc_id long, place long, windows long, source_id long, source_start long"
+
+
+def _combined(batch: pa.RecordBatch, digest: np.ndarray, m: np.ndarray, text: np.ndarray, window: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    """Rows to be joined on (deal, m), or settled with a source in this slice."""
+    order = np.lexsort((m, digest))
+    digest, m, text, window, windows = (x[order] for x in (digest, m, text, window, windows))
+    ids = batch.column("doc_id").to_numpy()[text]
+    group = np.cumsum(np.append(True, (digest[1:] != digest[:-1]) | (m[1:] != m[:-1]))[: len(order)])
+    first, low = _least(group, ids)
+    settled = ids > low
+    place = np.where(settled, _places(batch, text, window) | _SETTLED, _places(batch, text, window))
+    deal = np.where(settled, _spread(ids), digest.view(np.int64))
+    m = np.where(settled, 0, m.view(np.int64))
+    columns = [pa.array(x) for x in (deal, m, ids, place, windows)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(low, mask=~settled), pa.array(window[first], mask=~settled)], [x.split()[0] for x in _LINKS.split(", ")])
+
+
+def _look(k: int, minimizer: int, single: bool):
+    """Digests of the asked pieces' paths, or of each of their edges.
+
+    asked holds a window of each minimizer that is asked for in a text, or,
+    for edges, the first window of each asked piece.
+    """
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _slices(b.filter(b.column("doc_id").is_valid()) for b in batches):
+        for batch, texts in _slices(batches):
             cut = Cut(texts, k, minimizer)
-            asked = batch.column("places")
             bounds = np.searchsorted(cut.text, np.arange(len(texts) + 1))
-            places = cut.window << 8 | cut.windows
-            chosen = np.concatenate([bounds[i] + np.flatnonzero(np.isin(places[bounds[i] : bounds[i + 1]], asked[i].values.to_numpy())) for i in range(len(texts))])
-            # words one space apart, so that an edge's bytes do not depend on the white space between
-            lengths = cut.ends - cut.starts
-            ends = np.cumsum(lengths + 1) - 1
-            starts = ends - lengths
-            solid = ~_SPACE[cut.data]
-            flat = np.where(solid, cut.data, 32)[solid | np.concatenate([[False], solid[:-1]])].tobytes()
-            first = cut.first[cut.text[chosen]] + cut.window[chosen]
-            counts = cut.windows[chosen]
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            word = np.repeat(first - offsets[:-1], counts) + np.arange(offsets[-1])
-            found = [digest(flat[a:b]) for a, b in zip(starts[word].tolist(), ends[word + k - 1].tolist(), strict=True)]
-            edges = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(found, np.uint64).view(np.int64)))
-            of = cut.text[chosen]
-            keys, ids = batch.column("row_key").to_numpy()[of], batch.column("doc_id").to_numpy()[of]
-            yield pa.RecordBatch.from_arrays([pa.array(cut.minimizer[chosen].view(np.int64)), pa.array(ids), pa.array(keys), pa.array(cut.window[chosen]), edges], ["m", "doc_id", "row_key", "start", "edges"])
+            chosen = []
+            for i, asked in enumerate(batch.column("asked")):
+                lo, hi = bounds[i], bounds[i + 1]
+                hit = np.isin(cut.window[lo:hi], asked.values.to_numpy())
+                if not single:
+                    hit = np.isin(cut.minimizer[lo:hi], cut.minimizer[lo:hi][hit])
+                chosen.append(lo + np.flatnonzero(hit))
+            at = np.concatenate(chosen)
+            flat, starts, ends = _joined(cut)
+            windows = cut.windows[at]
+            if single:
+                ahead = np.cumsum(windows) - windows
+                window = np.repeat(cut.window[at] - ahead, windows) + np.arange(windows.sum())
+                at, windows = np.repeat(at, windows), np.ones(len(window), np.int64)
+            else:
+                window = cut.window[at]
+            word = cut.first[cut.text[at]] + window
+            found = [digest(flat[a:b]) for a, b in zip(starts[word].tolist(), ends[word + windows + k - 2].tolist(), strict=True)]
+            yield _combined(batch, np.array(found, np.uint64), cut.minimizer[at] & _M, cut.text[at], window, windows)
 
     return run
 
 
 def _finish(k: int, keep_text: bool):
-    names = ["doc_id", "row_key", "n_words", "n_removed", "kept_sha256", "n_spans", "longest_span", "kept"]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "longest_span", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches):
             out = []
-            for i, text in enumerate(texts):
+            for text, spans in zip(texts, batch.column("spans"), strict=True):
                 words = text.split()
-                doc = batch.column("doc_id")[i].as_py()
-                spans = [s for s in batch.column("spans")[i].as_py() or [] if s["of"] == doc]
-                if spans:
+                kept, n_spans, longest = words, 0, 0
+                if spans.is_valid:
+                    start, windows = (spans.values.field(i).to_numpy() for i in range(2))
                     gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, [s["start"] for s in spans], 1)
-                    np.add.at(gone, [s["start"] + s["windows"] + k - 1 for s in spans], -1)
+                    np.add.at(gone, start, 1)
+                    np.add.at(gone, start + windows + k - 1, -1)
                     stays = np.cumsum(gone)[:-1] == 0
                     kept = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-                else:
-                    kept = words
+                    edge = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]).view(np.int8)))
+                    n_spans, longest = len(edge) // 2, int((edge[1::2] - edge[0::2]).max())
                 joined = b" ".join(kept)
-                longest = max((s["windows"] + k - 1 for s in spans), default=0)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), len(spans), longest, joined if keep_text else None))
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), n_spans, longest, joined if keep_text else None))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *columns[:-1], columns[-1].cast(pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns[:-1], columns[-1].cast(pa.string())], names)
 
     return run
 
 
+_ROW = ["doc_id", "tag"]
+
+
+def _asked(places: DataFrame) -> DataFrame:
+    """asked: the windows of each row, from rows (doc_id, place)."""
+    unpacked = places.select("doc_id", F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 63) - 1)), 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("w"))
+    return unpacked.groupBy(*_ROW).agg(F.collect_list("w").alias("asked")).hint("shuffle_hash")
+
+
+def _sourced(found: DataFrame) -> DataFrame:
+    """found with the first place, by document, of its (deal, m) as source where none is set."""
+    line = Window.partitionBy("deal", "m").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, 0)
+    settled = F.col("source_id").isNotNull()
+    with_first = found.repartition("deal").withColumns({"first_id": F.first("doc_id").over(line), "first_place": F.first("place").over(line)})
+    return with_first.select(
+        "deal", "m", "doc_id", "place", "windows", settled.alias("settled"), F.coalesce("source_id", "first_id").alias("source_id"),
+        F.when(settled, F.col("source_start")).otherwise(F.col("first_place").bitwiseAND(F.lit((1 << 32) - 1))).alias("source_start"),
+    )
+
+
 def repeated_spans(rows: DataFrame, dealt: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> DataFrame:
-    """From rows (row_key, doc_id, text): spans of windows that also start in a document of smaller id.
+    """From rows (doc_id, tag, text): spans of windows that also start in a document of smaller id.
 
-    dealt: the same rows, partitioned by row_key. Gives row_key, doc_id,
+    dealt: the same rows, partitioned by doc_id and tag. Gives doc_id, tag,
     source_id, shift (source_start - start), path, start, windows, source_start.
     """
-    pieces = rows.mapInArrow(_pieces(k, minimizer), "m long, row_key long, place long").repartition("m")
-    again = pieces.groupBy("m").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).filter("lo < hi").select("m")
-    asked = pieces.join(again.hint("shuffle_hash"), "m", "left_semi").groupBy("row_key").agg(F.collect_list("place").alias("places"))
-    edges = (
-        dealt.join(asked, "row_key")
-        .mapInArrow(_edges(k, minimizer), "m long, doc_id long, row_key long, start long, edges array<long>")
-        .repartition("m").withColumn("path", F.xxhash64("edges"))
-    )
-
-    def sources(df: DataFrame, *by: str) -> DataFrame:
-        return df.groupBy(*by).agg(
-            F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), F.min_by("start", "doc_id").alias("source_start"),
-            *([F.min("path").alias("path0"), F.max("path").alias("path1")] if "path" in df.columns else []),
-        ).filter("source_id < last_id").drop("last_id")
-
-    placed = edges.join(sources(edges, "m").hint("shuffle_hash"), "m")
-    paths = placed.filter("path0 = path1 AND doc_id > source_id").select("row_key", "doc_id", "start", F.size("edges").cast("long").alias("windows"), "source_id", "source_start")
-    single = placed.filter("path0 <> path1").select("m", "doc_id", "row_key", F.posexplode("edges").alias("i", "edge"), F.col("start").alias("s")).select("m", "edge", "doc_id", "row_key", (F.col("s") + F.col("i")).alias("start"))
-    loose = single.join(sources(single, "m", "edge"), ["m", "edge"]).filter("doc_id > source_id").select("row_key", "doc_id", "start", F.lit(1).cast("long").alias("windows"), "source_id", "source_start")
-    links = paths.unionByName(loose).repartition("row_key").withColumn("shift", F.col("source_start") - F.col("start"))
+    there = F.col("doc_id").isNotNull()
+    pieces = rows.filter(there).mapInArrow(_pieces(k, minimizer), "deal long, doc_id long, place long").repartition("deal")
+    line = Window.partitionBy("deal").orderBy("doc_id", "place")
+    near = pieces.withColumns({"before": F.lag("doc_id").over(line), "after": F.lead("doc_id").over(line)})
+    again = near.filter((F.col("place") < 0) | F.col("before").isNotNull() | F.col("after").isNotNull())
+    paths = dealt.join(_asked(again), _ROW).mapInArrow(_look(k, minimizer, False), _LINKS)
+    found = written(_sourced(paths), "paths")
+    # First occurrences whose minimizer has other paths too: there the graph branches.
+    firsts = found.filter("NOT settled AND doc_id = source_id").select("deal", "m", "doc_id", "place")
+    branching = written(firsts.groupBy("m").agg(F.min("deal").alias("lo"), F.max("deal").alias("hi")).filter("lo <> hi").select("m"), "branching")
+    edges = dealt.join(_asked(firsts.join(branching, "m")), _ROW).mapInArrow(_look(k, minimizer, True), _LINKS)
+    whole = ["doc_id", "place", "windows", "source_id", "source_start"]
+    links = found.filter("doc_id > source_id").select(*whole).unionByName(_sourced(edges).filter("doc_id > source_id").select(*whole))
+    unpacked = links.select(
+        "doc_id", F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 63) - 1)), 32).cast("int").alias("tag"),
+        F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "windows", "source_id", "source_start",
+    ).repartition(*_ROW).withColumn("shift", F.col("source_start") - F.col("start"))
     # Compaction: what follows its neighbour in document and source alike continues its path.
-    line = Window.partitionBy("row_key", "doc_id", "source_id", "shift").orderBy("start")
+    line = Window.partitionBy(*_ROW, "source_id", "shift").orderBy("start")
     end = F.col("start") + F.col("windows")
-    heads = links.withColumn("head", F.when(F.lag(end).over(line) >= F.col("start"), 0).otherwise(1))
+    heads = unpacked.withColumn("head", F.when(F.lag(end).over(line) >= F.col("start"), 0).otherwise(1))
     path = heads.withColumn("path", F.sum("head").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return path.groupBy("row_key", "doc_id", "source_id", "shift", "path").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("windows"), F.min("source_start").alias("source_start"))
+    return path.groupBy(*_ROW, "source_id", "shift", "path").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("windows"), F.min("source_start").alias("source_start"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, minimizer: int = MINIMIZER, keep_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, n_spans, longest_span, kept.
 
     A word goes if a window of k words over it also starts in a document of
-    smaller id; windows are judged on the input. kept (null unless keep_text)
-    is the words that stay, one space apart. Null text has no words, and a
-    text of fewer than k words keeps them all. Rows with a null id neither
-    lose words nor are a source. Rows that repeat an id are judged each on
-    its own text. An empty table gives no rows.
+    smaller id; windows are judged on the input. n_spans and longest_span are
+    the runs of words that went and the longest of them. kept (null unless
+    keep_text) is the words that stay, one space apart. Null text has no
+    words, and a text of fewer than k words keeps them all. Rows with a null
+    id neither lose words nor are a source. Rows that repeat an id are judged
+    each on its own text (told apart by 24 bits of its hash). An empty table
+    gives no rows.
     """
     whole = text_or_empty(text_col)
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), whole).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), whole.alias("text"))
-    dealt = rows.repartition("row_key")
-    spans = repeated_spans(rows, dealt, k, minimizer).groupBy("row_key").agg(F.collect_list(F.struct(F.col("doc_id").alias("of"), "start", "windows")).alias("spans"))
-    joined = dealt.join(spans, "row_key", "left")
-    schema = "doc_id long, row_key long, n_words long, n_removed long, kept_sha256 string, n_spans long, longest_span long, kept string"
-    return joined.mapInArrow(_finish(k, keep_text), schema).drop("row_key")
+    tag = F.xxhash64(whole).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), whole.alias("text"))
+    dealt = rows.repartition(*_ROW)
+    spans = repeated_spans(rows, dealt, k, minimizer).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    joined = dealt.join(spans.hint("shuffle_hash"), _ROW, "left")
+    return joined.mapInArrow(_finish(k, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, longest_span long, kept string")
