@@ -7,7 +7,7 @@ table, so scores of different shards compare and the merged top k is exact.
 In a shard documents lie in blocks of BLOCK_DOCS. For a query, postings of rare
 terms are summed for all documents; of common terms only the largest impact in
 each block is known at first. Both give an upper bound of every block, blocks
-are scored from the highest bound down, and the rest is skipped as soon as a
+are scored from the highest bound down, and the rest is skipped where a
 bound falls below the k-th best score (block-max WAND, a block at a time). To
 make bounds tight, documents are laid out by their most frequent terms.
 
@@ -31,6 +31,10 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_BYTES = 48 << 20
 BLOCK_DOCS = 64
+#: Shards of small input partitions are searched together, up to so many postings.
+GROUP_POSTINGS = 6_000_000
+#: Queries that are scored at once.
+BATCH_QUERIES = 64
 #: A term is common in a shard if it is in at least this share of its documents.
 COMMON = 1 / 16
 
@@ -115,85 +119,104 @@ class Shard:
         self.blocks = np.arange(0, n, BLOCK_DOCS)
         self.most = np.maximum.reduceat(self.dense, self.blocks, axis=0) if n else self.dense
 
-    def top(self, gids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Keys and scores of the k best documents that share a term (ties: least key), and how many blocks were scored."""
-        n = len(self.keys)
-        at = np.searchsorted(self.gids, gids)
-        here = at < len(self.gids)
-        here[here] = self.gids[at[here]] == gids[here]
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        column = self.column[at]
-        dense, w = column[column >= 0], weights[column >= 0]
-        rare, rw = at[column < 0], weights[column < 0]
-        lo, counts = self.start[rare], self.start[rare + 1] - self.start[rare]
-        ends = np.cumsum(counts)
-        index = np.repeat(lo - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        exact = np.bincount(self.doc[index], self.impact[index] * np.repeat(rw, counts), n)
-        bound = np.maximum.reduceat(exact, self.blocks) + self.most[:, dense] @ w
-        order = np.argsort(-bound, kind="stable")
-        best_k, best_s, done = np.zeros(0, np.int64), np.zeros(0), 0
-        step = 4
-        while done < len(order):
-            chosen = order[done : done + step]
-            chosen = chosen[bound[chosen] > 0]
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query (global terms, weights) keys and scores of the k best documents that share a term (ties: least key); and how many blocks were scored.
+
+        floors: scores below which a document does not matter to a query.
+        Bounds of all blocks come from one matrix product; the blocks of the
+        highest bounds are scored first, and later rounds score, block by
+        block, only for the queries whose k-th best score the bound reaches.
+        """
+        n, q, nb = len(self.keys), len(queries), len(self.blocks)
+        floors = np.zeros(q) if floors is None else floors.copy()
+        weights, exact = np.zeros((self.dense.shape[1], q)), np.zeros((n, q))
+        for j, (gids, w) in enumerate(queries):
+            at = np.searchsorted(self.gids, gids)
+            here = at < len(self.gids)
+            here[here] = self.gids[at[here]] == gids[here]
+            at, w = at[here], w[here]
+            column = self.column[at]
+            weights[column[column >= 0], j] = w[column >= 0]
+            rare, rw = at[column < 0], w[column < 0]
+            lo, counts = self.start[rare], self.start[rare + 1] - self.start[rare]
+            ends = np.cumsum(counts)
+            index = np.repeat(lo - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+            exact[:, j] = np.bincount(self.doc[index], self.impact[index] * np.repeat(rw, counts), n)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * q, 0
+        bound = np.maximum.reduceat(exact, self.blocks, axis=0) + self.most @ weights
+        order = np.argsort(-bound, axis=0, kind="stable")
+        score, open_, done = np.full((n, q), -1.0), bound > 0, 0
+        for lo, hi in ((0, 4), (4, 20), (20, nb)):
+            turn = np.zeros((nb, q), np.bool_)
+            np.put_along_axis(turn, order[lo:hi], True, axis=0)
             # a bound is a sum in another order than a score: allow for rounding
-            if len(best_s) == k:
-                chosen = chosen[bound[chosen] * (1 + 1e-9) >= best_s[-1]]
-            if not len(chosen):
-                break
-            docs = (self.blocks[chosen][:, None] + np.arange(BLOCK_DOCS)).ravel()
-            docs = docs[docs < n]
-            score = np.round(exact[docs] + self.dense[docs][:, dense] @ w, 9)
-            docs, score = docs[score > 0], score[score > 0]
-            keys, score = np.concatenate([best_k, self.keys[docs]]), np.concatenate([best_s, score])
-            if len(score) > 4 * k:
-                cut = np.partition(score, len(score) - k)[len(score) - k]
-                keys, score = keys[score >= cut], score[score >= cut]
-            first = np.lexsort((keys, -score))[:k]
-            best_k, best_s = keys[first], score[first]
-            done += len(chosen)
-            step = min(64, step * 2)
-        return best_k, best_s, done
+            turn &= open_ & (bound * (1 + 1e-9) + 1e-9 >= floors)
+            for b in np.flatnonzero(turn.any(axis=1)).tolist():
+                need = np.flatnonzero(turn[b])
+                rows = slice(b * BLOCK_DOCS, min(n, (b + 1) * BLOCK_DOCS))
+                score[rows, need] = np.round(exact[rows, need] + self.dense[rows] @ weights[:, need], 9)
+                done += len(need)
+            if n > k:
+                floors = np.maximum(floors, np.partition(score, n - k, axis=0)[n - k])
+        found = []
+        for j in range(q):
+            docs = np.flatnonzero((score[:, j] > 0) & (score[:, j] >= floors[j]))
+            first = docs[np.lexsort((self.keys[docs], -score[docs, j]))[:k]]
+            found.append((self.keys[first], score[first, j]))
+        return found, done
 
 
 def _search(n_docs: int, mean: float, k: int):
-    """Rows sorted by (shard, kind): words (key: global number), documents, then queries (ids: global numbers)."""
+    """Rows sorted by (grp, asks, shard, kind): a shard's words (key: global number) and documents, shard by shard, then the queries (ids: global numbers)."""
     names, types = ["query_id", "doc_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index = None, None
+        now: tuple = (None, None)
+        indexes: list[Shard] = []
         words: list[tuple] = []
         keys: list[int] = []
         docs: list[tuple] = []
 
-        def built() -> Shard:
-            number, gid, df = (np.concatenate(x) for x in zip(*words, strict=True)) if words else (np.zeros(0, np.int64),) * 3
-            gids, dfs = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-            gids[number], dfs[number] = gid, df
-            return Shard(np.array(keys, np.int64), docs, gids, dfs, n_docs, mean)
+        def build() -> None:
+            if keys:
+                number, gid, df = (np.concatenate(x) for x in zip(*words, strict=True)) if words else (np.zeros(0, np.int64),) * 3
+                gids, dfs = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+                gids[number], dfs[number] = gid, df
+                indexes.append(Shard(np.array(keys, np.int64), docs, gids, dfs, n_docs, mean))
+            words.clear()
+            keys.clear()
+            docs.clear()
 
         for batch in batches:
-            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])])).tolist()
+            groups, shards, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "shard", "kind"))
+            fresh = (groups[1:] != groups[:-1]) | (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])
+            cuts = np.flatnonzero(np.concatenate([[True], fresh])).tolist()
             for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 part = batch.slice(lo, hi - lo)
-                if shards[lo] != now:
-                    now, index, words, keys, docs = shards[lo], None, [], [], []
+                if (groups[lo], shards[lo]) != now:
+                    build()
+                    if groups[lo] != now[0]:
+                        indexes.clear()
+                    now = (groups[lo], shards[lo])
                 if kinds[lo] == 0:
                     words.append(tuple(part.column(c).to_numpy() for c in ("number", "key", "df")))
                 elif kinds[lo] == 1:
                     keys += part.column("key").to_pylist()
                     docs += [(np.frombuffer(i.as_py(), "<u4").astype(np.int64), np.frombuffer(c.as_py(), "<u4")) for i, c in zip(part.column("ids"), part.column("counts"), strict=True)]
                 else:
-                    if index is None:
-                        index, words, keys, docs = built(), [], [], []
-                    out: list[tuple] = []
-                    for q, ids, counts in zip(part.column("key").to_pylist(), part.column("ids"), part.column("counts"), strict=True):
-                        found, score, _ = index.top(np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(counts.as_py(), "<u4").astype(np.float64), k)
-                        out.append((np.full(len(found), q), found, score))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    for at in range(0, part.num_rows, BATCH_QUERIES):
+                        some = part.slice(at, BATCH_QUERIES)
+                        asked = [(np.frombuffer(i.as_py(), "<i8"), np.frombuffer(c.as_py(), "<u4").astype(np.float64)) for i, c in zip(some.column("ids"), some.column("counts"), strict=True)]
+                        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+                        for index in indexes:
+                            floors = np.array([s[-1] if len(s) == k else 0.0 for _, s in best])
+                            for j, (more, score) in enumerate(index.top(asked, k, floors)[0]):
+                                both, scores = np.concatenate([best[j][0], more]), np.concatenate([best[j][1], score])
+                                first = np.lexsort((both, -scores))[:k]
+                                best[j] = both[first], scores[first]
+                        out = [(np.full(len(found), qid), found, score) for qid, (found, score) in zip(some.column("key").to_pylist(), best, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
@@ -229,14 +252,19 @@ def search(docs: DataFrame, every: int = 50, k: int = TOP, id_col: str = "doc_id
     asked = found.filter(F.pmod("key", F.lit(every)) == 0).select("shard", "key", "ids", "counts")
     of = placed.select(F.col("shard").alias("of_shard"), "key", "number")
     queries = written(asked.groupBy("shard").cogroup(of.groupBy("of_shard")).applyInArrow(_global_ids, "key long, ids binary, counts binary"), "bm25-queries")
-    # One number per SHARD_BYTES of text: every query goes to every shard, which is what the query set asks for.
-    shards = [r["shard"] for r in found.select("shard").distinct().collect()]
-    each = queries.withColumn("shard", F.explode(F.array(*[F.lit(s).cast("long") for s in shards or [0]])))
-    empty = F.lit(None)
-    everything = (
-        placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", empty.cast("int").alias("number"), empty.cast("long").alias("df")))
-        .unionByName(each.select("shard", F.lit(2).alias("kind"), "key", "ids", "counts", empty.cast("int").alias("number"), empty.cast("long").alias("df")))
-    )
-    best = everything.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
+    # A row per shard: its index size says which shards are searched together. Every query goes to every group, which is what the query set asks for.
+    sizes = found.groupBy("shard").agg((F.sum(F.octet_length("ids")) / 4).cast("long").alias("postings")).orderBy("shard").collect()
+    of_group, group, held = [], 0, 0
+    for r in sizes:
+        if held and held + r["postings"] > GROUP_POSTINGS:
+            group, held = group + 1, 0
+        held += r["postings"]
+        of_group.append((r["shard"], group))
+    groups = F.broadcast(docs.sparkSession.createDataFrame(of_group, "shard long, grp int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    order = ["grp", "asks", "shard", "kind", "key", "ids", "counts", "number", "df"]
+    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"))).join(groups, "shard").withColumn("asks", F.lit(0)).select(*order)
+    asking = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(group)))).select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"))
+    best = indexed.unionByName(asking).repartition("grp").sortWithinPartitions("grp", "asks", "shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -69,5 +69,5 @@ def test_pruning_skips_blocks():
     df = np.bincount(np.concatenate([i for i, _ in docs]), minlength=1700)
     shard = bm25.Shard(np.arange(4000), docs, np.arange(1700), np.maximum(df, 1), 4000, 31.0)
     query = docs[17][0]
-    keys, scores, blocks = shard.top(query, np.ones(len(query)), 5)
+    [(keys, scores)], blocks = shard.top([(query, np.ones(len(query)))], 5)
     assert keys[0] == 17 and blocks < 63 and list(scores) == sorted(scores, reverse=True)
