@@ -95,20 +95,28 @@ class Shard:
         top = [int(gids[i[np.argmax(c)]]) if len(i) else -1 for i, c in docs]
         order = sorted(range(n), key=lambda d: (lead[d], top[d], lengths[d]))
         self.keys = keys[order]
-        term = np.concatenate([docs[d][0] for d in order]) if n else np.zeros(0, np.int64)
-        tf = np.concatenate([docs[d][1] for d in order]).astype(np.float64) if n else np.zeros(0)
-        doc = np.repeat(np.arange(n), [len(docs[d][0]) for d in order])
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths[order] / mean) if n else np.zeros(0)
-        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         by = np.argsort(gids, kind="stable")
         self.gids = gids[by]
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths[order] / mean) if n else np.zeros(0)
+        term = np.concatenate([docs[d][0] for d in order]) if n else np.zeros(0, np.uint32)
+        impact = np.concatenate([docs[d][1] for d in order]).astype(np.float64) if n else np.zeros(0)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(docs[d][0]) for d in order])
+        # in place, one temporary at a time: tf * (K1 + 1) / (tf + norm) * idf
+        scale = norm[doc]
+        scale += impact
+        np.divide(impact, scale, out=impact)
+        np.multiply(impact, K1 + 1, out=impact)
+        np.take(idf, term, out=scale)
+        np.multiply(impact, scale, out=impact)
+        del scale
         term = rank[term]
-        sort = np.lexsort((doc, term))
-        self.doc, self.impact = doc[sort], impact[sort]
-        self.start = np.searchsorted(term[sort], np.arange(len(gids) + 1))
+        sort = np.argsort(term, kind="stable").astype(np.int32)  # documents stay in order within a term
+        term, self.doc, self.impact = term[sort], doc[sort], impact[sort]
+        self.start = np.searchsorted(term, np.arange(len(gids) + 1))
+        del term, doc, impact, sort
         local = np.diff(self.start)
         common = np.flatnonzero(local >= max(8, COMMON * n))
         self.column = np.full(len(gids), -1, np.int64)
@@ -203,7 +211,7 @@ def _search(n_docs: int, mean: float, k: int):
                     words.append(tuple(part.column(c).to_numpy() for c in ("number", "key", "df")))
                 elif kinds[lo] == 1:
                     keys += part.column("key").to_pylist()
-                    docs += [(np.frombuffer(i.as_py(), "<u4").astype(np.int64), np.frombuffer(c.as_py(), "<u4")) for i, c in zip(part.column("ids"), part.column("counts"), strict=True)]
+                    docs += [(np.frombuffer(i.as_py(), "<u4"), np.frombuffer(c.as_py(), "<u4")) for i, c in zip(part.column("ids"), part.column("counts"), strict=True)]
                 else:
                     for at in range(0, part.num_rows, BATCH_QUERIES):
                         some = part.slice(at, BATCH_QUERIES)
