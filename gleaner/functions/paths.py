@@ -59,9 +59,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """B, KB, MB or GB in thousands, one decimal from KB on."""
+    """B, KB, MB or GB in thousands, one decimal from KB on; null stays null."""
     return (
-        F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
+        F.when(n.isNull(), F.lit(None))
+        .when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1_000_000, F.format_string("%.1f KB", n / 1000.0))
         .when(n < 1_000_000_000, F.format_string("%.1f MB", n / 1e6))
         .otherwise(F.format_string("%.1f GB", n / 1e9))
@@ -69,9 +70,10 @@ def size_text(n: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """B, KB, MB or GB in 1024s, one decimal from KB on."""
+    """B, KB, MB or GB in 1024s, one decimal from KB on; null stays null."""
     return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+        F.when(n.isNull(), F.lit(None))
+        .when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
         .when(n < 1024**3, F.format_string("%.1f MB", n / float(1024**2)))
         .otherwise(F.format_string("%.1f GB", n / float(1024**3)))
@@ -84,7 +86,7 @@ def percent(current: Column, total: Column) -> Column:
 
 def duration_text(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("long")
-    return F.when(whole < 60, F.format_string("%ds", whole)).otherwise(F.format_string("%dm %ds", F.floor(whole / 60), whole % 60))
+    return F.when(whole.isNull(), F.lit(None)).when(whole < 60, F.format_string("%ds", whole)).otherwise(F.format_string("%dm %ds", F.floor(whole / 60), whole % 60))
 
 
 def data_uri(content: Column, mime: str = "image/jpeg") -> Column:
