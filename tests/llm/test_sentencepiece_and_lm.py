@@ -103,9 +103,11 @@ def test_lm_hard_rows(spark):
 
 
 def test_lattice_is_a_distribution_over_words():
-    """No more than 1 over all words of a toy alphabet, whose longest ones hold little."""
+    """The sum over all words is the geometric series of the pieces that go on, after one that begins; longer words hold nearly nothing."""
     import itertools
 
     lattice = lm_score.Lattice(TOY)
-    total = sum(math.exp(lattice.forward("".join(w))) for n in range(9) for w in itertools.product("ab", repeat=n))
-    assert 0.1 < total <= 1 + 1e-9
+    begin, go_on = (sum(math.exp(x) for p, x in lattice.logs.items() if p.startswith("▁") is first) for first in (True, False))
+    total = sum(math.exp(lattice.forward("".join(w))) for n in range(10) for w in itertools.product("ab", repeat=n))
+    assert math.isclose(total, begin / (1 - go_on), rel_tol=1e-5) and total <= 1
+    assert math.isclose(begin + go_on + 256 * math.exp(lattice.byte) + lm_score.END_PROBABILITY, 1, rel_tol=1e-12)
