@@ -11,18 +11,22 @@ are scored from the highest bound down, and the rest is skipped where a
 bound falls below the k-th best score (block-max WAND, a block at a time). To
 make bounds tight, documents are laid out by their most frequent terms.
 
-Queries stream past a shard's index in batches; the index of one shard and a
-batch of queries is all that a task holds.
+Queries stream past the indexes of a group of shards in batches; those and a
+batch of queries is all that a task holds. The square root of the groups is
+searched first: a query's k-th best score there is its floor in the others,
+which name only documents that reach it. So each query gathers some
+2 * k * sqrt(groups) candidates rather than k from every group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.shared import text_or_empty, written
@@ -176,7 +180,7 @@ class Shard:
 
 
 def _search(n_docs: int, mean: float, k: int):
-    """Rows sorted by (grp, asks, shard, kind): a shard's words (key: global number) and documents, shard by shard, then the queries (ids: global numbers)."""
+    """Rows sorted by (grp, asks, shard, kind): a shard's words (key: global number) and documents, shard by shard, then the queries (ids: global numbers; floor: the score to reach)."""
     names, types = ["query_id", "doc_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +221,9 @@ def _search(n_docs: int, mean: float, k: int):
                         some = part.slice(at, BATCH_QUERIES)
                         asked = [(np.frombuffer(i.as_py(), "<i8"), np.frombuffer(c.as_py(), "<u4").astype(np.float64)) for i, c in zip(some.column("ids"), some.column("counts"), strict=True)]
                         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+                        least = some.column("floor").to_numpy()
                         for index in indexes:
-                            floors = np.array([s[-1] if len(s) == k else 0.0 for _, s in best])
+                            floors = np.maximum(least, [s[-1] if len(s) == k else 0.0 for _, s in best])
                             for j, (more, score) in enumerate(index.top(asked, k, floors)[0]):
                                 both, scores = np.concatenate([best[j][0], more]), np.concatenate([best[j][1], score])
                                 first = np.lexsort((both, -scores))[:k]
@@ -270,9 +275,21 @@ def search(docs: DataFrame, every: int = 50, k: int = TOP, id_col: str = "doc_id
         of_group.append((r["shard"], group))
     groups = F.broadcast(docs.sparkSession.createDataFrame(of_group, "shard long, grp int"))
     none = lambda kind: F.lit(None).cast(kind)
-    order = ["grp", "asks", "shard", "kind", "key", "ids", "counts", "number", "df"]
-    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"))).join(groups, "shard").withColumn("asks", F.lit(0)).select(*order)
-    asking = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(group)))).select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"))
-    best = indexed.unionByName(asking).repartition("grp").sortWithinPartitions("grp", "asks", "shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
+    order = ["grp", "asks", "shard", "kind", "key", "ids", "counts", "number", "df", "floor"]
+    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"))).join(groups, "shard").withColumn("asks", F.lit(0)).withColumn("floor", none("double")).select(*order)
+    step = math.ceil((group + 1) / math.ceil(math.sqrt(group + 1)))
+    first = F.pmod("grp", F.lit(step)) == 0
+
+    def searched(these: Column, queries: DataFrame) -> DataFrame:
+        """The k best of each of these groups for each query, as far as they reach its floor."""
+        asking = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(group)))).filter(these)
+        asking = asking.select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"), "floor")
+        return indexed.filter(these).unionByName(asking).repartition("grp").sortWithinPartitions("grp", "asks", "shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    best = searched(first, queries.withColumn("floor", F.lit(0.0)))
+    if step > 1:
+        best = written(best, "bm25-first")
+        kth = best.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").alias("floor"))
+        best = best.unionByName(searched(~first, queries.join(kth, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
