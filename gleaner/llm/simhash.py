@@ -234,7 +234,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that repeat that id, the one with the least text hash stays; rows
     without an id stay only if their whole component has none.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay by found (doc_id, component_id), as drop_near_copies has it."""
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
     again = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.regexp_replace(text_or_empty(text_col), SPACE_PATTERN, " "))))
