@@ -97,8 +97,7 @@ SELECT id, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '
 FROM {files} WHERE size < 1000000 OR size IS NULL""")
 def path_functions(spark, d):
     p, n = F.col("path"), F.col("size")
-    files = load(spark, d, "files").filter("size < 1000000 OR size IS NULL")
-    return files.select(
+    return load(spark, d, "files").select(
         "id", paths.parent(p).alias("folder"), paths.basename(p).alias("name"), paths.depth(p).cast("long").alias("depth"), paths.trash_name(p).alias("flat"),
         paths.size_text(n).alias("size_text"), paths.bytes_text(n).alias("bytes_text"), F.coalesce("pixel_hash", F.lit("")).rlike(paths.HASH_FORM).alias("well_formed"),
         paths.algorithm(F.col("pixel_hash")).alias("algorithm"), paths.duration_text(F.col("id")).alias("duration"),
