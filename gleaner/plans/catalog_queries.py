@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import paths
-from gleaner.operators import duplicates, peers, plan, ranking
+from gleaner.operators import duplicates, peers, plan, ranking, similarity
 from gleaner.plans.domain import load
+from gleaner.plans.similarity_queries import _files
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -181,8 +182,8 @@ def recoverable_bytes(spark, d):
 SELECT (SELECT count(*) FROM {files} WHERE session_id = 1) AS total_files, (SELECT count(*) FROM g) AS duplicate_groups, (SELECT coalesce(sum(n), 0) FROM g)::BIGINT AS duplicate_files,
        (SELECT coalesce(sum(bytes), 0) FROM g)::BIGINT AS recoverable_bytes, 0::BIGINT AS similarity_groups""")
 def scan_summary(spark, d):
-    none = spark.createDataFrame([], "id long, session_id long")
-    return duplicates.scan_summary(load(spark, d, "files"), 1, none)
+    near = similarity.group_table(similarity.similarity_groups(_files(spark, d), 1), 1)
+    return duplicates.scan_summary(load(spark, d, "files"), 1, near)
 
 
 @query("""SELECT s.id, s.name, s.status, (SELECT count(*) FROM {session_folders} f WHERE f.session_id = s.id) AS folder_count, (SELECT count(*) FROM {files} f WHERE f.session_id = s.id) AS file_count

@@ -14,3 +14,9 @@ def test_path_functions_keeps_large_files(spark, tmp_path):
     got = {r.id: (r.size_text, r.bytes_text) for r in registry.QUERIES["path_functions"](spark, d).collect()}
     assert set(got) == {i for i, _ in sizes}
     assert got[3][0] == "1.0 MB" and got[4] == ("3.1 MB", "3.0 MB") and got[5] == ("5.4 GB", "5.0 GB")
+
+
+def test_scan_summary_counts_similarity_groups(spark, sf_dir):
+    groups = registry.QUERIES["similarity_group_list"](spark, sf_dir).count()
+    assert groups > 0
+    assert registry.QUERIES["scan_summary"](spark, sf_dir).first().similarity_groups == groups
