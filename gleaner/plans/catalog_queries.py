@@ -170,7 +170,7 @@ WITH marked AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) O
   WHERE session_id = 1 AND status = 'active' AND pixel_hash IS NOT NULL)
 SELECT folder, count(*) AS files FROM marked GROUP BY 1 HAVING bool_and(again)""")
 def fully_duplicated_folders(spark, d):
-    return duplicates.fully_duplicated_folders(load(spark, d, "local_files"), 1)
+    return duplicates.fully_duplicated_folders(load(spark, d, "files"), 1)
 
 
 @query(_DUPLICATES + " SELECT pixel_hash, hash_algorithm, count(*) AS file_count, coalesce(sum(size) FILTER (size > 0) - max(size) FILTER (size > 0), 0)::BIGINT AS recoverable_bytes FROM dup GROUP BY 1, 2")

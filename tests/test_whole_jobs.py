@@ -16,6 +16,14 @@ def test_path_functions_keeps_large_files(spark, tmp_path):
     assert got[3][0] == "1.0 MB" and got[4] == ("3.1 MB", "3.0 MB") and got[5] == ("5.4 GB", "5.0 GB")
 
 
+def test_fully_duplicated_folders_sees_every_file(spark, tmp_path):
+    # /en/src1: copies with ids 3 and 6 make it whole; /en/src2: the unique file with id 9 disqualifies it.
+    rows = [(3, "a", "src1"), (6, "a", "src1"), (7, "b", "src2"), (8, "b", "src2"), (9, "only", "src2")]
+    d = documents(spark, tmp_path, [(i, t, "en", s, 1) for i, t, s in rows])
+    got = registry.QUERIES["fully_duplicated_folders"](spark, d).collect()
+    assert [(r.folder, r["files"]) for r in got] == [("/en/src1", 2)]
+
+
 def test_scan_summary_counts_similarity_groups(spark, sf_dir):
     groups = registry.QUERIES["similarity_group_list"](spark, sf_dir).count()
     assert groups > 0
