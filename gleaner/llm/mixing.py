@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import WORD_PATTERN, text_or_empty, written
+from gleaner.llm.shared import WORD_PATTERN, null_safe, text_or_empty, whole_row, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -28,7 +28,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     its source's size; what is cut off is shared again by weight. The fixed
     point of that is target = min(most * size, level * weight): with sources
     in order of most * size / weight, the capped ones are a prefix of it.
-    The windows run over one row per source, not over documents.
+    The windows run over one row per source, not over documents, and in one
+    task: sources are names that someone weighs, some millions at most.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -80,17 +81,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it.
+    """The rows of docs, all columns whatever their names, each as often as the mix takes it.
 
     Rows that repeat a doc_id are told apart by their size alone; of several
-    with one id and one size, each gets the copies of one of them.
+    with one id and one size, each gets the copies of one of them. Null texts
+    have no words; an empty table gives no rows.
     """
-    drawn = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0")
-    same = Window.partitionBy("__id", "__size", "__src")
-    key = drawn.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__src"), "copies")
-    numbered = key.withColumn("__k", F.row_number().over(same.orderBy("copies")))
-    sized = docs.withColumn("__words", F.regexp_count(text_or_empty(text_col), F.lit(WORD_PATTERN)).cast("long"))
-    mine = sized.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__words", source_col).orderBy(F.xxhash64(text_or_empty(text_col)))))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & F.col(source_col).eqNullSafe(F.col("__src")) & (F.col("__n") == F.col("__k"))
-    taken = mine.join(numbered, on)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    key = ["key", "none", "words", "of", "unsourced"]
+    source = null_safe(source_col, "string", ("of", "unsourced"))
+    drawn = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").select(*null_safe("doc_id"), F.col("size").alias("words"), *null_safe("source", "string", ("of", "unsourced")), "copies")
+    numbered = drawn.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
+    words = F.regexp_count(text_or_empty(text_col), F.lit(WORD_PATTERN)).cast("long").alias("words")
+    rows = docs.select(whole_row(docs), *null_safe(id_col), words, *source, F.xxhash64(text_or_empty(text_col)).alias("order"))
+    mine = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("order")))
+    # n = k is tested on the joined row, so that the join lies as both windows do and texts move once.
+    taken = mine.join(numbered, key).filter(F.col("n") - F.col("k") == 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -30,6 +30,8 @@ LEVEL = 3
 DICTIONARY_BYTES = 128 << 10
 SAMPLE = 2000
 SAMPLE_CHUNKS = 16
+#: Rows that are scored at once.
+SLICE_ROWS = 256
 #: Of a sampled class, this share calibrates and builds no dictionary.
 CALIBRATION_SHARE = 0.33
 HELD_OUT_OF, HELD_OUT = 3, 1
@@ -68,8 +70,8 @@ def _features(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = _compressor(model.good), _compressor(model.bad)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
                 texts = part.column("text").cast(pa.large_binary())
                 found = [feature(t.as_py() or b"", good, bad) for t in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -80,22 +82,34 @@ def _features(model: QualityModel):
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, score, feature. Null text is empty text, whose feature is 0."""
+    """One row per input row: doc_id, score, feature. Null text is empty text, whose feature is 0.
+
+    Every byte of a text is compressed, however long it is. Repeated rows score
+    alike; an empty table gives no rows; other columns are no inputs.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_features(model), "doc_id long, score double, feature double")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that score at least 0.5. No shuffle: rows are filtered where they lie."""
-    schema = docs.schema
+    """The rows of docs, all columns whatever their names, that score at least 0.5.
+
+    Nulls and empty texts score by the curve at feature 0. Repeated rows are
+    kept or go alike; an empty table gives no rows. No shuffle: rows are
+    filtered where they lie, a slice at a time.
+    """
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = _compressor(model.good), _compressor(model.bad)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary())
-            yield batch.filter(pa.array([model.score(feature(t.as_py() or b"", good, bad)) >= 0.5 for t in texts], pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                texts = (t.as_py() for t in part.column(at).cast(pa.large_binary()))
+                yield part.filter(pa.array([model.score(feature(t or b"", good, bad)) >= 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

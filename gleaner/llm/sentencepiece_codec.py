@@ -12,8 +12,9 @@ links name every piece that ends there, and each relaxes that position.
   keep. Ids equal those of the sentencepiece library.
 
 No piece has a space mark after another character, so a text falls into
-segments at its spaces that are encoded alone; each is encoded once per worker
-and looked up after that.
+segments at its spaces that are encoded alone; frequent ones are encoded once
+per task and looked up after that. What a task remembers is bounded (some 30 MB)
+and goes with it.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.pieces import SPACE, Vocabulary
 from gleaner.llm.shared import text_or_empty
 
-#: Segments that a worker remembers in each of two generations, and the longest it does, in characters.
-REMEMBERED, LONGEST = 500_000, 48
+#: Segments that a task remembers in each of two generations, the longest it does, in characters, and pairs of pieces.
+REMEMBERED, LONGEST, PAIRS = 50_000, 48, 100_000
 #: Segments of a text with runs of spaces; new lines are in no piece of most models.
 _SEGMENT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -83,7 +84,7 @@ class Codec(dict):
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -178,24 +179,17 @@ class Codec(dict):
         return self.bytes[index].tobytes()[1:]
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """This worker's codec for a broadcast vocabulary."""
-    key = shared.value.unknown, len(shared.value.ids), hash(frozenset(shared.value.scores.items()))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
-
-
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids (array of int). Null and empty texts have none."""
+    """One row per input row: doc_id, ids (array of int). Null and empty texts have none.
+
+    Repeated rows give repeated results, an empty table none; other columns,
+    whatever their names, are ignored. A text is encoded whole, segment by
+    segment, however long it is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = Codec(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -212,7 +206,7 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = Codec(shared.value)
         for batch in batches:
             texts = [codec.decode(np.array(x.as_py() or [], np.int64)).decode(errors="replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -224,13 +218,15 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
     """One row per input row: doc_id, n_chars, n_tokens, n_byte_tokens, ids_sha256, round_trip.
 
     ids_sha256 is over the ids as little-endian int32; round_trip says that
-    decoding them gave the text back (a space mark counts as a space).
+    decoding them gave the text back (a space mark counts as a space). Null
+    text is empty text; repeated rows give repeated results, an empty table
+    none; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "doc_id long, n_chars long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = Codec(shared.value)
         is_byte = np.zeros(len(codec.lengths), np.bool_)
         is_byte[list(shared.value.byte_ids)] = True
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.graph import least_labels
-from gleaner.llm.shared import SPACE_PATTERN, text_or_empty, written
+from gleaner.llm.shared import SPACE_PATTERN, null_safe, text_or_empty, whole_row, written
 
 SHINGLE = 4
 SEED = 42
@@ -52,19 +52,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    votes = np.zeros(64, np.int64)
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
-    for lo in range(0, n, 1 << 16):
-        hi = min(n, lo + (1 << 16))
-        pairs = zip(starts[lo:hi].tolist(), ends[lo + shingle - 1 : hi + shingle - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], ">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > n)
-    return int.from_bytes(bits.tobytes(), "big")
+    pairs = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n))
+
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the (unsigned) hashes; 0 for none."""
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        part = hashes[lo : lo + (1 << 16)].astype(">u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
-def _signed(x: int) -> int:
+
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -74,7 +77,7 @@ def _fingerprints(shingle: int):
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 texts = part.column("text").cast(pa.large_binary())
-                found = [_signed(fingerprint(t.as_py() or b"", shingle)) for t in texts]
+                found = [signed(fingerprint(t.as_py() or b"", shingle)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return run
@@ -93,35 +96,41 @@ def block_masks(blocks: int, most_bits: int) -> list[int]:
     return [sum(c) for c in combinations(one, blocks - most_bits)]
 
 
-def trie_links(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that join, over each group, all fingerprints which differ in at most `budget` bits.
+def _leaves(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, labels: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of fingerprints of one group that differ in at most `budget` bits, some at a time.
 
     fps: unsigned, sorted within each group; groups are runs [start, end).
     The frontier holds pairs of trie nodes (runs that share a prefix) and the
     bits in which their prefixes differ. A frontier of more than MOST_PAIRS is
-    split and its parts go down one after the other; links found are reduced
-    to a spanning forest each time there are that many.
+    split and its parts go down one after the other.
+
+    Without labels the fingerprints of a group are distinct. With labels they
+    may be equal, and only pairs of different labels are given; a pair of
+    nodes is dropped as soon as both hold one label only, the same, so a large
+    set of copies that are linked already costs little.
     """
+    change = None if labels is None else np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
     many = ends - starts > 1
     ones: dict[int, np.ndarray] = {}
     stack = [(63, starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), np.int64))]
-    found_i, found_j, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while stack:
         bit, a0, a1, b0, b1, diff = stack.pop()
+        if change is not None:
+            apart = (change[a1 - 1] != change[a0]) | (change[b1 - 1] != change[b0]) | (labels[a0] != labels[b0])
+            a0, a1, b0, b1, diff = (x[apart] for x in (a0, a1, b0, b1, diff))
         if not len(a0):
             continue
-        if bit < 0:  # leaves, of one value each
-            found_i.append(np.minimum(a0, b0))
-            found_j.append(np.maximum(a0, b0))
-            found += len(a0)
-            if found > MOST_PAIRS:
-                i, j = _forest(np.concatenate(found_i), np.concatenate(found_j), len(fps))
-                found_i, found_j, found = [i], [j], 0
-            continue
         if len(a0) > MOST_PAIRS:
             half = len(a0) // 2
             stack += [(bit, *(x[:half] for x in (a0, a1, b0, b1, diff))), (bit, *(x[half:] for x in (a0, a1, b0, b1, diff)))]
             continue
+        if bit < 0:  # leaves, of one value each
+            if change is not None:
+                a0, b0 = _spelled(a0, a1, b0, b1)
+                differ = labels[a0] != labels[b0]
+                a0, b0 = a0[differ], b0[differ]
+            yield np.minimum(a0, b0), np.maximum(a0, b0)
+            continue
         if bit not in ones:
             ones[bit] = np.concatenate([[0], np.cumsum((fps & (np.uint64(1) << np.uint64(bit))) != 0)])
         one = ones[bit]
@@ -138,9 +147,39 @@ def trie_links(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: in
             ok &= ~((x0 == y0) & (x1 == y1) & (x1 - x0 == 1))  # a leaf with itself
             kept.append((x0[ok], x1[ok], y0[ok], y1[ok], diff[ok] + more))
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*kept, strict=True))))
+
+
+def trie_links(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join, over each group, all (distinct) fingerprints within the budget.
+
+    Links are reduced to a spanning forest each time there are MOST_PAIRS of them.
+    """
+    found_i, found_j, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i, j in _leaves(fps, starts, ends, budget, None):
+        found_i.append(i)
+        found_j.append(j)
+        found += len(i)
+        if found > MOST_PAIRS:
+            i, j = _forest(np.concatenate(found_i), np.concatenate(found_j), len(fps))
+            found_i, found_j, found = [i], [j], 0
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs of different labels within the budget, some at a time; fingerprints may be equal."""
+    return _leaves(fps, starts, ends, budget, labels)
+
+
+def _spelled(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs of runs [a0, a1) x [b0, b1), of a run with itself each pair once."""
+    width, count = b1 - b0, (a1 - a0) * (b1 - b0)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    width, same = np.repeat(width, count), np.repeat(a0 == b0, count)
+    i, j = np.repeat(a0, count) + k // np.maximum(width, 1), np.repeat(b0, count) + k % np.maximum(width, 1)
+    once = ~same | (i < j)
+    return i[once], j[once]
+
+
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join the components of the links (i, j) over n nodes: every node to its least one."""
     label = np.arange(n)
@@ -160,35 +199,57 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return label[nodes], nodes
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], least: int = BATCH_NODES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows that come sorted by the first one, `least` rows or more at a time, no group being cut."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy() for c in columns))
+        rows += batch.num_rows
+        if rows >= least:
+            found = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            groups = found[0]
+            cut = int(np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))[-1])  # where the last group begins
+            if cut:
+                yield tuple(x[:cut] for x in found)
+            held, rows = [tuple(x[cut:] for x in found)], rows - cut
+    if rows:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def by_group(groups: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows that sorts unsigned fingerprints within each group (groups stay in place), and where groups start and end."""
+    fresh = np.concatenate([[True], groups[1:] != groups[:-1]])
+    starts = np.flatnonzero(fresh)
+    return np.lexsort((fps.view(np.uint64), fresh.cumsum())), starts, np.append(starts[1:], len(fps))
+
+
 def _join_groups(budget: int):
     """Rows (grp, fp) come sorted by grp. Gives links (a, b) that join each group's near pairs."""
 
-    def links(groups: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        fresh = np.concatenate([[True], groups[1:] != groups[:-1]])
-        order = np.lexsort((fps.view(np.uint64), fresh.cumsum()))  # Spark's order is that of signed values
-        fps = fps[order]
-        starts = np.flatnonzero(fresh)
-        i, j = trie_links(fps.view(np.uint64), starts, np.append(starts[1:], len(fps)), budget)
-        low, high = _forest(i, j, len(fps))
-        return pa.RecordBatch.from_arrays([pa.array(fps[low]), pa.array(fps[high])], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append((batch.column("grp").to_numpy(), batch.column("fp").to_numpy()))
-            rows += batch.num_rows
-            if rows >= BATCH_NODES:
-                groups, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))[-1])  # where the last group begins
-                if cut:
-                    yield links(groups[:cut], fps[:cut])
-                held, rows = [(groups[cut:], fps[cut:])], rows - cut
-        if rows:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for groups, fps in whole_groups(batches, ("grp", "fp")):
+            order, starts, ends = by_group(groups, fps)
+            fps = fps[order]
+            i, j = trie_links(fps.view(np.uint64), starts, ends, budget)
+            low, high = _forest(i, j, len(fps))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[low]), pa.array(fps[high])], ["a", "b"])
 
     return run
 
 
+def in_chunks(keyed: DataFrame, key: list[str], item: str, chunk: int) -> DataFrame:
+    """keyed with the group `grp` in which a row meets the others of its key; keys of one row fall out.
+
+    A key within the bound is one group; else its items are dealt to chunks,
+    and a chunk meets every chunk, itself included, in a group of their own.
+    """
+    sizes = keyed.groupBy(*key).agg(F.count("*").alias("n_of_key")).filter("n_of_key > 1")
+    mine = F.pmod(F.xxhash64(F.lit(7), item), F.col("chunks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("x"), F.greatest(k, F.col("mine")).alias("y")))
+    dealt = keyed.join(sizes, key).withColumn("chunks", F.ceil(F.col("n_of_key") / F.lit(chunk)).cast("int")).withColumn("mine", mine).withColumn("pair", F.explode(meets))
+    return dealt.withColumn("grp", F.xxhash64(*key, "pair.x", "pair.y"))
+
+
 def near_links(distinct: DataFrame, most_bits: int = MOST_BITS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """From distinct fingerprints (fp): links (a, b) that join all that are within most_bits of one another.
 
@@ -199,14 +260,7 @@ def near_links(distinct: DataFrame, most_bits: int = MOST_BITS, blocks: int = BL
         raise ValueError("blocks must exceed most_bits")
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, most_bits)]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
-    sizes = keyed.groupBy("choice", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    grouped = keyed.join(sizes, ["choice", "value"])
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("chunks")).cast("int")
-    # A group within the bound is one task's; else a chunk meets every chunk, itself included.
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("x"), F.greatest(k, F.col("mine")).alias("y")))
-    dealt = grouped.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("pair", F.explode(meets))
-    groups = dealt.select(F.xxhash64("choice", "value", "pair.x", "pair.y").alias("grp"), "fp")
+    groups = in_chunks(keyed, ["choice", "value"], "fp", chunk).select("grp", "fp")
     return groups.repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(_join_groups(most_bits), "a long, b long")
 
 
@@ -220,11 +274,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share a component; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = written(least_labels(near_links(prints.select("fp").distinct(), most_bits, blocks)), "roots")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labels = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(labels, "root").select("fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = written(least_labels(near_links(nodes.select("fp"), most_bits, blocks)), "roots")
+    # Tables are written before they are joined: only so does Spark split a hot key of a join.
+    rooted = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    labels = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "labels")
+    of = written(rooted.join(labels, "root").select("fp", "component_id"), "components")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -239,7 +294,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay by found (doc_id, component_id), as drop_near_copies has it."""
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    again = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.regexp_replace(text_or_empty(text_col), SPACE_PATTERN, " "))))
-    return kept.withColumn("__again", again).filter("__again = 1").select(*docs.columns)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*null_safe("doc_id")).distinct()
+    rows = docs.select(whole_row(docs), *null_safe(id_col, "long"), F.xxhash64(F.regexp_replace(text_or_empty(text_col), SPACE_PATTERN, " ")).alias("order"))
+    kept = rows.join(stay, ["key", "none"], "left_semi")  # the window below lies as this join does: texts move once
+    again = F.row_number().over(Window.partitionBy("key", "none").orderBy("order"))
+    return kept.withColumn("again", again).filter("again = 1").select("row.*")

@@ -67,14 +67,14 @@ def test_dense_and_chunked_groups_lose_no_link(spark):
             prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))))
     prints |= {rng.getrandbits(64) for _ in range(200)} | {0, 1, 3, 7, 15, 31, (1 << 64) - 1, 1 << 63}
     prints = sorted(prints)
-    signed = spark.createDataFrame([(simhash._signed(f),) for f in prints], "fp long")
+    signed = spark.createDataFrame([(simhash.signed(f),) for f in prints], "fp long")
     for chunk in (7, 2048):
         links = simhash.near_links(signed, chunk=chunk)
         assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 64 for r in links.collect())
         roots = {r.node: r.root for r in components.least_labels(links).collect()}
         by_root = {}
         for f in prints:
-            s = simhash._signed(f)
+            s = simhash.signed(f)
             by_root.setdefault(roots.get(s, s), set()).add(f)
         want = {}
         for i, f, c in plain_components(list(enumerate(prints))):
