@@ -13,8 +13,8 @@ links name every piece that ends there, and each relaxes that position.
 
 No piece has a space mark after another character, so a text falls into
 segments at its spaces that are encoded alone; frequent ones are encoded once
-per task and looked up after that. What a task remembers is bounded (some 30 MB)
-and goes with it.
+per worker and looked up after that. What a worker remembers is bounded (some
+45 MB).
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.pieces import SPACE, Vocabulary
 from gleaner.llm.shared import text_or_empty
 
-#: Segments that a task remembers in each of two generations, the longest it does, in characters, and pairs of pieces.
-REMEMBERED, LONGEST, PAIRS = 50_000, 48, 100_000
+#: Segments that a worker remembers in each of two generations, the longest it does, in characters, and pairs of pieces.
+REMEMBERED, LONGEST, PAIRS = 150_000, 48, 300_000
 #: Segments of a text with runs of spaces; new lines are in no piece of most models.
 _SEGMENT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -179,6 +179,18 @@ class Codec(dict):
         return self.bytes[index].tobytes()[1:]
 
 
+_codecs: dict[tuple, Codec] = {}
+
+
+def _codec(shared) -> Codec:
+    """This worker's codec for a broadcast vocabulary."""
+    key = shared.value.unknown, len(shared.value.ids), hash(frozenset(shared.value.scores.items()))
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(shared.value)
+    return _codecs[key]
+
+
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (array of int). Null and empty texts have none.
 
@@ -189,7 +201,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -206,7 +218,7 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             texts = [codec.decode(np.array(x.as_py() or [], np.int64)).decode(errors="replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -226,7 +238,7 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
     schema = "doc_id long, n_chars long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared)
         is_byte = np.zeros(len(codec.lengths), np.bool_)
         is_byte[list(shared.value.byte_ids)] = True
         for batch in batches:
