@@ -15,7 +15,11 @@ equal text is cut into equal pieces wherever it stands. So
    too, the graph branches there: their edges are joined one by one, on a
    digest of the edge's own bytes;
 4. pieces and edges that lie behind one another both in the document and in
-   its source are compacted into spans, and the words under them go.
+   its source are compacted into spans, and the words under them go;
+5. spans are verified: in SEGMENT words at a time the SHA-256 of the words is
+   taken at the document's coordinates and at the source's, and a join compares
+   them. Should one differ, two paths shared a digest, and the search is done
+   again with another seed.
 
 Before each shuffle a slice of texts is combined: of rows with one key only
 those of the slice's least document are sent, the others are linked to it on
@@ -31,13 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.shared import text_or_empty, written
 
 K = 13
 MINIMIZER = 5
+#: Words, at most, that are compared at once; seeds that are tried at most.
+SEGMENT, TRIES = 64, 4
 #: Bytes of text, at least, that are cut at once.
 SLICE_BYTES = 2 << 20
 
@@ -195,7 +201,7 @@ def _joined(cut: Cut) -> tuple[bytes, list[int], list[int]]:
     return flat, ends - lengths, ends
 
 
-_LINKS = "deal long, m long, doc_id long, place long, windows long, source_id long, source_start long"
+_LINKS = "deal long, m long, doc_id long, place long, windows long, source_id long, source_place long"
 
 
 def _combined(batch: pa.RecordBatch, digest: np.ndarray, m: np.ndarray, text: np.ndarray, window: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
@@ -210,16 +216,17 @@ def _combined(batch: pa.RecordBatch, digest: np.ndarray, m: np.ndarray, text: np
     deal = np.where(settled, _spread(ids), digest.view(np.int64))
     m = np.where(settled, 0, m.view(np.int64))
     columns = [pa.array(x) for x in (deal, m, ids, place, windows)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(low, mask=~settled), pa.array(window[first], mask=~settled)], [x.split()[0] for x in _LINKS.split(", ")])
+    source = _places(batch, text, window)[first]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(low, mask=~settled), pa.array(source, mask=~settled)], [x.split()[0] for x in _LINKS.split(", ")])
 
 
-def _look(k: int, minimizer: int, single: bool):
+def _look(k: int, minimizer: int, single: bool, seed: int, bits: int):
     """Digests of the asked pieces' paths, or of each of their edges.
 
     asked holds a window of each minimizer that is asked for in a text, or,
     for edges, the first window of each asked piece.
     """
-    digest = xxhash.xxh3_64_intdigest
+    digest, mask = xxhash.xxh3_64_intdigest, (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches):
@@ -242,19 +249,28 @@ def _look(k: int, minimizer: int, single: bool):
             else:
                 window = cut.window[at]
             word = cut.first[cut.text[at]] + window
-            found = [digest(flat[a:b]) for a, b in zip(starts[word].tolist(), ends[word + windows + k - 2].tolist(), strict=True)]
+            found = [digest(flat[a:b], seed) & mask for a, b in zip(starts[word].tolist(), ends[word + windows + k - 2].tolist(), strict=True)]
             yield _combined(batch, np.array(found, np.uint64), cut.minimizer[at] & _M, cut.text[at], window, windows)
 
     return run
 
 
+_FINISHED = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, longest_span long, kept string, tag int, start long, n long, digest binary"
+
+
 def _finish(k: int, keep_text: bool):
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "longest_span", "kept"]
+    """Rows (doc_id, tag, text, spans, segments): a row for each, and one (with n) for the digest of each segment."""
+    names = [x.split()[0] for x in _FINISHED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        found = [columns[c] if c in columns else pa.nulls(size, t) for c, t in zip(names, types, strict=True)]
+        return pa.RecordBatch.from_arrays([x.cast(pa.string()) if c == "kept" else x for c, x in zip(names, found, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches):
-            out = []
-            for text, spans in zip(texts, batch.column("spans"), strict=True):
+            out, of, starts, lengths, digests = [], [], [], [], []
+            for at, (text, spans, segments) in enumerate(zip(texts, batch.column("spans"), batch.column("segments"), strict=True)):
                 words = text.split()
                 kept, n_spans, longest = words, 0, 0
                 if spans.is_valid:
@@ -266,10 +282,24 @@ def _finish(k: int, keep_text: bool):
                     kept = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
                     edge = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]).view(np.int8)))
                     n_spans, longest = len(edge) // 2, int((edge[1::2] - edge[0::2]).max())
+                if segments.is_valid:
+                    start, n = (segments.values.field(i).to_numpy() for i in range(2))
+                    starts.append(start)
+                    lengths.append(n)
+                    of.append(np.full(len(n), at))
+                    digests += [hashlib.sha256(b" ".join(words[a : a + b])).digest() for a, b in zip(start.tolist(), n.tolist(), strict=True)]
                 joined = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), n_spans, longest, joined if keep_text else None))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns[:-1], columns[-1].cast(pa.string())], names)
+            columns = {c: pa.array(x, t) for c, t, x in zip(names[1:7], types[1:7], zip(*out, strict=True), strict=True)}
+            yield rows(len(out), doc_id=batch.column("doc_id"), **columns)
+            if digests:
+                of = pa.array(np.concatenate(of))
+                for lo in range(0, len(digests), 1 << 16):
+                    cut = slice(lo, lo + (1 << 16))
+                    yield rows(
+                        len(digests[cut]), doc_id=batch.column("doc_id").take(of[cut]), tag=batch.column("tag").take(of[cut]),
+                        start=pa.array(np.concatenate(starts)[cut]), n=pa.array(np.concatenate(lengths)[cut]), digest=pa.array(digests[cut], pa.binary()),
+                    )
 
     return run
 
@@ -279,7 +309,7 @@ _ROW = ["doc_id", "tag"]
 
 def _asked(places: DataFrame) -> DataFrame:
     """asked: the windows of each row, from rows (doc_id, place)."""
-    unpacked = places.select("doc_id", F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 63) - 1)), 32).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("w"))
+    unpacked = places.select("doc_id", _tag("place").alias("tag"), _start("place").cast("int").alias("w"))
     return unpacked.groupBy(*_ROW).agg(F.collect_list("w").alias("asked")).hint("shuffle_hash")
 
 
@@ -289,43 +319,65 @@ def _sourced(found: DataFrame) -> DataFrame:
     settled = F.col("source_id").isNotNull()
     with_first = found.repartition("deal").withColumns({"first_id": F.first("doc_id").over(line), "first_place": F.first("place").over(line)})
     return with_first.select(
-        "deal", "m", "doc_id", "place", "windows", settled.alias("settled"), F.coalesce("source_id", "first_id").alias("source_id"),
-        F.when(settled, F.col("source_start")).otherwise(F.col("first_place").bitwiseAND(F.lit((1 << 32) - 1))).alias("source_start"),
+        "deal", "m", "doc_id", "place", "windows", settled.alias("settled"), F.coalesce("source_id", "first_id").alias("source_id"), F.coalesce("source_place", "first_place").alias("source_place"),
     )
 
 
-def repeated_spans(rows: DataFrame, dealt: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> DataFrame:
+def _tag(place: str) -> Column:
+    return F.shiftright(F.col(place).bitwiseAND(F.lit((1 << 63) - 1)), 32).cast("int")
+
+
+def _start(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def repeated_spans(rows: DataFrame, dealt: DataFrame, k: int = K, minimizer: int = MINIMIZER, seed: int = 0, bits: int = 64) -> DataFrame:
     """From rows (doc_id, tag, text): spans of windows that also start in a document of smaller id.
 
     dealt: the same rows, partitioned by doc_id and tag. Gives doc_id, tag,
-    source_id, shift (source_start - start), path, start, windows, source_start.
+    source_id, source_tag, start, windows, source_start.
     """
     there = F.col("doc_id").isNotNull()
     pieces = rows.filter(there).mapInArrow(_pieces(k, minimizer), "deal long, doc_id long, place long").repartition("deal")
     line = Window.partitionBy("deal").orderBy("doc_id", "place")
     near = pieces.withColumns({"before": F.lag("doc_id").over(line), "after": F.lead("doc_id").over(line)})
     again = near.filter((F.col("place") < 0) | F.col("before").isNotNull() | F.col("after").isNotNull())
-    paths = dealt.join(_asked(again), _ROW).mapInArrow(_look(k, minimizer, False), _LINKS)
+    paths = dealt.join(_asked(again), _ROW).mapInArrow(_look(k, minimizer, False, seed, bits), _LINKS)
     found = written(_sourced(paths), "paths")
     # First occurrences whose minimizer has other paths too: there the graph branches.
     firsts = found.filter("NOT settled AND doc_id = source_id").select("deal", "m", "doc_id", "place")
     branching = written(firsts.groupBy("m").agg(F.min("deal").alias("lo"), F.max("deal").alias("hi")).filter("lo <> hi").select("m"), "branching")
-    edges = dealt.join(_asked(firsts.join(branching, "m")), _ROW).mapInArrow(_look(k, minimizer, True), _LINKS)
-    whole = ["doc_id", "place", "windows", "source_id", "source_start"]
+    edges = dealt.join(_asked(firsts.join(branching, "m")), _ROW).mapInArrow(_look(k, minimizer, True, seed, bits), _LINKS)
+    whole = ["doc_id", "place", "windows", "source_id", "source_place"]
     links = found.filter("doc_id > source_id").select(*whole).unionByName(_sourced(edges).filter("doc_id > source_id").select(*whole))
     unpacked = links.select(
-        "doc_id", F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 63) - 1)), 32).cast("int").alias("tag"),
-        F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "windows", "source_id", "source_start",
+        "doc_id", _tag("place").alias("tag"), _start("place").alias("start"), "windows", "source_id", _tag("source_place").alias("source_tag"), _start("source_place").alias("source_start"),
     ).repartition(*_ROW).withColumn("shift", F.col("source_start") - F.col("start"))
     # Compaction: what follows its neighbour in document and source alike continues its path.
-    line = Window.partitionBy(*_ROW, "source_id", "shift").orderBy("start")
+    of = [*_ROW, "source_id", "source_tag", "shift"]
+    line = Window.partitionBy(*of).orderBy("start")
     end = F.col("start") + F.col("windows")
     heads = unpacked.withColumn("head", F.when(F.lag(end).over(line) >= F.col("start"), 0).otherwise(1))
     path = heads.withColumn("path", F.sum("head").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return path.groupBy(*_ROW, "source_id", "shift", "path").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("windows"), F.min("source_start").alias("source_start"))
+    spans = path.groupBy(*of, "path").agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("windows"), F.min("source_start").alias("source_start"))
+    return spans.drop("shift", "path")
+
+
+def _segments(spans: DataFrame, k: int, segment: int = SEGMENT) -> DataFrame:
+    """Spans, which may be long, as runs of at most `segment` words that begin at multiples of it in the source.
+
+    So the runs that are asked of a source are bounded by its length, however
+    many documents repeat it.
+    """
+    end = F.col("source_start") + F.col("windows") + (k - 1)
+    numbers = F.sequence(F.floor(F.col("source_start") / segment), F.floor((end - 1) / segment))
+    cut = spans.select("*", end.alias("end"), F.explode(numbers).alias("number"))
+    lo, hi = F.greatest(F.col("source_start"), F.col("number") * segment), F.least(F.col("end"), (F.col("number") + 1) * segment)
+    cut = cut.withColumns({"lo": lo, "n": hi - lo})
+    return cut.select(*_ROW, (F.col("start") + F.col("lo") - F.col("source_start")).alias("at"), "n", "source_id", "source_tag", F.col("lo").alias("source_at"))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, minimizer: int = MINIMIZER, keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, minimizer: int = MINIMIZER, keep_text: bool = False, first_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, n_spans, longest_span, kept.
 
     A word goes if a window of k words over it also starts in a document of
@@ -335,12 +387,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words, and a text of fewer than k words keeps them all. Rows with a null
     id neither lose words nor are a source. Rows that repeat an id are judged
     each on its own text (told apart by 24 bits of its hash). An empty table
-    gives no rows.
+    gives no rows; other columns are ignored.
+
+    The result is written, so that its spans can be verified before it is
+    given. first_bits: bits of the digests of the first try (tests lower it).
     """
     whole = text_or_empty(text_col)
     tag = F.xxhash64(whole).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), whole.alias("text"))
     dealt = rows.repartition(*_ROW)
-    spans = repeated_spans(rows, dealt, k, minimizer).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    joined = dealt.join(spans.hint("shuffle_hash"), _ROW, "left")
-    return joined.mapInArrow(_finish(k, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, longest_span long, kept string")
+    for seed in range(TRIES):
+        spans = written(repeated_spans(rows, dealt, k, minimizer, seed, first_bits if not seed else 64), "spans")
+        segments = _segments(spans, k)
+        asked = segments.select(*_ROW, F.col("at").alias("start"), "n").unionByName(segments.select(F.col("source_id").alias("doc_id"), F.col("source_tag").alias("tag"), F.col("source_at").alias("start"), "n")).distinct()
+        per_row = [spans.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "windows")).alias("spans")), asked.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n")).alias("segments"))]
+        work = per_row[0].join(per_row[1], _ROW, "full")
+        finished = written(dealt.join(work.hint("shuffle_hash"), _ROW, "left").mapInArrow(_finish(k, keep_text), _FINISHED), "finished")
+        digests = finished.filter("n IS NOT NULL").select(*_ROW, F.col("start").alias("at"), "n", "digest").dropDuplicates([*_ROW, "at", "n"])
+        theirs = digests.select(F.col("doc_id").alias("source_id"), F.col("tag").alias("source_tag"), F.col("at").alias("source_at"), "n", F.col("digest").alias("source_digest"))
+        unlike = segments.join(digests, [*_ROW, "at", "n"]).join(theirs, ["source_id", "source_tag", "source_at", "n"]).filter("digest <> source_digest")
+        if unlike.isEmpty():
+            return finished.filter("n IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "longest_span", "kept")
+    raise RuntimeError(f"paths of different words shared their digests under {TRIES} seeds")

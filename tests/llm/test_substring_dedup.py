@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from gleaner.llm import substring_dedup as sd
 
 
@@ -51,6 +53,19 @@ def test_hard_rows(spark):
     assert sd.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_forced_equal_digests_are_found_out(spark, monkeypatch):
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(5)]
+    data = []
+    for i in range(40):  # paths of one minimizer that differ, so digests of one bit collide
+        data.append((i, " ".join([f"u{rng.randrange(9)}" for _ in range(8)] + common + [f"u{rng.randrange(9)}" for _ in range(8)])))
+    data += [(100 + i, t) for i, t in data[:10]]
+    assert got(sd.dedup_substrings(frame(spark, data), first_bits=1)) == plain(data)
+    monkeypatch.setattr(sd, "TRIES", 1)
+    with pytest.raises(RuntimeError, match="digests"):
+        sd.dedup_substrings(frame(spark, data), first_bits=1)
+
+
 def test_random_overlaps(spark):
     rng = random.Random(11)
     for words in (3, 40):
