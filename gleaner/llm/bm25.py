@@ -53,7 +53,7 @@ class _Numbers(dict):
 
 
 def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a shard's words with their numbers and document counts; kind 1: documents as (numbers, counts)."""
+    """kind 0: a shard's words with their numbers and document counts; kind 1: documents as (numbers, counts), df being their words."""
     names = [x.split()[0] for x in _ROWS.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
     shard, numbers, df, size = TaskContext.get().partitionId() << 20, _Numbers(), np.zeros(0, np.int64), 0
@@ -71,6 +71,7 @@ def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             ids, counts, seen = [], [], []
+            lengths = []
             for t in part.column("text").cast(pa.large_binary()):
                 text = t.as_py() or b""
                 size += len(text)
@@ -78,10 +79,11 @@ def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ids.append(which.tobytes())
                 counts.append(often.astype("<u4").tobytes())
                 seen.append(which)
+                lengths.append(int(often.sum()))
             now = np.bincount(np.concatenate(seen), minlength=len(numbers))
             now[: len(df)] += df
             df, n = now, part.num_rows
-            yield rows(n, shard=pa.array(np.full(n, shard)), kind=pa.array(np.ones(n, np.int32)), key=part.column("doc_id"), ids=pa.array(ids, pa.binary()), counts=pa.array(counts, pa.binary()))
+            yield rows(n, shard=pa.array(np.full(n, shard)), kind=pa.array(np.ones(n, np.int32)), key=part.column("doc_id"), ids=pa.array(ids, pa.binary()), counts=pa.array(counts, pa.binary()), df=pa.array(lengths, pa.int64()))
             if size >= SHARD_BYTES:
                 yield from words()
                 shard, numbers, df, size = shard + 1, _Numbers(), np.zeros(0, np.int64), 0
@@ -251,45 +253,45 @@ def search(docs: DataFrame, every: int = 50, k: int = TOP, id_col: str = "doc_id
     to the least id, the query's own document is among the found. Null texts
     are empty: they find nothing and are not found. Rows with a null id are
     counted but neither ask nor are found; of rows that repeat an id each
-    asks, and each is found, once. An empty table gives no rows.
+    asks for itself, with ranks of its own, and each is found once. An empty
+    table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     numbered = written(rows.mapInArrow(_number_words, _ROWS), "bm25-shards")
     words, texts = numbered.filter("kind = 0"), numbered.filter("kind = 1")
     corpus = written(words.groupBy("word").agg(F.sum("df").alias("df")).withColumn("gid", F.monotonically_increasing_id()), "bm25-words")
     n_docs = texts.count()
-    total = rows.select(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
+    total = texts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     placed = words.select("shard", "word", "number").join(corpus, "word").select("shard", F.lit(0).alias("kind"), F.col("gid").alias("key"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("counts"), "number", "df")
     placed = written(placed, "bm25-placed")
     found = texts.filter(F.col("key").isNotNull())
     asked = found.filter(F.pmod("key", F.lit(every)) == 0).select("shard", "key", "ids", "counts")
     of = placed.select(F.col("shard").alias("of_shard"), "key", "number")
-    queries = written(asked.groupBy("shard").cogroup(of.groupBy("of_shard")).applyInArrow(_global_ids, "key long, ids binary, counts binary"), "bm25-queries")
+    queries = written(asked.groupBy("shard").cogroup(of.groupBy("of_shard")).applyInArrow(_global_ids, "key long, ids binary, counts binary").withColumn("ask", F.monotonically_increasing_id()), "bm25-queries")
     # A row per shard: its index size says which shards are searched together. Every query goes to every group, which is what the query set asks for.
-    sizes = found.groupBy("shard").agg((F.sum(F.octet_length("ids")) / 4).cast("long").alias("postings")).orderBy("shard").collect()
-    of_group, group, held = [], 0, 0
-    for r in sizes:
-        if held and held + r["postings"] > GROUP_POSTINGS:
-            group, held = group + 1, 0
-        held += r["postings"]
-        of_group.append((r["shard"], group))
-    groups = F.broadcast(docs.sparkSession.createDataFrame(of_group, "shard long, grp int"))
+    sizes = found.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("ids")) / 4).alias("postings"))
+    before = F.coalesce(F.sum("postings").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    together = sizes.withColumn("together", F.floor(before / F.lit(GROUP_POSTINGS)))
+    groups = written(together.withColumn("grp", F.dense_rank().over(Window.orderBy("together")) - 1).select("shard", "grp"), "bm25-groups")
+    group = groups.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0]
     none = lambda kind: F.lit(None).cast(kind)
     order = ["grp", "asks", "shard", "kind", "key", "ids", "counts", "number", "df", "floor"]
-    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"))).join(groups, "shard").withColumn("asks", F.lit(0)).withColumn("floor", none("double")).select(*order)
+    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), "df")).join(groups, "shard").withColumn("asks", F.lit(0)).withColumn("floor", none("double")).select(*order)
     step = math.ceil((group + 1) / math.ceil(math.sqrt(group + 1)))
     first = F.pmod("grp", F.lit(step)) == 0
 
     def searched(these: Column, queries: DataFrame) -> DataFrame:
         """The k best of each of these groups for each query, as far as they reach its floor."""
         asking = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(group)))).filter(these)
-        asking = asking.select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), "key", "ids", "counts", none("int").alias("number"), none("long").alias("df"), "floor")
-        return indexed.filter(these).unionByName(asking).repartition("grp").sortWithinPartitions("grp", "asks", "shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
+        asking = asking.select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), F.col("ask").alias("key"), "ids", "counts", none("int").alias("number"), none("long").alias("df"), "floor")
+        # Groups are dealt by number, not by a hash under which several could meet in one task.
+        return indexed.filter(these).unionByName(asking).repartitionById(group + 1, F.col("grp")).sortWithinPartitions("grp", "asks", "shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     best = searched(first, queries.withColumn("floor", F.lit(0.0)))
     if step > 1:
         best = written(best, "bm25-first")
-        kth = best.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("key"), F.col("score").alias("floor"))
-        best = best.unionByName(searched(~first, queries.join(kth, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        kth = best.withColumn("rank", rank).filter(F.col("rank") == k).select(F.col("query_id").alias("ask"), F.col("score").alias("floor"))
+        best = best.unionByName(searched(~first, queries.join(kth, "ask", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))))
+    top = best.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("query_id", "ask")
+    return top.join(queries.select("ask", F.col("key").alias("query_id")), "ask").select("query_id", "rank", "doc_id", "score")

@@ -62,6 +62,12 @@ def test_hard_rows(spark):
     assert bm25.search(docs.limit(0)).count() == 0
 
 
+def test_repeated_query_ids_ask_for_themselves(spark):
+    data = [(50, "a b c"), (50, "x y z"), (1, "a"), (2, "x y"), (3, "q")]
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in bm25.search(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == [(50, 1, 50), (50, 1, 50), (50, 2, 1), (50, 2, 2)]
+
+
 def test_pruning_skips_blocks():
     import numpy as np
 
