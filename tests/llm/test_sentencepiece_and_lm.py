@@ -45,6 +45,18 @@ def test_unigram_viterbi_and_lattice_over_all_segmentations(word):
     assert math.isclose(lattice.forward(word), math.log(sum(math.exp(sum(lattice.logs[p] for p in x)) for x in every)), rel_tol=1e-9)
 
 
+@given(st.text("ab", min_size=1, max_size=8), st.integers(1, 5))
+def test_expected_pieces_over_all_segmentations(word, times):
+    every = list(segmentations("▁" + word, TOY.scores))
+    lattice = lm_score.Lattice(TOY)
+    weights = [math.exp(sum(lattice.logs[p] for p in x)) for x in every]
+    want = {p: sum(times * w * x.count(p) for x, w in zip(every, weights, strict=True)) / sum(weights) for p in TOY.scores}
+    for how in (lattice.expect, lambda *a: lattice._expect_long("▁" + word, lattice.arcs("▁" + word), *a[1:])):
+        counts = dict.fromkeys([*TOY.scores, ""], 0.0)
+        how(word, times, counts)
+        assert counts == pytest.approx(want | {"": 0.0})
+
+
 def test_codec_query_over_whole_texts(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = op8_sentencepiece(spark, sf_dir).collect()
@@ -62,6 +74,34 @@ def test_codec_hard_rows(spark):
     assert encoded.filter("doc_id IS NOT NULL").count() == 4 and sentencepiece_codec.encode_documents(docs.limit(0), V).count() == 0
 
 
+BYTE, END = ("byte",), ("end",)  # no pieces
+
+
+def plain_learned(c, ends):
+    """Piece probabilities after two rounds of expected counts, by dynamic programming over every start and end."""
+    start = dict(zip([*V.scores, BYTE, END], np.exp(lm_score.Lattice.from_scores(V)), strict=True))
+    p, longest = start, max(map(len, V.scores))
+    for _ in range(2):
+        counts = dict.fromkeys(p, 0.0)
+        for w, n in c.items():
+            if w is None:
+                continue
+            s = "▁" + w.decode()
+            arcs = [(a, b, s[a:b] if s[a:b] in V.scores else BYTE) for b in range(1, len(s) + 1) for a in range(max(0, b - longest), b) if s[a:b] in V.scores or (b == a + 1 and s[a] not in V.scores)]
+            log = {x: math.log(p[x[2]]) * (len(s[x[0] : x[1]].encode()) if x[2] == BYTE else 1) for x in arcs}
+            f, g = [0.0] + [-math.inf] * len(s), [-math.inf] * len(s) + [0.0]
+            for x in arcs:
+                f[x[1]] = np.logaddexp(f[x[1]], f[x[0]] + log[x])
+            for x in reversed(arcs):
+                g[x[0]] = np.logaddexp(g[x[0]], g[x[1]] + log[x])
+                counts[x[2]] += n * math.exp(f[x[0]] + log[x] + g[x[1]] - f[-1]) * (len(s[x[0] : x[1]].encode()) if x[2] == BYTE else 1)
+        counts[END] = ends
+        total = sum(counts.values())
+        counts[BYTE] /= 256
+        p = {k: 0.99 * n / total + 0.01 * start[k] for k, n in counts.items()} if total else start
+    return p
+
+
 def plain_lm(data):
     lower = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -71,14 +111,16 @@ def plain_lm(data):
             for w in [*lower(t), None]:
                 c[w] = c.get(w, 0) + 1
                 n += 1
-    v, lattice, out = len(c), lm_score.Lattice(V), []
+    v, out = len(c), []
+    learned = plain_learned(c, c.get(None, 0))
+    lattice = lm_score.Lattice(V, np.log(np.array([learned[k] for k in [*V.scores, BYTE, END]])))
     a = 0.5 * (v + 1)
     for i, t in data:
         tokens = [*lower(t), None]
         base = sum(math.log10((c.get(w, 0) + 0.5) / (n + a)) for w in tokens)
         g = lambda w: lattice.end10 * math.log(10) if w is None else lattice.forward(w.decode())
-        score = sum(math.log10((c[w] + a * math.exp(g(w))) / (n + a)) if w in c else (math.log10(a / (n + a)) + g(w) / math.log(10)) for w in tokens)
-        out.append((i, held(i), len(tokens), sum(w in c for w in tokens), n, base, score))
+        mixed = sum(math.log10((c[w] + a * math.exp(g(w))) / (n + a)) if w in c else (math.log10(a / (n + a)) + g(w) / math.log(10)) for w in tokens)
+        out.append((i, held(i), len(tokens), sum(w in c for w in tokens), n, base, sum(map(g, tokens)) / math.log(10), mixed))
     return out
 
 
@@ -87,18 +129,18 @@ def same(got, want):
     got, want = sorted(got, key=key), sorted(want, key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
-        assert g[5:7] == pytest.approx(w[5:7], rel=1e-9)
+        assert g[5:8] == pytest.approx(w[5:8], rel=1e-9)
 
 
-def test_lm_matches_plain_counting(spark, sf_dir, monkeypatch):
+def test_lm_matches_plain_counting(spark, sf_dir):
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    same([tuple(r)[:7] for r in op7_lm_score(spark, sf_dir).collect()], plain_lm(data))
+    same([tuple(r)[:8] for r in op7_lm_score(spark, sf_dir).collect()], plain_lm(data))
 
 
 def test_lm_hard_rows(spark):
     data = [(1, None), (1, ""), (None, "a A b"), (2, "日本 é x " + "y" * 20000), (3, "a a"), (3, "a a"), (4, "▁ unseen"), (5, "b"), (6, "zz"), (7, "zz b")]
     docs = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, word string")
-    same([tuple(r)[:7] for r in lm_score.lm_scores(docs, V).collect()], plain_lm(data))
+    same([tuple(r)[:8] for r in lm_score.lm_scores(docs, V).collect()], plain_lm(data))
     assert lm_score.lm_scores(docs.limit(0), V).count() == 0
 
 
