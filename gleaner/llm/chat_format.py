@@ -208,6 +208,9 @@ def read_back(parts: DataFrame) -> DataFrame:
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline per turn),
     loss_chars and loss_sha256 (all text under the loss mask, unescaped),
-    formatted_chars. Takes format_chat's DataFrame as it lies.
+    formatted_chars. Parts may have been stored and may lie in any order: they
+    are dealt by conversation and sorted by part, and the task streams. An
+    empty table gives no rows.
     """
-    return parts.mapInArrow(_read_back, DIGEST_SCHEMA)
+    laid = parts.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return laid.mapInArrow(_read_back, DIGEST_SCHEMA)

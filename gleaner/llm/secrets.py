@@ -6,10 +6,15 @@ around it and a dictionary of common identifiers prime a zstandard
 compressor, and the bytes that the candidate adds to what the context alone
 takes are its marginal cost. Identifiers, words and repeats cost little; a
 string that costs nearly its full length is reported with kind "novel".
+Candidates have 16 characters or more, a letter and a digit: a long word that
+the context lacks does not compress either, so without that gate plain words
+would be reported (figures in the README).
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,8 +36,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: A candidate is a string after one of these words, within 40 characters.
 SENSITIVE = re.compile(r"(?:passw(?:or)?d|passphrase|secret|token|credential|private|auth|bearer|api_?key|access_?key|signature|license_?key|\bpwd|\bkey)", re.I | re.A)
 SENSITIVE_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"credential", b"private", b"auth", b"bearer", b"key", b"signature", b"pwd")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]{16,}", re.A)
-REACH, AROUND = 40, 256
+RUN = re.compile(r"[A-Za-z0-9+/_=.~!@#$%^&*-]+", re.A)
+LEAST, REACH, AROUND = 16, 40, 256
 #: Marginal bytes for each character, at least, of a reported candidate.
 NOVELTY = 0.7
 LEVEL = 3
@@ -76,23 +81,47 @@ class Novelty:
         return size(candidate) - size("")
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Candidates in sensitive places that cost enough and touch no base span."""
+        """Candidates in sensitive places that cost enough and touch no base span. One pass over the text's runs."""
         found: list[tuple[int, int]] = []
+        merged = _merged(taken)
+        runs = RUN.finditer(text)
+        run = next(runs, None)
         seen = 0
         for m in SENSITIVE.finditer(text):
             at, stop = max(m.end(), seen), m.end() + REACH
-            while at < stop and (c := CANDIDATE.search(text, at)) and c.start() < stop:
-                lo, hi = c.span()
+            while run is not None and (lo := max(at, run.start())) < stop:
+                hi = run.end()
+                if hi <= at:
+                    run = next(runs, None)
+                    continue
+                if hi - lo < LEAST:
+                    if hi >= stop:
+                        break
+                    at = hi
+                    continue
                 at = seen = hi
-                if any(lo < b and a < hi for a, b in taken):
+                k = bisect.bisect_right(merged, (lo, math.inf))
+                if (k and merged[k - 1][1] > lo) or (k < len(merged) and merged[k][0] < hi):
                     continue
-                if not (any(ch.isdigit() for ch in c[0]) and any(ch.isalpha() for ch in c[0])):
+                c = text[lo:hi]
+                if not (any(ch.isdigit() for ch in c) and any(ch.isalpha() for ch in c)):
                     continue
-                if self.cost(text[max(0, lo - AROUND) : lo], c[0], text[hi : hi + AROUND]) >= NOVELTY * (hi - lo):
+                if self.cost(text[max(0, lo - AROUND) : lo], c, text[hi : hi + AROUND]) >= NOVELTY * (hi - lo):
                     found.append((lo, hi))
         return found
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint intervals that cover the same."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans_of(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
     """All spans by start, then kind as listed; code points, end exclusive."""
     low = text.encode().lower()

@@ -36,6 +36,14 @@ def test_long_conversation_in_parts(spark):
     assert run(spark, turns) == digests(turns)
 
 
+def test_stored_parts_in_any_order(spark, tmp_path):
+    turns = [(1, t, "assistant" if t % 2 else "user", f"text {t} " * 300) for t in range(3000)] + [(None, 0, "user", "hi")]
+    parts = cf.format_chat(spark.createDataFrame([(*t, 1, "x") for t in turns], SCHEMA))
+    parts.repartition(7, "part").write.parquet(f"{tmp_path}/parts")
+    back = cf.read_back(spark.read.parquet(f"{tmp_path}/parts")).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in back} == digests(turns)
+
+
 def test_empty_table(spark):
     assert cf.read_back(cf.format_chat(spark.createDataFrame([], SCHEMA))).count() == 0
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -46,6 +48,42 @@ def test_novel_strings_are_found_and_names_are_not():
     assert secrets.spans_of("nothing Zq8rT1vX9pLw3NsY7bKd here", n) == []
 
 
+def slow_spans(n, text, taken):
+    """The same rule, by a search of its own for each sensitive word and a look at every base span."""
+    found, seen = [], 0
+    for m in secrets.SENSITIVE.finditer(text):
+        at, stop = max(m.end(), seen), m.end() + secrets.REACH
+        while at < stop and (c := re.compile(secrets.RUN.pattern[:-1] + "{16,}", re.A).search(text, at)) and c.start() < stop:
+            lo, hi = c.span()
+            at = seen = hi
+            if any(lo < b and a < hi for a, b in taken) or not (any(x.isdigit() for x in c[0]) and any(x.isalpha() for x in c[0])):
+                continue
+            if n.cost(text[max(0, lo - secrets.AROUND) : lo], c[0], text[hi : hi + secrets.AROUND]) >= secrets.NOVELTY * (hi - lo):
+                found.append((lo, hi))
+    return found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "key ", "=", ": ", " ", "'", "AKIA", "Zq8rT1vX9pLw3NsY", "abc", "7", "é", "auth", "secret is ", "xxxxxxxxxxxxxxxx", "\n"]), max_size=30).map("".join))
+def test_novel_spans_equal_the_plain_rule(text):
+    n = secrets.Novelty()
+    taken = [s[1:] for s in secrets.spans_of(text, n) if s[0] != "novel"]
+    assert n.spans(text, taken) == slow_spans(n, text, taken)
+
+
+def test_planted_secrets_are_found_in_a_long_text_in_linear_time():
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = ["".join(rng.choices(chars, k=24)) + "7a" for _ in range(200)]
+    filler = "the key to this chapter is a token effort and " * 20
+    text = " ".join(f"{filler} the private key is {p} and" for p in planted) + " token=abcdefgh1" * 20_000
+    assert len(text) > 400_000
+    began = time.time()
+    found = {text[a:b] for k, a, b in secrets.spans_of(text, secrets.Novelty()) if k == "novel"}
+    assert time.time() - began < 20
+    assert len(found & set(planted)) >= 195 and len(found - set(planted)) <= 5
+
+
 def test_secrets_query_over_whole_texts(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in op6_secrets(spark, sf_dir).collect()}
