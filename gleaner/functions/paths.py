@@ -58,26 +58,52 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _tenths(n: Column, unit: int, up_at_half: Column) -> Column:
+    """n / unit with one decimal, as text; whole numbers only, so that nothing is rounded twice."""
+    tenths, rest = F.floor(n * 10 / unit), (n * 10) % unit * 2
+    t = F.when(rest > unit, tenths + 1).when((rest == unit) & up_at_half, tenths + 1).otherwise(tenths)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def _binary_half_goes_up(n: Column, unit: int) -> Column:
+    """Whether the double nearest to n / unit, that being half a tenth, is written with the larger digit.
+
+    The double lies above the half, or on it and the digit before is odd.
+    """
+    d = n / F.lit(float(unit))
+    big = lambda x: F.lit(x).cast("decimal(38,0)")
+    bits = F.when(d < 2.0**10, 52).when(d < 2.0**20, 42).otherwise(32)  # d times 2^bits is whole and below 2^62
+    power = F.when(bits == 52, big(2**52)).when(bits == 42, big(2**42)).otherwise(big(2**32))
+    above = (d * power.cast("double")).cast("long").cast("decimal(20,0)") * F.lit(unit).cast("decimal(10,0)") - n.cast("decimal(18,0)") * power.cast("decimal(17,0)")
+    return (above > 0) | ((above == 0) & (F.floor(n * 10 / unit) % 2 == 1))
+
+
 def size_text(n: Column) -> Column:
-    """B, KB, MB or GB in thousands, one decimal from KB on; null stays null."""
+    """B, KB or MB in thousands, one decimal from KB on, halves as the binary number rounds; null stays null."""
+    n = n.cast("long")
+    kilo, mega = 1000, 1_000_000
     return (
         F.when(n.isNull(), F.lit(None))
-        .when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1_000_000, F.format_string("%.1f KB", n / 1000.0))
-        .when(n < 1_000_000_000, F.format_string("%.1f MB", n / 1e6))
-        .otherwise(F.format_string("%.1f GB", n / 1e9))
+        .when(n < kilo, F.concat(n.cast("string"), F.lit(" B")))
+        .when(n < mega, F.concat(_tenths(n, kilo, _binary_half_goes_up(n, kilo)), F.lit(" KB")))
+        .otherwise(F.concat(_tenths(n, mega, _binary_half_goes_up(n, mega)), F.lit(" MB")))
     )
 
 
 def bytes_text(n: Column) -> Column:
-    """B, KB, MB or GB in 1024s, one decimal from KB on; null stays null."""
-    return (
-        F.when(n.isNull(), F.lit(None))
-        .when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / float(1024**2)))
-        .otherwise(F.format_string("%.1f GB", n / float(1024**3)))
-    )
+    """B to TB in 1024s with one decimal, halves up; "0 B" for none; null stays null."""
+    n = n.cast("long")
+    out = F.when(n.isNull(), F.lit(None)).when(n == 0, F.lit("0 B"))
+    for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
+        text = F.concat(_tenths(n, 1024**k, F.lit(True)), F.lit(f" {unit}"))
+        out = out.otherwise(text) if unit == "TB" else out.when(n < 1024 ** (k + 1), text)
+    return out
+
+
+def ratio_text(whole: Column, compressed: Column) -> Column:
+    """How much smaller compressed is; empty where there was nothing."""
+    saved = F.format_number(F.bround((1 - compressed / whole) * 100), 0)
+    return F.when(whole <= 0, F.lit("")).otherwise(F.concat(F.lit("Compressed "), size_text(whole), F.lit(" → "), size_text(compressed), F.lit(" ("), saved, F.lit("% reduction)")))
 
 
 def percent(current: Column, total: Column) -> Column:

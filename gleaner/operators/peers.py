@@ -37,11 +37,13 @@ def treasure_count(files: DataFrame, remote: DataFrame, session: int) -> DataFra
     return _only_there(files, remote, session).agg(F.count_distinct("pixel_hash").alias("treasures"))
 
 
-def export_rows(files: DataFrame, session: int, privacy: str = "hash_only") -> DataFrame:
-    """What an export holds of each active hashed file; names and paths as the privacy level allows."""
+def export_rows(files: DataFrame, session: int, username: str, privacy: str = "hash_only") -> DataFrame:
+    """What an export holds of each active hashed file; names and paths as the privacy level allows. remote_id is username:id."""
     if privacy not in ("hash_only", "filename", "full_path"):
         raise ValueError(f"unknown privacy level: {privacy}")
-    columns = [F.col("id").cast("string").alias("remote_id"), "pixel_hash", "size", "modified_at"]
+    columns = [F.concat(F.lit(f"{username}:"), F.col("id").cast("string")).alias("remote_id"), "pixel_hash", "size", "modified_at"]
+    if "perceptual_hash" in files.columns:
+        columns.append("perceptual_hash")
     if privacy != "hash_only":
         columns.append(paths.basename(F.col("path")).alias("filename"))
     if privacy == "full_path":

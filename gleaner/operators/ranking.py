@@ -152,9 +152,8 @@ def keep_and_delete_others(keep_id: int, ids: DataFrame) -> DataFrame:
 
 
 def last_undecided(files: DataFrame, actions: DataFrame) -> DataFrame:
-    """Active files that are the only one of their hash without an action: they are kept."""
-    decided = actions.select(F.col("file_id").alias("id"), "action")
-    joined = files.filter((F.col("status") == "active") & F.col("pixel_hash").isNotNull()).join(decided, "id", "left")
+    """Active files that are the only one of their session and hash without an action there: they are kept."""
+    decided = actions.select("session_id", F.col("file_id").alias("id"), "action")
+    joined = files.filter((F.col("status") == "active") & F.col("pixel_hash").isNotNull()).join(decided, ["session_id", "id"], "left")
     open_ = F.count_if(F.col("action").isNull()).over(Window.partitionBy("session_id", "pixel_hash"))
-    decided_too = F.count("action").over(Window.partitionBy("session_id", "pixel_hash"))
-    return joined.withColumns({"open": open_, "decided": decided_too}).filter("open = 1 AND decided > 0 AND action IS NULL").select("id", "pixel_hash", F.lit("keep").alias("action"))
+    return joined.withColumn("open", open_).filter("open = 1 AND action IS NULL").select("session_id", "id", "pixel_hash", F.lit("keep").alias("action"))

@@ -39,11 +39,11 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.filter("stage <> ''").groupBy("run_id", "stage").agg(F.count("*").alias("rows"), F.max("files").alias("files"), F.sum("queued").alias("queued"))
 
 
-def card(rows: DataFrame) -> DataFrame:
-    """Per run: mean utilisation over hashing rows with its grade, and the row of the largest backlog."""
+def card(rows: DataFrame, stage: str = "hashing") -> DataFrame:
+    """Per run: mean utilisation over the rows of a stage with its grade, and the row of the largest backlog."""
     made = derived(rows).withColumnsRenamed({"row_id": "r2", "run_id": "run2"})
     joined = rows.join(made, (F.col("row_id") == F.col("r2")) & (F.col("run_id") == F.col("run2"))).drop("r2", "run2")
-    hashing = F.when(F.col("stage") == "click", F.col("utilisation"))
+    hashing = F.when(F.col("stage") == stage, F.col("utilisation"))
     out = joined.groupBy("run_id").agg(F.floor(F.avg(hashing)).cast("long").alias("utilisation"), F.max("backlog").alias("most_backlog"), F.max(F.struct(F.col("backlog"), (-F.col("row_id")).alias("row"))).alias("at"))
     grade = F.when(F.col("utilisation") >= 70, "good").when(F.col("utilisation") >= 40, "fair").otherwise("poor")
     return out.select("run_id", "utilisation", grade.alias("grade"), "most_backlog", (-F.col("at.row")).alias("backlog_row"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import paths
 from gleaner.operators import duplicates, peers, plan, ranking, similarity
 from gleaner.plans.domain import load
-from gleaner.plans.similarity_queries import _files
+from gleaner.plans.similarity_queries import _RECURSIVE, _files
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -91,11 +91,12 @@ def request_exists(spark, d):
 
 @query("""
 SELECT id, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '[^/]*$') AS name, length(path) - length(replace(path, '/', '')) AS depth, replace(path, '/', '_') AS flat,
-       CASE WHEN size < 1000 THEN concat(size::VARCHAR, ' B') ELSE printf('%.1f KB', size / 1000.0::DOUBLE) END AS size_text,
-       CASE WHEN size < 1024 THEN concat(size::VARCHAR, ' B') ELSE printf('%.1f KB', size / 1024.0::DOUBLE) END AS bytes_text,
+       CASE WHEN size < 1000 THEN concat(size::VARCHAR, ' B') WHEN size < 1000000 THEN printf('%.1f KB', size / 1000.0::DOUBLE) ELSE printf('%.1f MB', size / 1000000.0::DOUBLE) END AS size_text,
+       CASE WHEN size IS NULL THEN NULL WHEN size = 0 THEN '0 B' WHEN size < 1024 THEN concat(size::VARCHAR, '.0 B')
+            ELSE concat(((size * 20 + unit) // (2 * unit) // 10)::VARCHAR, '.', ((size * 20 + unit) // (2 * unit) % 10)::VARCHAR, CASE unit WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' WHEN 1073741824 THEN ' GB' ELSE ' TB' END) END AS bytes_text,
        regexp_matches(coalesce(pixel_hash, ''), '^([0-9a-f]{32}|[0-9a-f]{64})$') AS well_formed, CASE WHEN length(pixel_hash) = 32 THEN 'xxh128' ELSE 'sha256' END AS algorithm,
        CASE WHEN id / 60 < 1 THEN concat(id::VARCHAR, 's') ELSE concat((id // 60)::VARCHAR, 'm ', (id % 60)::VARCHAR, 's') END AS duration
-FROM {files} WHERE size < 1000000 OR size IS NULL""")
+FROM (SELECT *, CASE WHEN size < 1048576 THEN 1024 WHEN size < 1073741824 THEN 1048576 WHEN size < 1099511627776 THEN 1073741824 ELSE 1099511627776 END AS unit FROM {files})""")
 def path_functions(spark, d):
     p, n = F.col("path"), F.col("size")
     return load(spark, d, "files").select(
@@ -166,7 +167,7 @@ def folder_progress(spark, d):
 
 
 @query("""
-WITH marked AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) OVER (PARTITION BY pixel_hash) > 1 AS again FROM {local_files}
+WITH marked AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) OVER (PARTITION BY pixel_hash) > 1 AS again FROM {files}
   WHERE session_id = 1 AND status = 'active' AND pixel_hash IS NOT NULL)
 SELECT folder, count(*) AS files FROM marked GROUP BY 1 HAVING bool_and(again)""")
 def fully_duplicated_folders(spark, d):
@@ -178,9 +179,9 @@ def recoverable_bytes(spark, d):
     return duplicates.recoverable(load(spark, d, "files"), 1)
 
 
-@query(_DUPLICATES + """, g AS (SELECT pixel_hash, count(*) AS n, coalesce(sum(size) FILTER (size > 0) - max(size) FILTER (size > 0), 0) AS bytes FROM dup GROUP BY 1)
+@query(_RECURSIVE + ", " + _DUPLICATES.strip().removeprefix("WITH ") + """, g AS (SELECT pixel_hash, count(*) AS n, coalesce(sum(size) FILTER (size > 0) - max(size) FILTER (size > 0), 0) AS bytes FROM dup GROUP BY 1)
 SELECT (SELECT count(*) FROM {files} WHERE session_id = 1) AS total_files, (SELECT count(*) FROM g) AS duplicate_groups, (SELECT coalesce(sum(n), 0) FROM g)::BIGINT AS duplicate_files,
-       (SELECT coalesce(sum(bytes), 0) FROM g)::BIGINT AS recoverable_bytes, 0::BIGINT AS similarity_groups""")
+       (SELECT coalesce(sum(bytes), 0) FROM g)::BIGINT AS recoverable_bytes, (SELECT count(DISTINCT group_id) FROM members)::BIGINT AS similarity_groups""")
 def scan_summary(spark, d):
     near = similarity.group_table(similarity.similarity_groups(_files(spark, d), 1), 1)
     return duplicates.scan_summary(load(spark, d, "files"), 1, near)
@@ -262,9 +263,9 @@ def master_copies(spark, d):
 
 
 @query("""
-WITH j AS (SELECT f.id, f.session_id, f.pixel_hash, a.action FROM {files} f LEFT JOIN {file_actions} a ON a.file_id = f.id WHERE f.status = 'active' AND f.pixel_hash IS NOT NULL),
-w AS (SELECT *, count(*) FILTER (action IS NULL) OVER (PARTITION BY session_id, pixel_hash) AS undecided, count(action) OVER (PARTITION BY session_id, pixel_hash) AS decided FROM j)
-SELECT id, pixel_hash, 'keep' AS action FROM w WHERE undecided = 1 AND decided > 0 AND action IS NULL""")
+WITH j AS (SELECT f.id, f.session_id, f.pixel_hash, a.action FROM {files} f LEFT JOIN {file_actions} a ON a.file_id = f.id AND a.session_id = f.session_id WHERE f.status = 'active' AND f.pixel_hash IS NOT NULL),
+w AS (SELECT *, count(*) FILTER (action IS NULL) OVER (PARTITION BY session_id, pixel_hash) AS undecided FROM j)
+SELECT session_id, id, pixel_hash, 'keep' AS action FROM w WHERE undecided = 1 AND action IS NULL""")
 def last_undecided(spark, d):
     return ranking.last_undecided(load(spark, d, "files"), load(spark, d, "file_actions"))
 
@@ -323,13 +324,32 @@ def toggle_actions(spark, d):
     return plan.toggle(actions, actions.filter("file_id % 2 = 0").select("session_id", "file_id", F.lit("delete").alias("action")))
 
 
-@query("""
-WITH todo AS (SELECT a.file_id, f.path, replace(f.path, '/', '_') AS flat FROM {file_actions} a JOIN {files} f ON f.id = a.file_id WHERE a.session_id = 1 AND a.executed_at IS NULL AND a.action = 'delete')
-SELECT file_id, path AS original_path, concat('/trash/1/', flat) AS trash_path, '2024-06-01T00:00:00Z' AS deleted_at, '2024-07-01T00:00:00Z' AS expires_at FROM todo""")
+# The bin holds an earlier file of every second path, so that names are taken.
+_BIN = """SELECT a.session_id, a.file_id + 1000000000 AS file_id, f.path AS original_path, concat('/trash/1/', replace(f.path, '/', '_')) AS trash_path, '2024-05-01' AS deleted_at, '2024-05-31' AS expires_at, cast(NULL AS STRING) AS recovered_at
+FROM {file_actions} a JOIN {files} f ON f.id = a.file_id WHERE a.session_id = 1 AND a.executed_at IS NULL AND a.action = 'delete' AND a.file_id % 2 = 0"""
+_EXECUTED = "WITH bin AS (" + _BIN + """), todo AS (SELECT a.file_id, f.path, replace(f.path, '/', '_') AS flat, a.file_id % 2 = 0 AS taken FROM {file_actions} a JOIN {files} f ON f.id = a.file_id
+  WHERE a.session_id = 1 AND a.executed_at IS NULL AND a.action = 'delete')"""
+
+
+def _executed(spark, d):
+    from_bin = spark.sql(_BIN, files=load(spark, d, "files"), file_actions=load(spark, d, "file_actions"))
+    return plan.execute(load(spark, d, "file_actions"), load(spark, d, "files"), from_bin, 1, F.to_timestamp(F.lit("2024-06-01T00:00:00Z")), "/trash")
+
+
+@query(_EXECUTED + """ SELECT file_id, original_path, trash_path, deleted_at, expires_at FROM bin UNION ALL
+SELECT file_id, path, concat('/trash/1/', CASE WHEN taken THEN concat(regexp_replace(flat, '\\.[^.]*$', ''), '_1', regexp_extract(flat, '\\.[^.]*$')) ELSE flat END), '2024-06-01T00:00:00Z', '2024-07-01T00:00:00Z' FROM todo""")
 def execute_plan(spark, d):
-    empty = spark.createDataFrame([], "session_id long, file_id long, original_path string, trash_path string, deleted_at string, expires_at string, recovered_at string")
-    now = F.to_timestamp(F.lit("2024-06-01T00:00:00Z"))
-    return plan.execute(load(spark, d, "file_actions"), load(spark, d, "files"), empty, 1, now, "/trash")[2].select("file_id", "original_path", "trash_path", "deleted_at", "expires_at")
+    return _executed(spark, d)[2].select("file_id", "original_path", "trash_path", "deleted_at", "expires_at")
+
+
+@query(_EXECUTED + " SELECT session_id, a.file_id, action, CASE WHEN session_id = 1 AND t.file_id IS NOT NULL THEN '2024-06-01T00:00:00Z' ELSE executed_at END AS executed_at FROM {file_actions} a LEFT JOIN todo t ON t.file_id = a.file_id")
+def execute_plan_actions(spark, d):
+    return _executed(spark, d)[0].select("session_id", "file_id", "action", "executed_at")
+
+
+@query(_EXECUTED + " SELECT id, CASE WHEN id IN (SELECT file_id FROM todo) THEN 'deleted' ELSE status END AS status FROM {files}")
+def execute_plan_files(spark, d):
+    return _executed(spark, d)[1].select("id", "status")
 
 
 @query("SELECT f.id, f.path, a.action FROM {files} f LEFT JOIN {file_actions} a ON a.file_id = f.id WHERE f.session_id = 1 AND f.status = 'active' AND f.pixel_hash IN (SELECT pixel_hash FROM {files} WHERE session_id = 1 AND status = 'active' GROUP BY 1 HAVING count(*) > 1)")
@@ -373,9 +393,9 @@ def peer_treasure_count(spark, d):
     return peers.treasure_count(load(spark, d, "local_files"), load(spark, d, "remote_files"), 1)
 
 
-@query("SELECT id::VARCHAR AS remote_id, pixel_hash, size, modified_at, regexp_extract(path, '[^/]*$') AS filename, path FROM {files} WHERE session_id = 1 AND status = 'active' AND pixel_hash IS NOT NULL")
+@query("SELECT concat('ann:', id::VARCHAR) AS remote_id, pixel_hash, size, modified_at, regexp_extract(path, '[^/]*$') AS filename, path FROM {files} WHERE session_id = 1 AND status = 'active' AND pixel_hash IS NOT NULL")
 def export_rows(spark, d):
-    return peers.export_rows(load(spark, d, "files"), 1, "full_path")
+    return peers.export_rows(load(spark, d, "files"), 1, "ann", "full_path")
 
 
 @query("SELECT remote_id, pixel_hash, substr(filename, 1, 1024) AS filename FROM {remote_files} WHERE regexp_matches(pixel_hash, '^[0-9a-f]{32}$')")

@@ -1,4 +1,4 @@
-"""Queries on telemetry series, and the stateful stream in its final state."""
+"""Queries on telemetry series."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def telemetry_derived(spark, d):
   CASE WHEN floor(avg(utilisation) FILTER (stage = 'click')) >= 70 THEN 'good' WHEN floor(avg(utilisation) FILTER (stage = 'click')) >= 40 THEN 'fair' ELSE 'poor' END AS grade,
   max(backlog) AS most_backlog, arg_max(row_id, backlog * 1000000000 - row_id) AS backlog_row FROM derived GROUP BY run_id""")
 def telemetry_card(spark, d):
-    return telemetry.card(load(spark, d, "telemetry"))
+    return telemetry.card(load(spark, d, "telemetry"), "click")
 
 
 @query(f"""

@@ -25,7 +25,7 @@ def write_export(files: DataFrame, session: int, username: str, now: str, path:
     """
     if not re.match(USER_FORM, username):
         raise ValueError(f"bad username: {username}")
-    rows = peers.export_rows(files, session, privacy)
+    rows = peers.export_rows(files, session, username, privacy)
     lines = rows.select(F.lit(username).alias("username"), F.lit(now).alias("exported_at"), F.lit(privacy).alias("privacy_level"), F.array(F.struct(*rows.columns)).alias("files"))
     lines.write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
 

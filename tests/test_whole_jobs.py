@@ -13,7 +13,19 @@ def test_path_functions_keeps_large_files(spark, tmp_path):
     d = documents(spark, tmp_path, [(i, f"t{i}", "en", "src1", n) for i, n in sizes])
     got = {r.id: (r.size_text, r.bytes_text) for r in registry.QUERIES["path_functions"](spark, d).collect()}
     assert set(got) == {i for i, _ in sizes}
-    assert got[3][0] == "1.0 MB" and got[4] == ("3.1 MB", "3.0 MB") and got[5] == ("5.4 GB", "5.0 GB")
+    assert got[3][0] == "1.0 MB" and got[4] == ("3.1 MB", "3.0 MB") and got[5] == ("5368.7 MB", "5.0 GB") and got[1] == ("999 B", "999.0 B")
+
+
+def test_size_text_rounds_as_the_binary_number_does(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.functions import paths
+
+    sizes = [*range(1050, 200_000, 100), *range(1_050_000, 40_000_000, 100_000), 10**12 + 50_000, 1_250_000, 1_750_000]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", paths.size_text(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {n: f"{n / 1e6:.1f} MB" if n >= 1_000_000 else f"{n / 1e3:.1f} KB" for n in sizes}
+    ratio = spark.range(1).select(paths.ratio_text(F.lit(47_000_000), F.lit(3_200_000)), paths.ratio_text(F.lit(0), F.lit(1))).first()
+    assert tuple(ratio) == ("Compressed 47.0 MB → 3.2 MB (93% reduction)", "")
 
 
 def test_fully_duplicated_folders_sees_every_file(spark, tmp_path):
