@@ -16,10 +16,10 @@ equal text is cut into equal pieces wherever it stands. So
    digest of the edge's own bytes;
 4. pieces and edges that lie behind one another both in the document and in
    its source are compacted into spans, and the words under them go;
-5. spans are verified: in SEGMENT words at a time the SHA-256 of the words is
-   taken at the document's coordinates and at the source's, and a join compares
-   them. Should one differ, two paths shared a digest, and the search is done
-   again with another seed.
+5. spans are verified: for SEGMENT words at a time 128 bits of the SHA-256 of
+   the words are taken at the document's coordinates and at the source's, and
+   meet under the source's. Should any differ, two paths shared a digest, and
+   the search is done again with another seed.
 
 Before each shuffle a slice of texts is combined: of rows with one key only
 those of the slice's least document are sent, the others are linked to it on
@@ -255,13 +255,13 @@ def _look(k: int, minimizer: int, single: bool, seed: int, bits: int):
     return run
 
 
-_FINISHED = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, longest_span long, kept string, tag int, start long, n long, digest binary"
+_FINISHED = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, longest_span long, kept string, tag int, start long, n long, d0 long, d1 long"
 
 
 def _finish(k: int, keep_text: bool):
-    """Rows (doc_id, tag, text, spans, segments): a row for each, and one (with n) for the digest of each segment."""
+    """Rows (doc_id, tag, text, spans, segments): a row for each, and one (with n) for the digest of each segment, under its source's coordinates."""
     names = [x.split()[0] for x in _FINISHED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def rows(size: int, **columns) -> pa.RecordBatch:
         found = [columns[c] if c in columns else pa.nulls(size, t) for c, t in zip(names, types, strict=True)]
@@ -269,8 +269,8 @@ def _finish(k: int, keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches):
-            out, of, starts, lengths, digests = [], [], [], [], []
-            for at, (text, spans, segments) in enumerate(zip(texts, batch.column("spans"), batch.column("segments"), strict=True)):
+            out, asked, digests = [], [], []
+            for text, spans, segments in zip(texts, batch.column("spans"), batch.column("segments"), strict=True):
                 words = text.split()
                 kept, n_spans, longest = words, 0, 0
                 if spans.is_valid:
@@ -283,23 +283,17 @@ def _finish(k: int, keep_text: bool):
                     edge = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]).view(np.int8)))
                     n_spans, longest = len(edge) // 2, int((edge[1::2] - edge[0::2]).max())
                 if segments.is_valid:
-                    start, n = (segments.values.field(i).to_numpy() for i in range(2))
-                    starts.append(start)
-                    lengths.append(n)
-                    of.append(np.full(len(n), at))
-                    digests += [hashlib.sha256(b" ".join(words[a : a + b])).digest() for a, b in zip(start.tolist(), n.tolist(), strict=True)]
+                    asked.append(segments.values)
+                    at, n = (segments.values.field(i).to_pylist() for i in range(2))
+                    digests += [hashlib.sha256(b" ".join(words[a : a + b])).digest()[:16] for a, b in zip(at, n, strict=True)]
                 joined = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), n_spans, longest, joined if keep_text else None))
             columns = {c: pa.array(x, t) for c, t, x in zip(names[1:7], types[1:7], zip(*out, strict=True), strict=True)}
             yield rows(len(out), doc_id=batch.column("doc_id"), **columns)
             if digests:
-                of = pa.array(np.concatenate(of))
-                for lo in range(0, len(digests), 1 << 16):
-                    cut = slice(lo, lo + (1 << 16))
-                    yield rows(
-                        len(digests[cut]), doc_id=batch.column("doc_id").take(of[cut]), tag=batch.column("tag").take(of[cut]),
-                        start=pa.array(np.concatenate(starts)[cut]), n=pa.array(np.concatenate(lengths)[cut]), digest=pa.array(digests[cut], pa.binary()),
-                    )
+                told = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                _, n, source, tag, start = (np.concatenate([x.field(i).to_numpy() for x in asked]) for i in range(5))
+                yield rows(len(n), **{c: pa.array(x) for c, x in (("doc_id", source), ("tag", tag), ("start", start), ("n", n), ("d0", told[:, 0]), ("d1", told[:, 1]))})
 
     return run
 
@@ -399,13 +393,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for seed in range(TRIES):
         spans = written(repeated_spans(rows, dealt, k, minimizer, seed, first_bits if not seed else 64), "spans")
         segments = _segments(spans, k)
-        asked = segments.select(*_ROW, F.col("at").alias("start"), "n").unionByName(segments.select(F.col("source_id").alias("doc_id"), F.col("source_tag").alias("tag"), F.col("source_at").alias("start"), "n")).distinct()
-        per_row = [spans.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "windows")).alias("spans")), asked.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "n")).alias("segments"))]
+        source = ("source_id", "source_tag", "source_at", "n")
+        theirs = segments.select(*source).distinct()  # bounded by the source's length
+        of_source = theirs.select(F.col("source_id").alias("doc_id"), F.col("source_tag").alias("tag"), F.col("source_at").alias("at"), *source)
+        both = segments.unionByName(of_source)
+        per_row = [spans.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "windows")).alias("spans")), both.groupBy(*_ROW).agg(F.collect_list(F.struct("at", "n", "source_id", "source_tag", "source_at")).alias("segments"))]
         work = per_row[0].join(per_row[1], _ROW, "full")
         finished = written(dealt.join(work.hint("shuffle_hash"), _ROW, "left").mapInArrow(_finish(k, keep_text), _FINISHED), "finished")
-        digests = finished.filter("n IS NOT NULL").select(*_ROW, F.col("start").alias("at"), "n", "digest").dropDuplicates([*_ROW, "at", "n"])
-        theirs = digests.select(F.col("doc_id").alias("source_id"), F.col("tag").alias("source_tag"), F.col("at").alias("source_at"), "n", F.col("digest").alias("source_digest"))
-        unlike = segments.join(digests, [*_ROW, "at", "n"]).join(theirs, ["source_id", "source_tag", "source_at", "n"]).filter("digest <> source_digest")
+        told = finished.filter("n IS NOT NULL").groupBy(*_ROW, "start", "n").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d0", "d1")])
+        unlike = told.filter("min_d0 <> max_d0 OR min_d1 <> max_d1")
         if unlike.isEmpty():
             return finished.filter("n IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "longest_span", "kept")
     raise RuntimeError(f"paths of different words shared their digests under {TRIES} seeds")
