@@ -49,6 +49,12 @@ ROUNDS, PRIOR = 2, 0.01
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _log_sum(x: float, y: float) -> float:
+    if x < y:
+        x, y = y, x
+    return x + math.log1p(math.exp(y - x)) if y > -math.inf else x
+
+
 class Lattice:
     """Marginal probability of words over all their segmentations into pieces.
 
@@ -64,11 +70,12 @@ class Lattice:
             learned = self.from_scores(vocabulary)
         *logs, self.byte, end = learned.tolist()
         self.logs = dict(zip(self.pieces, logs, strict=True))
+        self.number = {piece: i for i, piece in enumerate(self.pieces)}
         self.end10 = end / math.log(10)
         self.alphabet = frozenset("".join(self.logs))
         self.automaton = ahocorasick.Automaton()
-        for piece, log in self.logs.items():
-            self.automaton.add_word(piece, (log, len(piece)))
+        for i, (piece, log) in enumerate(self.logs.items()):
+            self.automaton.add_word(piece, (log, len(piece), math.exp(log), i))
         self.automaton.make_automaton()
 
     @staticmethod
@@ -86,46 +93,44 @@ class Lattice:
 
     def arcs(self, s: str) -> list[tuple[int, int, float]]:
         """(start, end, log) of all pieces in s, by end; characters in no piece are taken by their bytes."""
-        found = [(end + 1 - length, end + 1, log) for end, (log, length) in self.automaton.iter(s)]
+        found = [(end + 1 - length, end + 1, log) for end, (log, length, _, _) in self.automaton.iter(s)]
         if not self.alphabet.issuperset(s):
             found += [(k, k + 1, self.byte * len(c.encode())) for k, c in enumerate(s) if c not in self.logs]
             found.sort(key=lambda a: a[1])
         return found
 
-    def expect(self, word: str, times: float, counts: dict[str, float]) -> None:
-        """Add to counts how often each piece, and "" for a byte, is expected in `times` of the word."""
+    def expect(self, word: str, times: float, counts: list[float]) -> None:
+        """Add to counts how often each piece, and last a byte, is expected in `times` of the word."""
         s = SPACE + word
-        arcs = self.arcs(s)
-        weights = [math.exp(log) for _, _, log in arcs]
         ahead, back = [0.0] * (len(s) + 1), [0.0] * (len(s) + 1)
         ahead[0] = back[-1] = 1.0
-        for (a, b, _), w in zip(arcs, weights, strict=True):
-            ahead[b] += ahead[a] * w
-        if not ahead[-1] > 1e-250:
-            self._expect_long(s, arcs, times, counts)
-            return
-        scale = times / ahead[-1]
-        for (a, b, _), w in zip(reversed(arcs), reversed(weights), strict=True):
-            x = back[b] * w
-            back[a] += x
-            piece = s[a:b]
-            if piece in self.logs:
-                counts[piece] += ahead[a] * x * scale
-            else:
-                counts[""] += ahead[a] * x * scale * len(piece.encode())
-
-    def _expect_long(self, s: str, arcs: list[tuple[int, int, float]], times: float, counts: dict[str, float]) -> None:
-        """The same in log space, for words whose probability is too small to write."""
-        ahead, back = np.full(len(s) + 1, -np.inf), np.full(len(s) + 1, -np.inf)
+        if self.alphabet.issuperset(s):
+            used = []
+            for end, (_, length, w, i) in self.automaton.iter(s):
+                a = end + 1 - length
+                if x := ahead[a] * w:
+                    ahead[end + 1] += x
+                    used.append((a, end + 1, w, i, x))
+            if ahead[-1] > 1e-250:
+                scale = times / ahead[-1]
+                for a, b, w, i, x in reversed(used):
+                    if y := back[b]:
+                        counts[i] += x * y * scale
+                        back[a] += y * w
+                return
+        self._expect_long(s, self.arcs(s), times, counts)
+
+    def _expect_long(self, s: str, arcs: list[tuple[int, int, float]], times: float, counts: list[float]) -> None:
+        """The same in log space, for words whose probability is too small to write or that have characters in no piece."""
+        ahead, back = [-math.inf] * (len(s) + 1), [-math.inf] * (len(s) + 1)
         ahead[0] = back[-1] = 0.0
         for a, b, log in arcs:
-            ahead[b] = np.logaddexp(ahead[b], ahead[a] + log)
+            ahead[b] = _log_sum(ahead[b], ahead[a] + log)
         for a, b, log in reversed(arcs):
-            back[a] = np.logaddexp(back[a], back[b] + log)
+            back[a] = _log_sum(back[a], back[b] + log)
             if (x := ahead[a] + log + back[b] - ahead[-1]) > -700:
-                piece = s[a:b]
-                known = piece in self.logs
-                counts[piece if known else ""] += times * math.exp(x) * (1 if known else len(piece.encode()))
+                i = self.number.get(s[a:b])
+                counts[-1 if i is None else i] += times * math.exp(x) * (len(s[a:b].encode()) if i is None else 1)
 
     def forward(self, word: str) -> float:
         """Natural log of the word's probability, the space mark before it included."""
@@ -133,7 +138,8 @@ class Lattice:
         log1p, exp = math.log1p, math.exp
         a: list[float | None] = [None] * (len(s) + 1)
         a[0] = 0.0
-        for start, end, log in self.arcs(s):
+        known = self.alphabet.issuperset(s)
+        for start, end, log in ((e + 1 - n, e + 1, x) for e, (x, n, _, _) in self.automaton.iter(s)) if known else self.arcs(s):
             before = a[start]
             if before is None:
                 continue
@@ -192,12 +198,11 @@ def _expectations(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
-        counts: dict[str, float] = dict.fromkeys([*lattice.pieces, ""], 0.0)
+        counts = [0.0] * (len(lattice.pieces) + 1)
         for batch in batches:
             for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
                 lattice.expect(word, c, counts)
-        number = {piece: i for i, piece in enumerate(lattice.pieces)} | {"": -1}
-        some = [(number[piece], n) for piece, n in counts.items() if n]
+        some = [(i if i < len(lattice.pieces) else -1, n) for i, n in enumerate(counts) if n]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([n for _, n in some], pa.float64())], ["piece", "n"])
 
     return run
