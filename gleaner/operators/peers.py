@@ -143,10 +143,10 @@ def is_requested(requests: DataFrame, session: int, pixel_hash: str) -> DataFram
 
 
 def respond(requests: DataFrame, ids: list[int], status: str, now: str) -> DataFrame:
-    """Requests after an answer; times that were set stay."""
+    """Requests after an answer, with its time."""
     hit = F.col("id").isin(*ids)
-    answered = F.when(hit & F.lit(status in ("approved", "denied")), F.coalesce("responded_at", F.lit(now))).otherwise(F.col("responded_at"))
-    fulfilled = F.when(hit & F.lit(status == "fulfilled"), F.coalesce("fulfilled_at", F.lit(now))).otherwise(F.col("fulfilled_at"))
+    answered = F.when(hit & F.lit(status in ("approved", "denied")), F.lit(now)).otherwise(F.col("responded_at"))
+    fulfilled = F.when(hit & F.lit(status == "fulfilled"), F.lit(now)).otherwise(F.col("fulfilled_at"))
     return requests.withColumns({"responded_at": answered, "fulfilled_at": fulfilled, "status": F.when(hit, status).otherwise(F.col("status"))})
 
 

@@ -117,11 +117,11 @@ def expired(bin_: DataFrame, cutoff: str) -> DataFrame:
     return bin_.filter((F.col("expires_at") < cutoff) & F.col("recovered_at").isNull())
 
 
-def restore(bin_: DataFrame, files: DataFrame, session: int, ids: list[int], now: str) -> tuple[DataFrame, DataFrame]:
-    """Bin and files after these came back."""
-    back = (F.col("session_id") == session) & F.col("file_id").isin(*ids) & F.col("recovered_at").isNull()
-    active = files.join(bin_.filter(back).select(F.col("file_id").alias("id")).distinct().withColumn("back", F.lit(True)), "id", "left")
-    return bin_.withColumn("recovered_at", F.when(back, now).otherwise(F.col("recovered_at"))), active.withColumn("status", F.when(F.col("back"), "active").otherwise(F.col("status"))).select(*files.columns)
+def restore(bin_: DataFrame, files: DataFrame, ids: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Bin and files after these items of the bin (id) came back; those that left it before stay as they are."""
+    back = bin_.filter(F.col("recovered_at").isNull()).join(ids.select("id").distinct(), "id", "left_semi").select("id", "file_id")
+    marked = merge(bin_, back.select("id", F.lit(now).alias("recovered_at")), ["id"])
+    return marked, merge(files, back.select(F.col("file_id").alias("id"), F.lit("active").alias("status")).distinct(), ["id"])
 
 
 def days_left(expires: Column, now: Column) -> Column:
