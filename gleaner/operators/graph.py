@@ -14,9 +14,10 @@ def least_labels(edges: DataFrame) -> DataFrame:
     """From edges (a, b): one row (node, root) for each node, root being its component's least node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until
-    nothing changes: each step groups by node, so a node with very many
-    neighbours is reduced by min() before rows move, and the neighbour lists
-    are never collected. Every round is written to the shared folder.
+    nothing changes. The least neighbour of a node comes from a min() with
+    map-side combine and neighbour lists are never collected; the join that
+    gives it back to the edges sends all edges of a node to one task, which
+    streams them. Every round is written to the shared folder.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = (-1, -1)
