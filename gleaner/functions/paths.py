@@ -102,7 +102,7 @@ def bytes_text(n: Column) -> Column:
 
 def ratio_text(whole: Column, compressed: Column) -> Column:
     """How much smaller compressed is; empty where there was nothing."""
-    saved = F.format_number(F.bround((1 - compressed / whole) * 100), 0)
+    saved = F.format_string("%.0f", F.bround((1 - compressed / whole) * 100))
     return F.when(whole <= 0, F.lit("")).otherwise(F.concat(F.lit("Compressed "), size_text(whole), F.lit(" → "), size_text(compressed), F.lit(" ("), saved, F.lit("% reduction)")))
 
 
@@ -115,5 +115,23 @@ def duration_text(seconds: Column) -> Column:
     return F.when(whole.isNull(), F.lit(None)).when(whole < 60, F.format_string("%ds", whole)).otherwise(F.format_string("%dm %ds", F.floor(whole / 60), whole % 60))
 
 
+def elapsed_text(millis: Column) -> Column:
+    """Seconds with one decimal below a minute, else minutes and whole seconds; halves up, null stays null."""
+    ms = millis.cast("long")
+    below = F.concat(_tenths(ms, 1000, F.lit(True)), F.lit("s"))
+    return F.when(ms < 60_000, below).otherwise(F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m "), F.floor((ms % 60_000 + 500) / 1000).cast("string"), F.lit("s")))
+
+
+def thousands_text(n: Column) -> Column:
+    """Whole numbers as they are below 1,000, else thousands with one decimal; halves up, null stays null."""
+    n = n.cast("long")
+    return F.when(n < 1000, n.cast("string")).otherwise(F.concat(_tenths(n, 1000, F.lit(True)), F.lit("k")))
+
+
+def share_text(share: Column) -> Column:
+    """A share of one as a whole percentage, halves up."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
 def data_uri(content: Column, mime: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))

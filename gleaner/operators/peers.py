@@ -109,21 +109,29 @@ def common_roots(files: DataFrame, share: float = ROOT_SHARE) -> DataFrame:
 
 
 def tokenise(files: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:
-    """Paths with the first root that fits (longest first) replaced by its token."""
+    """Paths with the first root that fits (longest first) replaced by its token; other paths stay as they are."""
     path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
-    out = path
+    out = F.col("path")
     for token, root in reversed(roots):
-        out = F.when(path.startswith(root + "/"), F.concat(F.lit(token), F.substring(path, len(root) + 1, F.length(path)))).otherwise(out)
+        fits = path.startswith(root + "/") | (path == root)
+        out = F.when(fits, F.concat(F.lit(token), F.substr(path, F.lit(len(root) + 1)))).otherwise(out)
     return files.withColumn("path", out)
 
 
 def detokenise(files: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:
+    """Paths with their token replaced by its root."""
     out = F.col("path")
     for token, root in roots:
-        out = F.when(F.col("path").startswith(token), F.concat(F.lit(root), F.substring("path", len(token) + 1, F.length("path")))).otherwise(out)
+        out = F.when(F.col("path").startswith(token), F.concat(F.lit(root), F.substr("path", F.lit(len(token) + 1)))).otherwise(out)
     return files.withColumn("path", out)
 
 
+def outgoing(requests: DataFrame, session: int) -> DataFrame:
+    """What an export tells of a session's open requests."""
+    asked = requests.filter((F.col("session_id") == session) & F.col("status").isin("pending", "approved"))
+    return asked.select("pixel_hash", "target_peer", "status", "requested_at")
+
+
 def requests_of(requests: DataFrame, session: int) -> DataFrame:
     return requests.filter(F.col("session_id") == session).orderBy(F.desc("requested_at"), "id")
 

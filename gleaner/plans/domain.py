@@ -50,6 +50,9 @@ SELECT doc_id AS id, cast(substr(source, 4) AS BIGINT) AS peer_id, cast(doc_id A
        concat('/', source, '/doc_', cast(doc_id AS STRING), '.jpg') AS path, n_chars AS size, md5(text) AS pixel_hash
 FROM {documents} WHERE doc_id % 3 = 0""",
     "local_files": "SELECT * FROM {files} WHERE id % 3 <> 0",
+    "app_config": "SELECT cast(1 AS BIGINT) AS id, 'en' AS language, 'system' AS theme, cast(count(*) AS INT) AS max_scan_workers, true AS perf_logging FROM {region}",
+    "sync_config": """
+SELECT cast(1 AS BIGINT) AS id, 'ann' AS local_username, cast(NULL AS STRING) AS gdrive_folder_id, false AS sync_enabled, 'filename' AS export_privacy, cast(count(*) AS INT) AS scan_delay_ms FROM {region}""",
     "telemetry": """
 SELECT user_id AS run_id, event_id AS row_id, ts AS noted_at, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS stage,
        event_id * 3 AS files, event_id % 9 AS active, cast(8 AS BIGINT) AS workers, event_id % 40 AS waiting, event_id % 7 AS queued, event_id * 2 AS lock_us

@@ -13,7 +13,7 @@ from gleaner.operators import peers
 MOST_BYTES, MOST_ENTRIES = 10 << 20, 100_000
 ENTRY = "struct<remote_id:string,pixel_hash:string,size:long,modified_at:string,perceptual_hash:string,filename:string,path:string>"
 DOCUMENT = f"username string, exported_at string, privacy_level string, files array<{ENTRY}>"
-SHORT_ENTRY = "r string, h string, s long, m string, ph string, f string, p string"
+OUTGOING = "username string, requests_outgoing array<struct<pixel_hash:string,target_peer:string,status:string,requested_at:string>>"
 OPTIMISED = "username string, exported_at string, privacy_level string, _format string, _path_tokens map<string,string>, files array<struct<h:string,files:array<struct<r:string,s:long,m:string,ph:string,f:string,p:string>>>>"
 
 
@@ -30,6 +30,19 @@ def write_export(files: DataFrame, session: int, username: str, now: str, path:
     lines.write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
 
 
+def write_outgoing(requests: DataFrame, session: int, username: str, now: str, path: str) -> None:
+    """A session's open requests as JSON lines beside its export, read again by read_outgoing."""
+    rows = peers.outgoing(requests, session)
+    lines = rows.select(F.lit(username).alias("username"), F.lit(now).alias("exported_at"), F.array(F.struct(*rows.columns)).alias("requests_outgoing"))
+    lines.write.mode("overwrite").json(path)
+
+
+def read_outgoing(spark: SparkSession, path: str, whole_documents: bool = False) -> DataFrame:
+    """username and the open requests that exports tell of."""
+    raw = spark.read.schema(OUTGOING).option("multiLine", whole_documents).json(path).filter(F.col("username").rlike(USER_FORM))
+    return raw.select("username", F.explode("requests_outgoing").alias("r")).select("username", "r.*")
+
+
 def read_export(spark: SparkSession, path: str, whole_documents: bool = False) -> DataFrame:
     """username, exported_at and the well-formed entries of exports; whole_documents: one JSON document per file."""
     raw = spark.read.schema(DOCUMENT).option("multiLine", whole_documents).json(path)
@@ -38,13 +51,42 @@ def read_export(spark: SparkSession, path: str, whole_documents: bool = False) -
     return peers.valid_entries(entries)
 
 
-def read_optimised(spark: SparkSession, path: str) -> DataFrame:
-    """The same from documents with short keys, entries nested by hash and tokens for path roots."""
-    raw = spark.read.schema(OPTIMISED).option("multiLine", True).json(path).filter(F.col("username").rlike(USER_FORM))
+#: Entries of one hash in a line of an optimised export, on average at most.
+LINE_ENTRIES = 1000
+
+
+def write_optimised(files: DataFrame, session: int, username: str, now: str, path: str, privacy: str = "hash_only", share: float = peers.ROOT_SHARE) -> None:
+    """A catalog as gzipped JSON lines with short keys, entries nested by hash and tokens for path roots.
+
+    A line holds one hash and about LINE_ENTRIES of its entries; a hash with
+    more has several lines, so no row grows with the catalog. The roots are at
+    most peers.MOST_ROOTS.
+    """
+    if not re.match(USER_FORM, username):
+        raise ValueError(f"bad username: {username}")
+    rows = peers.export_rows(files, session, username, privacy)
+    tokens = F.lit(None).cast("map<string,string>")
+    if privacy == "full_path":
+        roots = [(r["token"], r["root"]) for r in peers.common_roots(rows, share).collect()]
+        rows = peers.tokenise(rows, roots)
+        if roots:
+            tokens = F.create_map(*[F.lit(x) for pair in roots for x in pair])
+    counts = rows.groupBy("pixel_hash").agg(F.ceil(F.count("*") / LINE_ENTRIES).alias("lines"))
+    short = peers.shorten(rows.join(counts, "pixel_hash").withColumn("line", F.pmod(F.xxhash64("remote_id"), F.col("lines"))).drop("lines"))
+    entry = F.struct(*[c for c in short.columns if c not in ("h", "line")])
+    nested = short.groupBy("h", "line").agg(F.sort_array(F.collect_list(entry)).alias("files"))
+    header = {"username": username, "exported_at": now, "privacy_level": privacy, "_format": "optimized_v1"}
+    lines = nested.select(*[F.lit(v).alias(k) for k, v in header.items()], tokens.alias("_path_tokens"), F.array(F.struct("h", "files")).alias("files"))
+    lines.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def read_optimised(spark: SparkSession, path: str, whole_documents: bool = True) -> DataFrame:
+    """The entries of optimised exports, keys, hashes and paths whole again; whole_documents: one JSON document per file."""
+    raw = spark.read.schema(OPTIMISED).option("multiLine", whole_documents).json(path).filter(F.col("username").rlike(USER_FORM))
     nested = raw.select("username", "exported_at", "_path_tokens", F.explode("files").alias("g")).select("username", "exported_at", "_path_tokens", "g.h", F.explode("g.files").alias("f"))
     token = F.regexp_extract("f.p", r"^(<R\d+>)", 1)
-    root = F.coalesce(F.element_at("_path_tokens", token), F.lit(""))
-    whole = F.when(token == "", F.col("f.p")).otherwise(F.concat(root, F.substring(F.col("f.p"), F.length(token) + 1, F.length("f.p"))))
+    root = F.element_at("_path_tokens", token)
+    whole = F.when(root.isNull(), F.col("f.p")).otherwise(F.concat(root, F.substr("f.p", F.length(token) + 1)))
     return peers.valid_entries(nested.select("username", "exported_at", F.col("f.r").alias("remote_id"), F.col("h").alias("pixel_hash"), F.col("f.s").alias("size"), F.col("f.m").alias("modified_at"), F.col("f.ph").alias("perceptual_hash"), F.col("f.f").alias("filename"), whole.alias("path")))
 
 

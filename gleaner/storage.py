@@ -27,13 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder
 
 
+def write(df: DataFrame, name: str) -> str:
+    """The new Parquet folder in the shared folder that holds df."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again.
 
     This cuts the lineage so that it survives lost executors, and fixes values
     such as partition numbers that a second evaluation could deal differently.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
