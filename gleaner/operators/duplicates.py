@@ -78,11 +78,22 @@ def filtered_group_count(files: DataFrame, session: int, min_copies: int = 2, **
     return groups.filter(F.col("n") >= max(2, min_copies)).agg(F.count("*").alias("total_count"))
 
 
+def _with_copies(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key occurs more than once, with how often ("copies"); a null in the key equals a null.
+
+    Counts come from an aggregate with map-side combine. Dealing them out anew
+    leaves both sides of the join behind shuffles of its own, so that the
+    adaptive planner can split a key that holds a large share of the rows.
+    """
+    counts = rows.groupBy(*[F.col(c).alias(f"key_{c}") for c in key]).agg(F.count("*").alias("copies")).filter("copies > 1")
+    dealt = counts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    on = [rows[c].eqNullSafe(F.col(f"key_{c}")) for c in key]
+    return rows.join(dealt, on).select(*rows.columns, "copies")
+
+
 def duplicate_files(files: DataFrame, session: int) -> DataFrame:
-    """Active hashed files with at least one equal: one window, no join."""
-    same = Window.partitionBy("pixel_hash", "hash_algorithm")
-    mine = files.filter((F.col("session_id") == session) & active() & hashed())
-    return mine.withColumn("copies", F.count("*").over(same)).filter("copies > 1")
+    """Active hashed files with at least one equal, with the number of equals."""
+    return _with_copies(files.filter((F.col("session_id") == session) & active() & hashed()), ["pixel_hash", "hash_algorithm"])
 
 
 def duplicate_ids(files: DataFrame, session: int) -> DataFrame:
@@ -98,10 +109,9 @@ def folder_progress(files: DataFrame, session: int, folder: str) -> DataFrame:
 
 def fully_duplicated_folders(files: DataFrame, session: int) -> DataFrame:
     """Folders all of whose hashed active files have an equal in the session."""
-    same = Window.partitionBy("pixel_hash")
-    mine = files.filter((F.col("session_id") == session) & active() & hashed())
-    marked = mine.select(paths.parent(F.col("path")).alias("folder"), (F.count("*").over(same) > 1).alias("again"))
-    return marked.groupBy("folder").agg(F.every("again").alias("whole"), F.count("*").alias("files")).filter("whole").select("folder", "files")
+    mine = files.filter((F.col("session_id") == session) & active() & hashed()).select(paths.parent(F.col("path")).alias("folder"), "pixel_hash")
+    again = _with_copies(mine, ["pixel_hash"]).groupBy("folder").agg(F.count("*").alias("again"))
+    return mine.groupBy("folder").agg(F.count("*").alias("files")).join(again, "folder").filter("files = again").select("folder", "files")
 
 
 def recoverable(files: DataFrame, session: int) -> DataFrame:
@@ -138,11 +148,17 @@ def pending_folders(files: DataFrame, session: int) -> DataFrame:
 
 
 def group_page(files: DataFrame, session: int, offset: int, limit: int) -> DataFrame:
-    """A page of groups by (hash, algorithm), each with its files nested, largest and latest first."""
+    """A page of groups by (hash, algorithm), each with its files nested, largest and latest first.
+
+    The page is chosen from the counts; files of other groups are not moved.
+    """
+    mine = files.filter((F.col("session_id") == session) & active() & hashed())
+    counts = mine.groupBy(F.col("pixel_hash").alias("h"), F.col("hash_algorithm").alias("a")).agg(F.count("*").alias("file_count")).filter("file_count > 1")
+    page = F.broadcast(counts.orderBy("h", "a").offset(offset).limit(limit))  # of `limit` rows
     order = F.struct((-F.coalesce("size", F.lit(-1))).alias("o1"), F.col("id"), F.col("path"), F.col("size"), F.col("modified_at"))
-    nested = duplicate_files(files, session).groupBy("pixel_hash", "hash_algorithm").agg(F.count("*").alias("file_count"), F.sort_array(F.collect_list(order)).alias("files"))
-    page = nested.orderBy("pixel_hash", "hash_algorithm").offset(offset).limit(limit)
-    return page.withColumn("files", F.transform("files", lambda f: f.dropFields("o1")))
+    own = mine.join(page, mine.pixel_hash.eqNullSafe(F.col("h")) & mine.hash_algorithm.eqNullSafe(F.col("a")))
+    nested = own.groupBy("pixel_hash", "hash_algorithm", "file_count").agg(F.sort_array(F.collect_list(order)).alias("files"))
+    return nested.withColumn("files", F.transform("files", lambda f: f.dropFields("o1"))).orderBy("pixel_hash", "hash_algorithm")
 
 
 def unreferenced_thumbnails(files: DataFrame) -> DataFrame:

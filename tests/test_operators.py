@@ -35,6 +35,24 @@ def test_filtered_groups(grouped, how, want):
     assert {r.pixel_hash for r in duplicates.filtered_groups(grouped, 1, **how).collect()} == want
 
 
+def test_a_hot_hash_is_split(spark):
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        n = 20_000
+        hot = F.when(F.col("id") % 2 == 0, A).otherwise(F.md5((F.col("id") % 7000).cast("string").cast("binary")))
+        rows = spark.range(0, n, 1, 8).select("id", F.lit(1).alias("session_id"), F.concat(F.lit("/p/"), F.sha2(F.col("id").cast("string"), 512)).alias("path"), hot.alias("pixel_hash"), F.lit(None).cast("string").alias("hash_algorithm"), F.lit("active").alias("status"))
+        found = duplicates.duplicate_files(rows, 1)
+        assert found.filter(F.col("pixel_hash") == A).agg(F.count("*"), F.min("copies"), F.max("copies")).first()[:] == (n // 2, n // 2, n // 2)
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_fully_duplicated_folders(spark):
     both = files(spark, [(1, "/photos/a.jpg", 1, None, A), (2, "/photos/b.jpg", 1, None, B), (3, "/backup/a.jpg", 1, None, A), (4, "/backup/b.jpg", 1, None, B)])
     assert {r.folder for r in duplicates.fully_duplicated_folders(both, 1).collect()} == {"/photos", "/backup"}
