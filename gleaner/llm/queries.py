@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bm25, chat_format, exact_dedup, lm_score, mixing, pieces, quality, secrets, sentencepiece_codec, simhash, substring_dedup
+from gleaner.llm import bm25, chat_format, conversation_repair, embedding_dedup, exact_dedup, lm_score, mixing, oracle_sql, pieces, quality, secrets, sentencepiece_codec, simhash, spelling, substring_dedup
 from gleaner.llm.shared import crc_bucket
 
 #: The conversation that op4 adds, whose texts hold the template's own control strings.
@@ -64,6 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damaged(turns)), turns)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,10 +88,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_repair": oracle_sql.CONVERSATIONS,
+    "op13_spelling_variants": oracle_sql.SPELLING,
     "op2_exact_dedup": r"""
 WITH flat AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS flat FROM documents
