@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import paths
+from gleaner.operators import naming
 
 RETENTION_DAYS = 30
 
@@ -89,17 +90,13 @@ def deletions(actions: DataFrame, files: DataFrame, session: int) -> DataFrame:
 def execute(actions: DataFrame, files: DataFrame, bin_: DataFrame, session: int, now: Column, trash: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after the pending deletions: executed, in the bin, status deleted.
 
-    A flattened path that is taken, by another deletion or by what lies in the
-    session's bin, gets the next number before its suffix.
+    A file is called by its flattened path; where another deletion or what lies
+    in the session's bin has that name, by the first number of it that is free.
     """
-    flat = paths.trash_name(F.col("path"))
-    lying = bin_.filter((F.col("session_id") == session) & F.col("recovered_at").isNull()).select(paths.trash_name(F.col("original_path")).alias("flat"), paths.basename(F.col("trash_path")).alias("name"))
-    number = F.when(F.col("name") == F.col("flat"), 0).otherwise(F.regexp_extract("name", r"_(\d+)(\.[^.]*)?$", 1).try_cast("int"))
-    taken = lying.groupBy("flat").agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("taken"))
-    todo = deletions(actions, files, session).withColumn("flat", flat).join(taken, "flat", "left")
-    place = F.coalesce("taken", F.lit(0)) + F.row_number().over(Window.partitionBy("flat").orderBy("path", "file_id")) - 1
-    stem, suffix = F.regexp_replace("flat", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("flat", r"(?<=.)(\.[^.]*)$", 1)
-    named = F.when(place == 0, F.col("flat")).otherwise(F.concat(stem, F.lit("_"), place.cast("string"), suffix))
+    lying = bin_.filter((F.col("session_id") == session) & F.col("recovered_at").isNull()).select(paths.basename(F.col("trash_path")).alias("name"))
+    todo = deletions(actions, files, session).select("file_id", "path")
+    todo = todo.join(naming.free_names(todo, lying), "file_id")
+    named = F.col("name")
     text = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ssXXX")
     ends = F.date_format(now + F.expr(f"INTERVAL {RETENTION_DAYS} DAYS"), "yyyy-MM-dd'T'HH:mm:ssXXX")
     gone = todo.select(F.lit(session).cast("long").alias("session_id"), "file_id", F.col("path").alias("original_path"), F.concat(F.lit(f"{trash}/{session}/"), named).alias("trash_path"), text.alias("deleted_at"), ends.alias("expires_at"), F.lit(None).cast("string").alias("recovered_at"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import paths
 from gleaner.operators import duplicates, peers, plan, ranking, similarity
 from gleaner.plans.domain import load
+from gleaner.sources import files as sources
 from gleaner.plans.similarity_queries import _RECURSIVE, _files
 
 REGISTERED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -106,6 +107,18 @@ def path_functions(spark, d):
     )
 
 
+# ---- ingest
+
+
+@query("SELECT session_id, path, id FROM {files} UNION ALL SELECT session_id + 2, path, (SELECT max(id) FROM {files}) + row_number() OVER (ORDER BY session_id, path) FROM {files}")
+def ingest_files(spark, d):
+    """All files are found again in their own session, where they are known, and in another, twice."""
+    files = load(spark, d, "files").select("id", "session_id", "path", "size")
+    again = files.select("session_id", "path", "size")
+    other = again.withColumn("session_id", F.col("session_id") + 2)
+    return sources.ingest(files, again.unionByName(other).unionByName(other)).select("session_id", "path", "id")
+
+
 # ---- duplicates
 
 
@@ -324,30 +337,36 @@ def toggle_actions(spark, d):
     return plan.toggle(actions, actions.filter("file_id % 2 = 0").select("session_id", "file_id", F.lit("delete").alias("action")))
 
 
-# The bin holds an earlier file of every second path, so that names are taken.
-_BIN = """SELECT a.session_id, a.file_id + 1000000000 AS file_id, f.path AS original_path, concat('/trash/1/', replace(f.path, '/', '_')) AS trash_path, '2024-05-01' AS deleted_at, '2024-05-31' AS expires_at, cast(NULL AS STRING) AS recovered_at
-FROM {file_actions} a JOIN {files} f ON f.id = a.file_id WHERE a.session_id = 1 AND a.executed_at IS NULL AND a.action = 'delete' AND a.file_id % 2 = 0"""
-_EXECUTED = "WITH bin AS (" + _BIN + """), todo AS (SELECT a.file_id, f.path, replace(f.path, '/', '_') AS flat, a.file_id % 2 = 0 AS taken FROM {file_actions} a JOIN {files} f ON f.id = a.file_id
-  WHERE a.session_id = 1 AND a.executed_at IS NULL AND a.action = 'delete')"""
+# Names are found one deletion after the other here, by a recursion in the order of their paths.
+_EXECUTED = """WITH RECURSIVE todo AS (SELECT a.file_id, f.path, replace(f.path, '/', '_') AS flat, regexp_replace(replace(f.path, '/', '_'), '\\.jpg$', '') AS stem, row_number() OVER (ORDER BY f.path, a.file_id) AS i
+  FROM {tangled_actions} a JOIN {tangled_files} f ON f.id = a.file_id),
+walk(i, file_id, name, taken) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, '', (SELECT list(replace(trash_path, '/trash/1/', '')) FROM {tangled_bin})
+  UNION ALL SELECT i, file_id, name, list_append(taken, name) FROM (
+    SELECT t.i, t.file_id, w.taken, list_filter(list_transform(range(40), lambda k: CASE k WHEN 0 THEN t.flat ELSE concat(t.stem, '_', k::VARCHAR, '.jpg') END), lambda x: NOT list_contains(w.taken, x))[1] AS name FROM walk w JOIN todo t ON t.i = w.i + 1) s)"""
 
 
 def _executed(spark, d):
-    from_bin = spark.sql(_BIN, files=load(spark, d, "files"), file_actions=load(spark, d, "file_actions"))
-    return plan.execute(load(spark, d, "file_actions"), load(spark, d, "files"), from_bin, 1, F.to_timestamp(F.lit("2024-06-01T00:00:00Z")), "/trash")
+    return plan.execute(load(spark, d, "tangled_actions"), load(spark, d, "tangled_files"), load(spark, d, "tangled_bin"), 1, F.to_timestamp(F.lit("2024-06-01T00:00:00Z")), "/trash")
 
 
-@query(_EXECUTED + """ SELECT file_id, original_path, trash_path, deleted_at, expires_at FROM bin UNION ALL
-SELECT file_id, path, concat('/trash/1/', CASE WHEN taken THEN concat(regexp_replace(flat, '\\.[^.]*$', ''), '_1', regexp_extract(flat, '\\.[^.]*$')) ELSE flat END), '2024-06-01T00:00:00Z', '2024-07-01T00:00:00Z' FROM todo""")
+@query(_EXECUTED + """ SELECT file_id, original_path, trash_path, deleted_at, expires_at FROM {tangled_bin} UNION ALL
+SELECT t.file_id, t.path, concat('/trash/1/', w.name), '2024-06-01T00:00:00Z', '2024-07-01T00:00:00Z' FROM todo t JOIN walk w USING (file_id)""")
 def execute_plan(spark, d):
     return _executed(spark, d)[2].select("file_id", "original_path", "trash_path", "deleted_at", "expires_at")
 
 
-@query(_EXECUTED + " SELECT session_id, a.file_id, action, CASE WHEN session_id = 1 AND t.file_id IS NOT NULL THEN '2024-06-01T00:00:00Z' ELSE executed_at END AS executed_at FROM {file_actions} a LEFT JOIN todo t ON t.file_id = a.file_id")
+@query("SELECT count(*) AS items, count(*) AS names FROM (SELECT file_id FROM {tangled_bin} UNION ALL SELECT file_id FROM {tangled_actions})")
+def execute_plan_unique_names(spark, d):
+    return _executed(spark, d)[2].agg(F.count("*").alias("items"), F.count_distinct("trash_path").alias("names"))
+
+
+@query("SELECT session_id, file_id, action, '2024-06-01T00:00:00Z' AS executed_at FROM {tangled_actions}")
 def execute_plan_actions(spark, d):
     return _executed(spark, d)[0].select("session_id", "file_id", "action", "executed_at")
 
 
-@query(_EXECUTED + " SELECT id, CASE WHEN id IN (SELECT file_id FROM todo) THEN 'deleted' ELSE status END AS status FROM {files}")
+@query("SELECT id, CASE WHEN id IN (SELECT file_id FROM {tangled_actions}) THEN 'deleted' ELSE status END AS status FROM {tangled_files}")
 def execute_plan_files(spark, d):
     return _executed(spark, d)[1].select("id", "status")
 

@@ -26,6 +26,18 @@ SELECT doc_id AS id, cast(CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS BI
        CASE WHEN doc_id % 13 <> 0 THEN cast(doc_id * 37 % 4000 AS INT) END AS width,
        CASE WHEN doc_id % 13 <> 0 THEN cast(doc_id * 53 % 3000 AS INT) END AS height
 FROM {{documents}}""",
+    # Paths whose flattened names clash: two separators, and numbers that are also part of names.
+    "tangled_files": """
+SELECT id, cast(1 AS BIGINT) AS session_id, size, pixel_hash, status,
+       concat('/photos', CASE id % 2 WHEN 0 THEN '/' ELSE '_' END, 'IMG_', cast(cast(floor(id / 8) AS BIGINT) AS STRING), CASE cast(floor(id / 2) AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '_1' WHEN 2 THEN '_1_1' ELSE '_2' END, '.jpg') AS path
+FROM {files}""",
+    "tangled_actions": """
+SELECT doc_id AS id, cast(1 AS BIGINT) AS session_id, doc_id AS file_id, 'delete' AS action, 'file' AS scope, '2024-05-01' AS decided_at, cast(NULL AS STRING) AS executed_at
+FROM {labels} WHERE doc_id IN (SELECT id FROM {files})""",
+    "tangled_bin": """
+SELECT DISTINCT cast(1 AS BIGINT) AS session_id, id + 1000000000 AS file_id, path AS original_path, concat('/trash/1/', replace(path, '/', '_')) AS trash_path,
+       '2024-05-01' AS deleted_at, '2024-05-31' AS expires_at, cast(NULL AS STRING) AS recovered_at
+FROM {tangled_files} WHERE id NOT IN (SELECT file_id FROM {tangled_actions}) AND path LIKE '/photos/%'""",
     "sessions": """
 SELECT cast(session_id AS BIGINT) AS id, concat('scan ', cast(session_id AS STRING)) AS name, 'complete' AS status, '2024-05-01' AS created_at
 FROM (SELECT DISTINCT session_id FROM {files}) s""",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import IMAGE_SUFFIX
+from gleaner.storage import written
 
 #: The columns of a listing; the content is never read for it.
 LISTING = "path string, modificationTime timestamp, length long"
@@ -41,19 +42,32 @@ def _rows(listing: DataFrame, session: int, scanned_at: str) -> DataFrame:
 
 
 def ingest(files: DataFrame, found: DataFrame) -> DataFrame:
-    """files with the found rows whose (session_id, path) is new; new ids go on from the largest.
+    """files with the found rows whose (session_id, path) is new; new ids go on from the largest, without gaps, by session and path.
 
-    Ids follow the path within each of the dealt ranges, so that no task
-    numbers all rows: a range's first id is the count of those before it.
+    Of found rows of one path the least (by its other columns) counts. The new
+    rows are dealt by range, sorted and written, so that a row's range and its
+    place there are fixed values, however often they are read; a range's first
+    id is the count of the rows in those before it. No task numbers all rows.
     """
     key = ["session_id", "path"]
-    fresh = found.dropDuplicates(key).join(files.select(*key), key, "left_anti").repartitionByRange("session_id", "path").withColumn("part", F.spark_partition_id())
-    placed = fresh.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*key)))
-    counts = fresh.groupBy("part").agg(F.count("*").alias("n"))
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row per partition
+    rest = [c for c in found.columns if c not in key]
+    once = found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("row")).select(*key, "row.*") if rest else found.distinct()
+    fresh = once.join(files.select(*key), key, "left_anti")
+    # The number is the partition in the upper bits, and the place in it below.
+    dealt = written(fresh.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("dealt", F.monotonically_increasing_id()), "fresh-files")
+    part = F.shiftright("dealt", 33).alias("part")
+    counts = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per range
     most = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
-    numbered = placed.join(F.broadcast(starts), "part").crossJoin(F.broadcast(most))  # one row
-    rows = numbered.withColumn("id", F.col("most") + F.col("before") + F.col("place")).drop("part", "place", "before", "most")
+    numbered = dealt.withColumn("part", part).join(F.broadcast(starts), "part").crossJoin(F.broadcast(most))  # one row
+    place = F.col("dealt").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = numbered.withColumn("id", F.col("most") + F.col("before") + place + 1).drop("part", "dealt", "before", "most")
     defaults = {"status": "active", "hash_algorithm": "xxh128"}
     rows = rows.withColumns({c: F.lit(v) for c, v in defaults.items() if c in files.columns and c not in rows.columns})
     return files.unionByName(rows, allowMissingColumns=True)
+
+
+def ids_of(files: DataFrame, found: DataFrame) -> DataFrame:
+    """session_id, path, id of the found rows in a catalog that has ingested them."""
+    key = ["session_id", "path"]
+    return found.select(*key).distinct().join(files.select(*key, "id"), key)
