@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import hamming, hex_to_long
@@ -15,13 +19,35 @@ from gleaner.storage import written
 THRESHOLD = 8
 
 
+def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1024):
+            part = whole.slice(lo, 1024)
+            keys, texts = part.column(0), part.column(1).to_pylist()
+            found: list[int | None] = []
+            for text in texts:
+                words = {w for w in re.split("[ \\t\\n\\r]+", text or "") if w}
+                if not words:
+                    found.append(None)
+                    continue
+                votes, words = np.zeros(64, np.int64), list(words)
+                for at in range(0, len(words), 1 << 16):
+                    some = words[at : at + (1 << 16)]
+                    digests = b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:8] for w in some)
+                    votes += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                found.append(np.packbits(votes * 2 > len(words)).tobytes().hex())
+            made = pa.RecordBatch.from_arrays([keys, pa.array(found, pa.string())], ["key", "perceptual_hash"])
+            yield made.filter(made.column(1).is_valid())
+
+
 def text_hash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, perceptual_hash: each bit is the majority over a text's distinct words; the 64 sums are one aggregation."""
-    words = docs.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: w != ""))).alias("w"))
-    hashed = words.select(key, hex_to_long(F.substring(F.md5(F.col("w").cast("binary")), 1, 16)).alias("h"))
-    votes = [F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).alias(f"b{b}") for b in range(64)]
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"b{b}") > 0, F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)).otherwise(F.lit(0)).cast("long") for b in range(64)])
-    return hashed.groupBy(key).agg(*votes).select(key, F.lower(F.lpad(F.hex(bits), 16, "0")).alias("perceptual_hash"))
+    """key, perceptual_hash: each bit is the majority over the MD5 values of a text's distinct words; texts without words have no row.
+
+    One pass over the texts in Arrow batches, without a shuffle: as DataFrame
+    operations the 64 sums need a row per word and took twelve times as long.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.lower(text).alias("text"))
+    return rows.mapInArrow(_majorities, f"key {docs.schema[key].dataType.simpleString()}, perceptual_hash string").withColumnRenamed("key", key)
 
 
 def with_hash(files: DataFrame, session: int) -> DataFrame:
@@ -33,9 +59,12 @@ def needing_hash(files: DataFrame, session: int) -> DataFrame:
 
 
 def representatives(files: DataFrame) -> DataFrame:
-    """The first file (least id) of each pixel hash, with its own perceptual hash; rows without a pixel hash do not count."""
-    first = F.row_number().over(Window.partitionBy("pixel_hash").orderBy("id"))
-    return files.filter(F.col("pixel_hash").isNotNull()).withColumn("place", first).filter("place = 1").select("id", "pixel_hash", "perceptual_hash")
+    """The first file (least id) of each pixel hash, with its own perceptual hash; rows without a pixel hash do not count.
+
+    An aggregate with map-side combine, so a hash that very many files share is no burden of one task.
+    """
+    first = F.min(F.struct("id", "perceptual_hash")).alias("first")
+    return files.filter(F.col("pixel_hash").isNotNull()).groupBy("pixel_hash").agg(first).select("first.id", "pixel_hash", "first.perceptual_hash")
 
 
 def _choices(threshold: int) -> list[int]:
@@ -46,21 +75,120 @@ def _choices(threshold: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
 
 
-def hamming_links(reps: DataFrame, threshold: int = THRESHOLD, key: str = "pixel_hash", value: str = "perceptual_hash") -> DataFrame:
+def _in_chunks(keyed: DataFrame, chunk: int) -> DataFrame:
+    """From (choice, part, h): grp, side, h: h in each group in which it meets the others of its block; lone ones fall out.
+
+    A block's hashes are one group if there are `chunk` at most. Else they are
+    dealt to chunks, and each pair of chunks is a group, so that no task holds
+    a block that very many hashes share.
+    """
+    sizes = written(keyed.groupBy("choice", "part").agg(F.count("*").alias("size")).filter("size > 1"), "block-sizes")
+    chunks = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(5), "h"), chunks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, mine).alias("x"), F.greatest(k, mine).alias("y")))
+    dealt = keyed.join(sizes, ["choice", "part"]).withColumn("pair", F.explode(others))
+    side = F.when(F.col("pair.x") == F.col("pair.y"), F.lit(-1)).otherwise(mine)
+    return dealt.select(F.xxhash64("choice", "part", "pair.x", "pair.y").alias("grp"), side.alias("side"), "h")
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least, other) that join the components of the links (i, j) over n items."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, low)
+        while not np.array_equal(deeper := new[new], new):
+            new = deeper
+        if np.array_equal(new, label):
+            others = np.flatnonzero(label != np.arange(n))
+            return label[others], others
+        label = new
+
+
+def _near_in_groups(threshold: int, forest: bool):
+    """Rows (grp, side, h) come sorted by grp and side. Gives pairs (a, b) of a group's near hashes: all, or a spanning forest.
+
+    side is -1 throughout where a group's rows all meet, else there are two sides that meet each other.
+    """
+
+    def links(h: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        if side[0] < 0:
+            near = np.triu(np.bitwise_count(h[:, None] ^ h[None, :]) <= threshold, 1)
+            i, j = np.nonzero(near)
+        else:
+            cut = int(np.searchsorted(side, side[-1]))
+            i, j = np.nonzero(np.bitwise_count(h[:cut, None] ^ h[None, cut:]) <= threshold)
+            j = j + cut
+        if forest and len(i):
+            i, j = _forest(i, j, len(h))
+        a, b = h[i].view(np.int64), h[j].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("grp", "side", "h")))
+            grp, side, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
+            yield from _whole(starts, side, h)
+            held = [(grp[starts[-1] :], side[starts[-1] :], h[starts[-1] :])]
+        if held:
+            yield from _whole(np.array([0, len(held[0][0])]), held[0][1], held[0][2])
+
+    def _whole(starts: np.ndarray, side: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        unsigned = h.view(np.uint64)
+        found = [links(unsigned[lo:hi], side[lo:hi]) for lo, hi in zip(starts[:-1], starts[1:], strict=True) if hi - lo > 1]
+        found = [f for f in found if f.num_rows]
+        if found:
+            yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _near_hashes(nodes: DataFrame, threshold: int, forest: bool, chunk: int) -> DataFrame:
+    """From distinct hashes (h, long): pairs (a, b), some of them more than once, of those within the threshold."""
+    keyed = nodes.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in _choices(threshold)])).alias("choice", "part"))
+    groups = _in_chunks(keyed, chunk)
+    return groups.repartition("grp").sortWithinPartitions("grp", "side").mapInArrow(_near_in_groups(threshold, forest), "a long, b long")
+
+
+#: Hashes that meet in one group, at most, on either side.
+CHUNK = 1024
+
+
+def hash_nodes(reps: DataFrame, key: str = "pixel_hash", value: str = "perceptual_hash") -> DataFrame:
+    """h (long), node, keys: each distinct hash with the least of its keys and their number."""
+    return reps.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), hex_to_long(F.col(value)).alias("h")).groupBy("h").agg(F.min("k").alias("node"), F.count("*").alias("keys"))
+
+
+def hamming_links(reps: DataFrame, threshold: int = THRESHOLD, key: str = "pixel_hash", value: str = "perceptual_hash", chunk: int = CHUNK) -> DataFrame:
     """Pairs (a < b) of keys whose hashes differ in at most `threshold` bits, with the distance.
 
-    Equal hashes are one node at first, so a hash that very many keys share is
-    not paired with itself in the join; its keys are chained to the least one.
+    Equal hashes are one node, whose key is the least of theirs; its other
+    keys are linked to that one only. So all links between different hashes
+    are there, and copies are not expanded into pairs.
     """
-    hashed = reps.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), hex_to_long(F.col(value)).alias("h"))
-    nodes = hashed.groupBy("h").agg(F.min("k").alias("node"))
-    masks = _choices(threshold)
-    keyed = nodes.select("h", "node", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "part"))
-    other = keyed.select(F.col("h").alias("h2"), F.col("node").alias("node2"), F.col("choice").alias("choice2"), F.col("part").alias("part2"))
-    near = (F.col("choice") == F.col("choice2")) & (F.col("part") == F.col("part2")) & (F.col("node") < F.col("node2")) & (hamming(F.col("h"), F.col("h2")) <= threshold)
-    pairs = keyed.join(other, near).select(F.col("node").alias("a"), F.col("node2").alias("b"), hamming(F.col("h"), F.col("h2")).alias("distance")).distinct()
-    equal = hashed.join(nodes, "h").filter(F.col("k") != F.col("node")).select(F.col("node").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"))
-    return pairs.unionByName(equal)
+    nodes = written(hash_nodes(reps, key, value), "hash-nodes")
+    pairs = _near_hashes(nodes.select("h"), threshold, False, chunk).distinct()
+    of = nodes.select(F.col("h").alias("a"), F.col("node").alias("x"))
+    to = nodes.select(F.col("h").alias("b"), F.col("node").alias("y"))
+    named = pairs.join(of, "a").join(to, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("a"), F.col("b")).alias("distance"))
+    return named.unionByName(_equal(reps, nodes, key, value).withColumn("distance", F.lit(0)))
+
+
+def _equal(reps: DataFrame, nodes: DataFrame, key: str, value: str) -> DataFrame:
+    many = nodes.filter("keys > 1").select("h", "node")
+    return reps.select(F.col(key).alias("k"), hex_to_long(F.col(value)).alias("h")).join(many, "h").filter("k <> node").select(F.col("node").alias("a"), F.col("k").alias("b"))
+
+
+def hamming_forest(reps: DataFrame, threshold: int = THRESHOLD, key: str = "pixel_hash", value: str = "perceptual_hash", chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between keys that join exactly what hamming_links() joins; each group gives a spanning forest, so their number grows with the hashes and not with their pairs."""
+    nodes = written(hash_nodes(reps, key, value), "hash-nodes")
+    pairs = _near_hashes(nodes.select("h"), threshold, True, chunk).distinct()
+    named = pairs.join(nodes.select(F.col("h").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("h").alias("b"), F.col("node").alias("y")), "b")
+    return named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(_equal(reps, nodes, key, value))
 
 
 def similarity_groups(files: DataFrame, session: int, threshold: int = THRESHOLD) -> DataFrame:
@@ -70,23 +198,17 @@ def similarity_groups(files: DataFrame, session: int, threshold: int = THRESHOLD
     the next; every file of a hash is a member. group_id is the least id of
     the least hash in the group, and distance is measured to that file.
     """
-    mine = with_hash(files, session)
+    mine = with_hash(files, session).select("id", "pixel_hash", "perceptual_hash").filter("pixel_hash IS NOT NULL")
     reps = written(representatives(mine), "representatives")
-    links = hamming_links(reps, threshold).select("a", "b")
-    roots = written(least_labels(links), "similar")
-    members = mine.join(roots, mine.pixel_hash == roots.node).select(F.col("id").alias("file_id"), "pixel_hash", "perceptual_hash", F.col("root"))
+    roots = least_labels(hamming_forest(reps, threshold))
     lead = reps.select(F.col("pixel_hash").alias("root"), F.col("id").alias("group_id"), F.col("perceptual_hash").alias("lead_hash"))
-    joined = members.join(lead, "root")
-    distance = F.when(F.col("perceptual_hash").isNull(), F.lit(0)).otherwise(hamming(hex_to_long(F.col("perceptual_hash")), hex_to_long(F.col("lead_hash"))))
-    count = F.count("*").over(Window.partitionBy("group_id"))
-    return joined.select("group_id", "file_id", "pixel_hash", distance.alias("distance"), count.alias("member_count"))
+    led = written(roots.join(lead, "root"), "similar")
+    joined = written(mine.join(led, mine.pixel_hash == led.node).select("group_id", F.col("id").alias("file_id"), "pixel_hash", F.coalesce(hamming(hex_to_long(F.col("perceptual_hash")), hex_to_long(F.col("lead_hash"))), F.lit(0)).alias("distance")), "similar-files")
+    counts = written(joined.groupBy("group_id").agg(F.count("*").alias("member_count")), "similar-counts")
+    return joined.join(counts, "group_id").select("group_id", "file_id", "pixel_hash", "distance", "member_count")
 
 
 def group_table(members: DataFrame, session: int) -> DataFrame:
     """The stored form of the groups: id, session_id, status, member_count, representative_file_id."""
     return members.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("member_count")).select("id", F.lit(session).cast("long").alias("session_id"), F.lit("pending").alias("status"), "member_count", F.col("id").alias("representative_file_id"))
 
-
-def distance_of(a: Column, b: Column) -> Column:
-    """Differing bits of two 16-digit hex hashes."""
-    return hamming(hex_to_long(a), hex_to_long(b))

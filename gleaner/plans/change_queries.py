@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import catalog, plan, ranking
+from gleaner.operators import catalog, decisions, plan, ranking
 from gleaner.plans.catalog_queries import _CHAINS, _DUPLICATES, _TIES
 from gleaner.plans.domain import load
 
@@ -100,3 +100,38 @@ def apply_preset(spark, d):
 @query(_CHOSEN + " SELECT count(*) FILTER (action = 'keep') AS keep_count, count(*) FILTER (action = 'delete') AS delete_count FROM chosen")
 def apply_preset_counts(spark, d):
     return catalog.apply_preset(load(spark, d, "file_actions"), load(spark, d, "files"), 1, ranking.PRESETS["KEEP_NEWEST"])[1]
+
+
+# The log is folded one entry after the other here, by a recursion over each hash's entries with all its files as state.
+_DECIDED = """WITH RECURSIVE steps AS (
+  SELECT l.*, f.session_id, f.pixel_hash, coalesce(f.pixel_hash, 'file ' || f.id::VARCHAR) AS g, row_number() OVER (PARTITION BY f.session_id, coalesce(f.pixel_hash, 'file ' || f.id::VARCHAR) ORDER BY n) AS k
+  FROM {decision_log} l JOIN {files} f ON f.id = l.file_id WHERE l.action IN ('keep', 'delete', 'ignore') AND l.scope IN ('file', 'folder')
+), begins AS (
+  SELECT f.session_id, coalesce(f.pixel_hash, 'file ' || f.id::VARCHAR) AS g, list({'id': f.id, 'active': f.status = 'active', 'action': a.action, 'scope': a.scope, 'at': a.decided_at, 'done': a.executed_at} ORDER BY f.id) AS state
+  FROM {files} f LEFT JOIN {file_actions} a ON a.session_id = f.session_id AND a.file_id = f.id GROUP BY 1, 2
+), walk(session_id, g, k, state) AS (
+  SELECT session_id, g, 0::BIGINT, state FROM begins
+  UNION ALL
+  SELECT session_id, g, k, CASE WHEN asked = 'delete' AND had IS DISTINCT FROM asked AND hashed AND len(list_filter(state, lambda x: x.active AND x.action IS NULL)) = 1
+    THEN list_transform(state, lambda x: CASE WHEN x.active AND x.action IS NULL THEN {'id': x.id, 'active': x.active, 'action': 'keep', 'scope': 'file', 'at': stamp, 'done': x.done} ELSE x END) ELSE state END
+  FROM (
+    SELECT w.session_id, w.g, s.k, s.action AS asked, s.pixel_hash IS NOT NULL AS hashed, s.decided_at AS stamp, list_filter(w.state, lambda x: x.id = s.file_id)[1].action AS had,
+           list_transform(w.state, lambda x: CASE WHEN x.id <> s.file_id THEN x WHEN x.action = s.action THEN {'id': x.id, 'active': x.active, 'action': NULL, 'scope': NULL, 'at': NULL, 'done': NULL}
+             ELSE {'id': x.id, 'active': x.active, 'action': s.action, 'scope': s.scope, 'at': s.decided_at, 'done': x.done} END) AS state
+    FROM walk w JOIN steps s ON s.session_id = w.session_id AND s.g = w.g AND s.k = w.k + 1
+  ) t
+), ended AS (
+  SELECT session_id, g, unnest(state) AS x FROM walk QUALIFY k = max(k) OVER (PARTITION BY session_id, g)
+)"""
+
+
+@query(_DECIDED + " SELECT session_id, x.id AS file_id, x.action AS action, x.scope AS scope, x.at AS decided_at, x.done AS executed_at FROM ended WHERE x.action IS NOT NULL")
+def decision_log(spark, d):
+    after = decisions.decide(load(spark, d, "file_actions"), load(spark, d, "files"), load(spark, d, "decision_log"))
+    return after.select("session_id", "file_id", "action", "scope", "decided_at", "executed_at")
+
+
+@query(_DECIDED + " SELECT session_id, g AS pixel_hash, x.id AS file_id, x.action AS action FROM ended WHERE x.action IS NOT NULL AND x.active AND g NOT LIKE 'file %' AND (session_id, g) IN (SELECT session_id, g FROM steps)")
+def decision_answers(spark, d):
+    files, log = load(spark, d, "files"), load(spark, d, "decision_log")
+    return decisions.group_actions(decisions.decide(load(spark, d, "file_actions"), files, log), files, decisions.valid(log))

@@ -7,9 +7,12 @@ supplied table or another of these.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.storage import write
+
 SUPPLIED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _DAY = "concat('2024-', lpad(cast({0} % 12 + 1 AS STRING), 2, '0'), '-', lpad(cast({0} % 28 + 1 AS STRING), 2, '0'))"
@@ -26,6 +29,12 @@ SELECT doc_id AS id, cast(CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS BI
        CASE WHEN doc_id % 13 <> 0 THEN cast(doc_id * 37 % 4000 AS INT) END AS width,
        CASE WHEN doc_id % 13 <> 0 THEN cast(doc_id * 53 % 3000 AS INT) END AS height
 FROM {{documents}}""",
+    # Every event is a click on a file, some of them of no known action, scope or file.
+    "decision_log": f"""
+SELECT event_id AS n, event_id * 31 % (SELECT max(doc_id) + 2 FROM {{documents}}) AS file_id,
+       CASE event_type WHEN 'click' THEN 'keep' WHEN 'signup' THEN 'ignore' WHEN 'view' THEN 'share' ELSE 'delete' END AS action,
+       CASE event_id % 43 WHEN 0 THEN 'all' WHEN 1 THEN 'folder' ELSE 'file' END AS scope, {_DAY.format("event_id")} AS decided_at
+FROM {{events}}""",
     # Paths whose flattened names clash: two separators, and numbers that are also part of names.
     "tangled_files": """
 SELECT id, cast(1 AS BIGINT) AS session_id, size, pixel_hash, status,
@@ -80,6 +89,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: load(spark, sf_dir, n) for n in sorted(set(re.findall(r"\{(\w+)\}", text)))})
 
 
+#: Folders of tables that belong to a catalog, by application, catalog and name.
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def materialised(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once for a catalog in an application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = write(make(), name)
+    return spark.read.parquet(_MADE[key])
+
+
 def for_duckdb(query: str) -> str:
     """query, whose {names} are tables, with the derived ones it needs as WITH clauses before it."""
     needed: list[str] = []

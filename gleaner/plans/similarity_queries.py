@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.operators import duplicates, plan, ranking, similarity
-from gleaner.plans.domain import load
+from gleaner.plans.domain import load, materialised
 
 REGISTERED: dict = {}
 
@@ -33,9 +33,13 @@ members AS (SELECT l.id AS group_id, m.id AS file_id, m.pixel_hash, bit_count(xo
   m.size, m.width, m.height, m.modified_at, m.path FROM mine m JOIN roots r USING (pixel_hash) JOIN reps l ON l.pixel_hash = r.root)"""
 
 
+def _prints(spark, d):
+    """doc_id, perceptual_hash: a column of the catalog, so it is computed once for a catalog and session, and written."""
+    return materialised(spark, d, "prints", lambda: similarity.text_hash(load(spark, d, "documents")))
+
+
 def _files(spark, d):
-    prints = similarity.text_hash(load(spark, d, "documents")).withColumnRenamed("doc_id", "id")
-    return load(spark, d, "files").join(prints, "id", "left")
+    return load(spark, d, "files").join(_prints(spark, d).withColumnRenamed("doc_id", "id"), "id", "left")
 
 
 def _members(spark, d):
@@ -49,7 +53,7 @@ _RECURSIVE = _PRINTS.replace("WITH words", "WITH RECURSIVE words", 1) + _GROUPS
 
 @query(_PRINTS + " SELECT doc_id, printf('%016x', bits) AS perceptual_hash FROM prints")
 def perceptual_hashes(spark, d):
-    return similarity.text_hash(load(spark, d, "documents"))
+    return _prints(spark, d)
 
 
 @query(_PRINTS + " SELECT id, pixel_hash, printf('%016x', bits) AS perceptual_hash FROM reps")
@@ -62,15 +66,12 @@ def files_needing_hash(spark, d):
     return similarity.needing_hash(_files(spark, d), 1).select("id", "path")
 
 
-@query(_PRINTS + " SELECT least(a, b) AS a, greatest(a, b) AS b, distance FROM links")
+@query(_PRINTS + """, nodes AS (SELECT bits, min(pixel_hash) AS node FROM reps GROUP BY 1)
+SELECT least(a.node, b.node) AS a, greatest(a.node, b.node) AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM nodes a JOIN nodes b ON a.bits < b.bits AND bit_count(xor(a.bits, b.bits)) <= 8
+UNION ALL SELECT node, pixel_hash, 0 FROM reps JOIN nodes USING (bits) WHERE pixel_hash <> node""")
 def hamming_links(spark, d):
-    reps = similarity.representatives(similarity.with_hash(_files(spark, d), 1))
-    # Hashes that are equal are chained to one key; pairs of such keys are brought back here to compare with all pairs.
-    links = similarity.hamming_links(reps).filter("distance > 0 OR a < b")
-    value = reps.select(F.col("pixel_hash").alias("k"), F.col("perceptual_hash").alias("h"))
-    by_hash = links.join(value, links.a == value.k).select("b", "distance", F.col("h").alias("ha")).join(value, F.col("b") == value.k).select("ha", F.col("h").alias("hb"), "distance").distinct()
-    left = by_hash.join(value.select(F.col("h").alias("ha"), F.col("k").alias("x")), "ha").join(value.select(F.col("h").alias("hb"), F.col("k").alias("y")), "hb").filter("x <> y")
-    return left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
+    """Pairs of different hashes by their least keys, and each other key of a hash with its least one."""
+    return similarity.hamming_links(similarity.representatives(similarity.with_hash(_files(spark, d), 1)))
 
 
 @query(_RECURSIVE + " SELECT group_id, file_id, pixel_hash, distance, member_count FROM members")
