@@ -150,7 +150,10 @@ def _near_in_groups(threshold: int, forest: bool):
 def _near_hashes(nodes: DataFrame, threshold: int, forest: bool, chunk: int) -> DataFrame:
     """From distinct hashes (h, long): pairs (a, b), some of them more than once, of those within the threshold."""
     keyed = nodes.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in _choices(threshold)])).alias("choice", "part"))
-    groups = _in_chunks(keyed, chunk)
+    return _join_groups(_in_chunks(keyed, chunk), threshold, forest)
+
+
+def _join_groups(groups: DataFrame, threshold: int, forest: bool) -> DataFrame:
     return groups.repartition("grp").sortWithinPartitions("grp", "side").mapInArrow(_near_in_groups(threshold, forest), "a long, b long")
 
 
@@ -200,14 +203,30 @@ def similarity_groups(files: DataFrame, session: int, threshold: int = THRESHOLD
     """
     mine = with_hash(files, session).select("id", "pixel_hash", "perceptual_hash").filter("pixel_hash IS NOT NULL")
     reps = written(representatives(mine), "representatives")
-    roots = least_labels(hamming_forest(reps, threshold))
+    return members_of(mine, reps, least_labels(hamming_forest(reps, threshold)))
+
+
+def members_of(mine: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of groups, from files, representatives and labels (node, root) of linked hashes, as similarity_groups() gives them."""
     lead = reps.select(F.col("pixel_hash").alias("root"), F.col("id").alias("group_id"), F.col("perceptual_hash").alias("lead_hash"))
     led = written(roots.join(lead, "root"), "similar")
-    joined = written(mine.join(led, mine.pixel_hash == led.node).select("group_id", F.col("id").alias("file_id"), "pixel_hash", F.coalesce(hamming(hex_to_long(F.col("perceptual_hash")), hex_to_long(F.col("lead_hash"))), F.lit(0)).alias("distance")), "similar-files")
+    distance = F.coalesce(hamming(hex_to_long(F.col("perceptual_hash")), hex_to_long(F.col("lead_hash"))), F.lit(0))
+    joined = written(mine.join(led, mine.pixel_hash == led.node).select("group_id", F.col("id").alias("file_id"), "pixel_hash", distance.alias("distance")), "similar-files")
     counts = written(joined.groupBy("group_id").agg(F.count("*").alias("member_count")), "similar-counts")
     return joined.join(counts, "group_id").select("group_id", "file_id", "pixel_hash", "distance", "member_count")
 
 
+def links_of_new(reps: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """From representatives with a flag `new`: links (a, b) that join all near hashes of which one at least is new, over the blocks that new ones are in."""
+    rows = reps.filter("perceptual_hash IS NOT NULL").select(F.col("pixel_hash").alias("k"), hex_to_long(F.col("perceptual_hash")).alias("h"), "new")
+    nodes = written(rows.groupBy("h").agg(F.min("k").alias("node"), F.count("*").alias("keys"), F.bool_or("new").alias("new")), "hash-nodes")
+    keyed = nodes.select("h", "new", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in _choices(threshold)])).alias("choice", "part"))
+    blocks = keyed.filter("new").select("choice", "part").distinct()
+    pairs = _join_groups(_in_chunks(keyed.drop("new").join(blocks, ["choice", "part"], "left_semi"), chunk), threshold, True).distinct()
+    named = pairs.join(nodes.select(F.col("h").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("h").alias("b"), F.col("node").alias("y")), "b")
+    return named.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(_equal(reps, nodes, "pixel_hash", "perceptual_hash"))
+
+
 def group_table(members: DataFrame, session: int) -> DataFrame:
     """The stored form of the groups: id, session_id, status, member_count, representative_file_id."""
     return members.groupBy(F.col("group_id").alias("id")).agg(F.count("*").alias("member_count")).select("id", F.lit(session).cast("long").alias("session_id"), F.lit("pending").alias("status"), "member_count", F.col("id").alias("representative_file_id"))

@@ -93,12 +93,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _MADE: dict[tuple[str, str, str], str] = {}
 
 
-def materialised(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is made once for a catalog in an application and kept in the shared folder."""
+def made_once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], str]) -> str:
+    """The folder that make() gives, made once for a catalog in an application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MADE:
-        _MADE[key] = write(make(), name)
-    return spark.read.parquet(_MADE[key])
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def materialised(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once for a catalog in an application and kept in the shared folder."""
+    return spark.read.parquet(made_once(spark, sf_dir, name, lambda: write(make(), name)))
 
 
 def for_duckdb(query: str) -> str:

@@ -100,12 +100,6 @@ def _hashed(spark, d):
     return spark.readStream.schema(files.schema).parquet(write(files, "hashed"))
 
 
-@query("SELECT session_id, pixel_hash FROM {files} WHERE pixel_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
-def stream_first_duplicates(spark, d):
-    """Hashes at their second file, from the stream; which two files are first depends on the order of arrival."""
-    return drained(detectors.first_duplicates(_hashed(spark, d)), "firsts", "append").select("session_id", "pixel_hash")
-
-
 @query("""SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(pixel_hash) AS done, count(*) AS pending, count(pixel_hash) >= count(*) AS complete
 FROM {files} GROUP BY 1 HAVING count(pixel_hash) > 0""")
 def stream_folder_progress(spark, d):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
-from gleaner.operators import duplicates, plan, ranking, similarity
-from gleaner.plans.domain import load, materialised
+from gleaner.operators import duplicates, plan, ranking, similarity, stored_groups
+from gleaner.plans.domain import load, made_once, materialised
+from gleaner.storage import shared_folder
 
 REGISTERED: dict = {}
 
@@ -118,3 +122,37 @@ def recommend_keepers(spark, d):
 def clear_similarity_actions(spark, d):
     members = similarity.similarity_groups(_files(spark, d), 1)
     return plan.clear_for(load(spark, d, "file_actions"), members.select("file_id"), 1).select("file_id", "action")
+
+
+# The same clauses over the files of the first ingest, under names of their own.
+_FIRST = re.sub(r"\b(words|votes|prints|mine|reps|links|both_ways|reach|roots|members)\b", r"\1_1", _PRINTS.replace("\nWITH words", "words", 1) + _GROUPS).replace("AND status = 'active'", "AND status = 'active' AND id * 2 <= (SELECT max(id) FROM {files})")
+_STORED = _RECURSIVE + ", " + _FIRST + """, groups AS (SELECT group_id AS id, count(*) AS member_count, string_agg(file_id::VARCHAR, ',' ORDER BY file_id) AS who FROM members GROUP BY 1),
+groups_1 AS (SELECT group_id AS id, string_agg(file_id::VARCHAR, ',' ORDER BY file_id) AS who FROM members_1 GROUP BY 1)"""
+
+
+def _stored(spark, d):
+    """Groups of the first half of the files, all reviewed and stored, then merged with the files of the second half."""
+
+    def make():
+        files = _files(spark, d)
+        first = files.filter(F.col("id") * 2 <= F.lit(files.agg(F.max("id")).first()[0]))
+        folder = f"{shared_folder(spark)}/stored-groups-{uuid.uuid4().hex}"
+        groups, members = stored_groups.build(first, 1, "2024-06-01", *stored_groups.empty(spark))
+        stored_groups.commit(folder, stored_groups.set_status(groups, groups.select("id"), "reviewed"), members)
+        fresh = files.join(first.select("id"), "id", "left_anti").select("id")
+        stored_groups.commit(folder, *stored_groups.merge_new(files, fresh, 1, "2024-06-02", *stored_groups.stored(spark, folder)))
+        return folder
+
+    return stored_groups.stored(spark, made_once(spark, d, "stored-groups", make))
+
+
+@query(_STORED + """ SELECT g.id, 1::BIGINT AS session_id, CASE WHEN g.who = f.who THEN '2024-06-01' ELSE '2024-06-02' END AS created_at, CASE WHEN g.who = f.who THEN 'reviewed' ELSE 'pending' END AS status,
+g.member_count, g.id AS representative_file_id FROM groups g LEFT JOIN groups_1 f USING (id)""")
+def stored_groups_after_merge(spark, d):
+    return _stored(spark, d)[0]
+
+
+@query(_RECURSIVE + " SELECT group_id, file_id, distance FROM members")
+def stored_members_after_merge(spark, d):
+    return _stored(spark, d)[1]
+

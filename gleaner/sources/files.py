@@ -42,7 +42,15 @@ def _rows(listing: DataFrame, session: int, scanned_at: str) -> DataFrame:
 
 
 def ingest(files: DataFrame, found: DataFrame) -> DataFrame:
-    """files with the found rows whose (session_id, path) is new; new ids go on from the largest, without gaps, by session and path.
+    """files with the found rows whose (session_id, path) is new, as new_rows() gives them."""
+    rows = new_rows(files, found)
+    defaults = {"status": "active", "hash_algorithm": "xxh128"}
+    rows = rows.withColumns({c: F.lit(v) for c, v in defaults.items() if c in files.columns and c not in rows.columns})
+    return files.unionByName(rows, allowMissingColumns=True)
+
+
+def new_rows(files: DataFrame, found: DataFrame) -> DataFrame:
+    """The found rows whose (session_id, path) is new, with ids that go on from the largest, without gaps, by session and path.
 
     Of found rows of one path the least (by its other columns) counts. The new
     rows are dealt by range, sorted and written, so that a row's range and its
@@ -61,10 +69,7 @@ def ingest(files: DataFrame, found: DataFrame) -> DataFrame:
     most = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
     numbered = dealt.withColumn("part", part).join(F.broadcast(starts), "part").crossJoin(F.broadcast(most))  # one row
     place = F.col("dealt").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = numbered.withColumn("id", F.col("most") + F.col("before") + place + 1).drop("part", "dealt", "before", "most")
-    defaults = {"status": "active", "hash_algorithm": "xxh128"}
-    rows = rows.withColumns({c: F.lit(v) for c, v in defaults.items() if c in files.columns and c not in rows.columns})
-    return files.unionByName(rows, allowMissingColumns=True)
+    return numbered.withColumn("id", F.col("most") + F.col("before") + place + 1).drop("part", "dealt", "before", "most")
 
 
 def ids_of(files: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,42 +3,102 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleaner.functions import paths
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _second_copy(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emits once per hash, when its second file comes; state: files seen (2 at most) and the first id."""
-    seen, first = state.get if state.exists else (0, 0)
-    for rows in batches:
-        if seen >= 2 or rows.empty:
-            continue
-        ids = rows["id"].sort_values().tolist()
-        if seen == 0:
-            first, seen, ids = ids[0], 1, ids[1:]
-        if ids:
-            seen = 2
-            yield pd.DataFrame({"session_id": [key[0]], "pixel_hash": [key[1]], "first_id": [first], "second_id": [ids[0]]})
-    state.update((seen, first))
+
+@contextmanager
+def rocks(spark: SparkSession):
+    """The state store that transformWithState needs, as long as a stream is started and run."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
+class SecondCopy(StatefulProcessor):
+    """Emits once per hash, when its second file comes; state: the ids seen, two at most."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ids = handle.getListState("ids", "id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        known = [i for (i,) in self.ids.get()] if self.ids.exists() else []
+        if len(known) >= 2:
+            for _ in rows:
+                pass
+            return
+        new = sorted(i for part in rows for i in part["id"].nsmallest(2).tolist())[: 2 - len(known)]
+        for i in new:
+            self.ids.appendValue((int(i),))
+        if len(known) + len(new) == 2:
+            first, second = (*known, *new)
+            yield pd.DataFrame({"session_id": [key[0]], "pixel_hash": [key[1]], "first_id": [first], "second_id": [second]})
+
+    def close(self) -> None:
+        pass
 
 
 def first_duplicates(hashed: DataFrame) -> DataFrame:
     """From a stream of files (session_id, id, pixel_hash): one row per session and hash at its second file.
 
     Within a micro-batch the lesser id is first. Files without a hash do not
-    count. State is two numbers per hash, however many copies come.
+    count. State is two ids per hash, however many copies come.
     """
     rows = hashed.filter("pixel_hash IS NOT NULL").select("session_id", "pixel_hash", "id")
-    return rows.groupBy("session_id", "pixel_hash").applyInPandasWithState(
-        _second_copy, "session_id long, pixel_hash string, first_id long, second_id long", "seen int, first long", "append", GroupStateTimeout.NoTimeout
+    return rows.groupBy("session_id", "pixel_hash").transformWithStateInPandas(
+        SecondCopy(), "session_id long, pixel_hash string, first_id long, second_id long", "append", "None"
     )
 
 
+class Finished(StatefulProcessor):
+    """Emits a folder when the last of its pending files is done; state: how many are still to come, at first those expected."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getValueState("left", "left long")
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
+        self.left.update((int(initial["pending"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        done = sum(int(part["done"].sum()) for part in rows)
+        if not self.left.exists():
+            return  # a folder of which nothing is expected
+        left = self.left.get()[0]
+        if left > 0 and done:
+            self.left.update((max(0, left - done),))
+            if left <= done:
+                yield pd.DataFrame({"folder": [key[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def finished_folders(hashed: DataFrame, expected: DataFrame) -> DataFrame:
+    """From a stream of files (path, pixel_hash) and each folder's number of pending files (folder, pending): a row per folder (folder) when its last file is done, once.
+
+    A file that failed (null hash) is never done, so its folder never ends.
+    The files of a folder are counted within a micro-batch before the state
+    sees them, one row for each partition that read some.
+    """
+    done = hashed.select(paths.parent(F.col("path")).alias("folder"), F.when(F.col("pixel_hash").isNotNull(), 1).otherwise(0).alias("done"))
+    return done.groupBy("folder").transformWithStateInPandas(Finished(), "folder string", "append", "None", initialState=expected.select("folder", "pending").groupBy("folder"))
+
+
 def folder_progress(hashed: DataFrame, expected: DataFrame) -> DataFrame:
     """From the stream and each folder's number of files (folder, pending): folder, done, pending, complete; output mode "complete" or "update".
 
