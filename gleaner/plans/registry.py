@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import catalog_queries, change_queries, series_queries, settings_queries, similarity_queries, stream_queries
+from gleaner.plans import catalog_queries, change_queries, import_queries, series_queries, settings_queries, similarity_queries, stream_queries
 from gleaner.plans.domain import for_duckdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (catalog_queries, change_queries, settings_queries, similarity_queries, series_queries, stream_queries):
+for _module in (catalog_queries, change_queries, import_queries, settings_queries, similarity_queries, series_queries, stream_queries):
     for _name, (_query, _sql) in _module.REGISTERED.items():
         QUERIES[_name] = _query
         if _sql:

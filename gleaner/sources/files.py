@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import IMAGE_SUFFIX
-from gleaner.storage import written
+from gleaner.operators import ids
 
 #: The columns of a listing; the content is never read for it.
 LISTING = "path string, modificationTime timestamp, length long"
@@ -52,24 +52,12 @@ def ingest(files: DataFrame, found: DataFrame) -> DataFrame:
 def new_rows(files: DataFrame, found: DataFrame) -> DataFrame:
     """The found rows whose (session_id, path) is new, with ids that go on from the largest, without gaps, by session and path.
 
-    Of found rows of one path the least (by its other columns) counts. The new
-    rows are dealt by range, sorted and written, so that a row's range and its
-    place there are fixed values, however often they are read; a range's first
-    id is the count of the rows in those before it. No task numbers all rows.
+    Of found rows of one path the least (by its other columns) counts.
     """
     key = ["session_id", "path"]
     rest = [c for c in found.columns if c not in key]
     once = found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("row")).select(*key, "row.*") if rest else found.distinct()
-    fresh = once.join(files.select(*key), key, "left_anti")
-    # The number is the partition in the upper bits, and the place in it below.
-    dealt = written(fresh.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("dealt", F.monotonically_increasing_id()), "fresh-files")
-    part = F.shiftright("dealt", 33).alias("part")
-    counts = dealt.groupBy(part).agg(F.count("*").alias("n"))
-    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per range
-    most = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
-    numbered = dealt.withColumn("part", part).join(F.broadcast(starts), "part").crossJoin(F.broadcast(most))  # one row
-    place = F.col("dealt").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn("id", F.col("most") + F.col("before") + place + 1).drop("part", "dealt", "before", "most")
+    return ids.with_ids(once.join(files.select(*key), key, "left_anti"), key, files)
 
 
 def ids_of(files: DataFrame, found: DataFrame) -> DataFrame:
