@@ -147,7 +147,8 @@ def read_documents(spark: SparkSession, where: str | list[str], most_bytes: int
     outcomes has a row per file: document, username, exported_at,
     privacy_level, error (one of ERRORS, or null), entries, skipped (entries
     without a well-formed hash), sha256. checksums (document, sha256): what
-    gzipped files must have.
+    gzipped files must have. A file of no bytes has no row, as Spark's readers
+    pass over it.
     """
     listed = listing(spark, where)
     fits = F.col("name").rlike(r"\.json(\.gz)?$")

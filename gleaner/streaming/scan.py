@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner import schemas
 from gleaner.sources import files as sources
 
-COLUMNS = tuple(schemas.schema("files").fieldNames())
+COLUMNS = tuple(c.split()[0] for c in schemas.DDL["files"].split(", "))
 
 
 def catalog(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame:
