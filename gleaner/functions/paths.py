@@ -101,7 +101,7 @@ def bytes_text(n: Column) -> Column:
 
 
 def ratio_text(whole: Column, compressed: Column) -> Column:
-    """How much smaller compressed is; empty where there was nothing."""
+    """How much smaller compressed is; empty where there was nothing. Its words are fixed values."""
     saved = F.format_string("%.0f", F.bround((1 - compressed / whole) * 100))
     return F.when(whole <= 0, F.lit("")).otherwise(F.concat(F.lit("Compressed "), size_text(whole), F.lit(" → "), size_text(compressed), F.lit(" ("), saved, F.lit("% reduction)")))
 
@@ -135,3 +135,21 @@ def share_text(share: Column) -> Column:
 
 def data_uri(content: Column, mime: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+
+
+def normal(path: Column) -> Column:
+    """A path with its empty, "." and ".." steps taken out; one that would climb above its root stays at the root."""
+    steps = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda s: ~s.isin("", "."))
+    taken = F.aggregate(steps, F.array().cast("array<string>"), lambda at, s: F.when(s == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.array_append(at, s)))
+    return F.concat(F.lit("/"), F.array_join(taken, "/"))
+
+
+def lies_in(path: Column, folder: str) -> Column:
+    """Whether a path, its steps taken, is the folder or lies in it: what a thumbnail must do to be read."""
+    inside = "/" + "/".join(s for s in folder.replace("\\", "/").split("/") if s not in ("", "."))
+    return F.coalesce((normal(path) == inside) | normal(path).startswith(inside.rstrip("/") + "/"), F.lit(False))
+
+
+def safe_data_uri(path: Column, content: Column, folder: str, mime: str = "image/jpeg") -> Column:
+    """The data URI of a thumbnail, empty for one that lies outside its folder or has no content."""
+    return F.when(lies_in(path, folder) & content.isNotNull(), data_uri(content, mime)).otherwise(F.lit(""))

@@ -38,6 +38,38 @@ def delete_session(tables: dict[str, DataFrame], session: int) -> dict[str, Data
     return left
 
 
+def add_folders(folders: DataFrame, session: int, paths_: DataFrame) -> DataFrame:
+    """session_folders with these (folder_path) of a session; those that it has stay once."""
+    key = ["session_id", "folder_path"]
+    new = paths_.select(F.lit(session).cast("long").alias("session_id"), "folder_path").distinct()
+    return folders.unionByName(new.join(folders.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
+def remove_folders(folders: DataFrame, session: int, paths_: DataFrame) -> DataFrame:
+    """session_folders without these (folder_path) of a session."""
+    gone = paths_.select(F.lit(session).cast("long").alias("session_id"), "folder_path").distinct()
+    return folders.join(gone, ["session_id", "folder_path"], "left_anti").select(*folders.columns)
+
+
+def set_status(files: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """files with these (id) in a status."""
+    if status not in schemas.ALLOWED["files", "status"]:
+        raise ValueError(f"unknown status: {status}")
+    return plan.merge(files, ids.select("id", F.lit(status).alias("status")).distinct(), ["id"]).join(files.select("id"), "id", "left_semi").select(*files.columns)
+
+
+def set_paths(files: DataFrame, renamed: DataFrame) -> DataFrame:
+    """files with these (id, path) under another path, as renamed."""
+    changes = renamed.select("id", "path", F.lit("renamed").alias("status"))
+    return plan.merge(files, changes, ["id"]).join(files.select("id"), "id", "left_semi").select(*files.columns)
+
+
+def deactivate_folder(files: DataFrame, session: int, folder: str) -> DataFrame:
+    """files with a session's files in a folder, whatever its depth, deleted; wildcards in folder are plain characters."""
+    hit = (F.col("session_id") == session) & paths.under_escaped(F.col("path"), folder)
+    return files.withColumn("status", F.when(hit, "deleted").otherwise(F.col("status")))
+
+
 def set_hashes(files: DataFrame, updates: DataFrame) -> DataFrame:
     """files with pixel_hash, thumbnail_path and perceptual_hash, as far as updates (id, ...) has them; the algorithm follows the hash's length."""
     if "pixel_hash" in updates.columns:
@@ -84,3 +116,20 @@ def apply_preset(actions: DataFrame, files: DataFrame, session: int, chain: tupl
     chosen = ranking.apply_preset(same, chain, hashes).select(F.lit(session).cast("long").alias("session_id"), F.col("id").alias("file_id"), "action", F.lit("file").alias("scope"))
     n = lambda what: F.count_if(F.col("action") == what).alias(f"{what}_count")
     return plan.merge(actions, chosen, ["session_id", "file_id"]), chosen.agg(n("keep"), n("delete"))
+
+
+def apply_similarity_preset(actions: DataFrame, files: DataFrame, members: DataFrame, session: int, chain: tuple[Criterion, ...], groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decisions after a preset on a session's similarity groups, and how many it keeps and deletes.
+
+    members: group_id, member_count, file_id, distance and the file's columns.
+    Over all groups, decisions on their files are cleared first; for named
+    groups (group_id) only those groups' files are decided.
+    """
+    if groups is None:
+        actions = plan.clear_for(actions, members.select("file_id"), session)
+    else:
+        members = members.join(groups.select("group_id").distinct(), "group_id", "left_semi")
+    found = ranking.apply_similarity_preset(members, duplicates.hash_totals(files, session), chain)
+    chosen = found.select(F.lit(session).cast("long").alias("session_id"), "file_id", "action", F.lit("file").alias("scope"))
+    n = lambda what: F.count_if(F.col("action") == what).alias(f"{what}_count")
+    return plan.merge(actions, chosen, ["session_id", "file_id"]), chosen.agg(n("keep"), n("delete"))

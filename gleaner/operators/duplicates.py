@@ -10,10 +10,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import paths
+from gleaner.operators import ids
 
 
 def active() -> Column:
@@ -26,9 +27,8 @@ def hashed() -> Column:
 
 def size_collisions(files: DataFrame, session: int) -> DataFrame:
     """Unhashed files whose size is shared in the session, whatever the status or hash of the others."""
-    same = Window.partitionBy("size")
-    counted = files.filter((F.col("session_id") == session) & F.col("size").isNotNull()).withColumn("sharing", F.count("*").over(same))
-    return counted.filter((F.col("sharing") > 1) & F.col("pixel_hash").isNull()).drop("sharing")
+    mine = files.filter((F.col("session_id") == session) & F.col("size").isNotNull())
+    return _with_copies(mine, ["size"]).filter(F.col("pixel_hash").isNull()).drop("copies")
 
 
 def size_collision_total(files: DataFrame, session: int) -> DataFrame:
@@ -97,9 +97,14 @@ def duplicate_files(files: DataFrame, session: int) -> DataFrame:
 
 
 def duplicate_ids(files: DataFrame, session: int) -> DataFrame:
-    """pixel_hash and the sorted ids of its files, as text."""
-    ids = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")))
-    return duplicate_files(files, session).groupBy("pixel_hash").agg(F.count("*").alias("file_count"), ids.alias("ids"))
+    """pixel_hash, file_count, position (from 1), id: the files of each duplicate group by id, a row each.
+
+    The rows are numbered over all groups in ranges, and a position is the
+    distance from the group's first number, so no task holds a group.
+    """
+    rows = ids.numbered(duplicate_files(files, session).select("pixel_hash", "id"), ["pixel_hash", "id"])
+    groups = rows.groupBy("pixel_hash").agg(F.min("number").alias("first"), F.count("*").alias("file_count"))
+    return rows.join(groups, "pixel_hash").select("pixel_hash", "file_count", (F.col("number") - F.col("first") + 1).alias("position"), "id")
 
 
 def folder_progress(files: DataFrame, session: int, folder: str) -> DataFrame:

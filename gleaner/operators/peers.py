@@ -66,10 +66,17 @@ def upsert_peers(peers: DataFrame, seen: DataFrame, order: str) -> DataFrame:
     return merge(peers, latest(seen, ["username"], order), ["username"], keep=("id",))
 
 
+#: Entries of one hash in a row, on average at most.
+LINE_ENTRIES = 1000
+
+
 def nested_by_hash(entries: DataFrame) -> DataFrame:
-    """One row per hash with its entries in an array; rows without a hash fall out."""
+    """Rows of a hash and some LINE_ENTRIES of its entries in an array, one for most hashes; rows without a hash fall out."""
     rest = [c for c in entries.columns if c != "pixel_hash"]
-    return entries.filter(F.col("pixel_hash").isNotNull()).groupBy("pixel_hash").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("files"))
+    known = entries.filter(F.col("pixel_hash").isNotNull())
+    lines = known.groupBy("pixel_hash").agg(F.ceil(F.count("*") / LINE_ENTRIES).alias("lines"))
+    dealt = known.join(lines, "pixel_hash").withColumn("line", F.pmod(F.xxhash64(*rest), F.col("lines")))
+    return dealt.groupBy("pixel_hash", "line").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("files")).drop("line")
 
 
 def flat_entries(nested: DataFrame) -> DataFrame:
@@ -88,6 +95,7 @@ def lengthen(entries: DataFrame) -> DataFrame:
     return entries.withColumnsRenamed({v: k for k, v in SHORT.items() if v in entries.columns})
 
 
+#: How many roots, how long at least, and the share of paths that one must stand for.
 MOST_ROOTS, LEAST_ROOT, ROOT_SHARE = 8, 10, 0.3
 
 
@@ -150,12 +158,24 @@ def is_requested(requests: DataFrame, session: int, pixel_hash: str) -> DataFram
     return requests.agg(F.coalesce(F.bool_or(found), F.lit(False)).alias("requested"))
 
 
-def respond(requests: DataFrame, ids: list[int], status: str, now: str) -> DataFrame:
-    """Requests after an answer, with its time."""
-    hit = F.col("id").isin(*ids)
+def respond(requests: DataFrame, ids: DataFrame, status: str, now: str) -> DataFrame:
+    """Requests after an answer to these (id), with its time."""
+    hit = F.coalesce(F.col("hit"), F.lit(False))
     answered = F.when(hit & F.lit(status in ("approved", "denied")), F.lit(now)).otherwise(F.col("responded_at"))
     fulfilled = F.when(hit & F.lit(status == "fulfilled"), F.lit(now)).otherwise(F.col("fulfilled_at"))
-    return requests.withColumns({"responded_at": answered, "fulfilled_at": fulfilled, "status": F.when(hit, status).otherwise(F.col("status"))})
+    joined = requests.join(ids.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
+    return joined.withColumns({"responded_at": answered, "fulfilled_at": fulfilled, "status": F.when(hit, status).otherwise(F.col("status"))}).select(*requests.columns)
+
+
+def delete_requests(requests: DataFrame, gone: DataFrame) -> DataFrame:
+    """Requests without those taken back (session_id, pixel_hash, target_peer)."""
+    key = ["session_id", "pixel_hash", "target_peer"]
+    return requests.join(gone.select(*key).distinct(), key, "left_anti").select(*requests.columns)
+
+
+def all_peers(known: DataFrame) -> DataFrame:
+    """Every peer by name, with when it was seen and the time of the file that it was read from."""
+    return known.select("id", "username", "last_seen_at", "file_mtime").orderBy("username")
 
 
 def create_requests(requests: DataFrame, new: DataFrame) -> DataFrame:

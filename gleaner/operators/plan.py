@@ -58,9 +58,9 @@ def toggle(actions: DataFrame, changes: DataFrame) -> DataFrame:
 
 def folder_action(files: DataFrame, actions: DataFrame, session: int, folder: str, action: str) -> DataFrame:
     """Decisions after `action` on all duplicates (over every status) below folder."""
-    same = F.count("*").over(Window.partitionBy("pixel_hash"))
-    mine = files.filter((F.col("session_id") == session) & F.col("pixel_hash").isNotNull()).withColumn("copies", same)
-    hit = mine.filter((F.col("copies") > 1) & paths.under(F.col("path"), folder))
+    mine = files.filter((F.col("session_id") == session) & F.col("pixel_hash").isNotNull())
+    shared = mine.groupBy("pixel_hash").agg(F.count("*").alias("copies")).filter("copies > 1").select("pixel_hash")
+    hit = mine.filter(paths.under(F.col("path"), folder)).join(shared, "pixel_hash", "left_semi")
     changes = hit.select("session_id", F.col("id").alias("file_id"), F.lit(action).alias("action"), F.lit("folder").alias("scope"))
     return merge(actions, changes, ["session_id", "file_id"])
 
@@ -87,6 +87,13 @@ def deletions(actions: DataFrame, files: DataFrame, session: int) -> DataFrame:
     return pending(actions, session).filter("action = 'delete'").select("file_id", "scope").join(what, "file_id").orderBy("path")
 
 
+def review(actions: DataFrame, files: DataFrame, session: int) -> DataFrame:
+    """The plan for review: a row per pending deletion, by path, with the plan's counts and bytes; one row without a file where nothing is to go."""
+    counts = summary(actions, files, session).select("keep_count", "delete_count", "ignore_count", F.col("delete_bytes").alias("total_size_bytes"))
+    rows = deletions(actions, files, session).select("file_id", "path", "size", "pixel_hash", F.lit("delete").alias("action"))
+    return counts.join(rows, F.lit(True), "left").orderBy("path")  # counts is one row
+
+
 def execute(actions: DataFrame, files: DataFrame, bin_: DataFrame, session: int, now: Column, trash: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after the pending deletions: executed, in the bin, status deleted.
 

@@ -151,6 +151,13 @@ def keep_and_delete_others(keep_id: int, ids: DataFrame) -> DataFrame:
     return ids.select(F.col("id").alias("file_id"), F.when(F.col("id") == keep_id, "keep").otherwise("delete").alias("action"))
 
 
+def keep_one_of_each(keepers: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """file_id, action of the members (group, id) of whole groups: keep for those in keepers (id), delete for the others; groups without a keeper are left alone."""
+    marked = members.select(group, "id").join(keepers.select("id").distinct().withColumn("keeps", F.lit(True)), "id", "left")
+    groups = marked.filter("keeps").select(group).distinct()
+    return marked.join(groups, group, "left_semi").select(F.col("id").alias("file_id"), F.when(F.col("keeps"), "keep").otherwise("delete").alias("action"))
+
+
 def last_undecided(files: DataFrame, actions: DataFrame) -> DataFrame:
     """Active files that are the only one of their session and hash without an action there: they are kept."""
     decided = actions.select("session_id", F.col("file_id").alias("id"), "action")

@@ -39,6 +39,35 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.filter("stage <> ''").groupBy("run_id", "stage").agg(F.count("*").alias("rows"), F.max("files").alias("files"), F.sum("queued").alias("queued"))
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """Per run what its file ends with: elapsed time over all and by stage, waits, events, files; `stages` and `breakdown` are texts "stage:number" in order."""
+    joined = lambda value: F.array_join(F.sort_array(F.collect_list(F.concat("stage", F.lit(":"), value.cast("string")))), ",")
+    spent = stage_bands(rows).groupBy("run_id", "stage").agg(F.sum(F.unix_micros(F.col("ends").cast("timestamp")) - F.unix_micros(F.col("begins").cast("timestamp"))).alias("us"), F.sum("rows").alias("rows"))
+    stages = spent.groupBy("run_id").agg(joined(F.col("us")).alias("stages"), joined(F.col("rows")).alias("breakdown"))  # a stage is one of a few names
+    micros = F.unix_micros(F.col("noted_at").cast("timestamp"))
+    whole = rows.groupBy("run_id").agg((F.max(micros) - F.min(micros)).alias("elapsed_us"), F.max("lock_us").alias("lock_us"), F.count("*").alias("events"), F.max("files").alias("files"))
+    return whole.join(stages, "run_id", "left")
+
+
+def speed(rows: DataFrame, stage: str = "hashing") -> DataFrame:
+    """Per run: files per 1000 s over the time of a stage (of the whole run without one), the largest rate of events per 1000 s, and how smooth that is.
+
+    Smooth: at most 200 events a second and a backlog of 100; else minor
+    delays if either is at most 500; else likely freezes. Fixed values.
+    """
+    spent = stage_bands(rows).filter(F.col("stage") == stage).groupBy("run_id").agg(F.sum(F.unix_micros(F.col("ends").cast("timestamp")) - F.unix_micros(F.col("begins").cast("timestamp"))).alias("stage_us"))
+    rated = derived(rows).select(F.col("run_id").alias("run2"), F.col("row_id").alias("r2"), "dt_us", "backlog")
+    counted = rows.withColumn("new_events", F.col("events") - F.coalesce(F.lag("events").over(_line()), F.col("events")))
+    stepped = counted.join(rated, (F.col("run_id") == F.col("run2")) & (F.col("row_id") == F.col("r2")))
+    rate = F.when(F.col("dt_us") > 0, F.floor(F.col("new_events") * 1_000_000_000 / F.col("dt_us"))).otherwise(F.lit(0))
+    micros = F.unix_micros(F.col("noted_at").cast("timestamp"))
+    most = stepped.groupBy("run_id").agg(F.max(rate).cast("long").alias("most_rate"), F.max("backlog").alias("most_backlog"), F.max("files").alias("files"), (F.max(micros) - F.min(micros)).alias("run_us"))
+    took = F.coalesce("stage_us", "run_us")
+    smooth = F.when((F.col("most_rate") <= 200_000) & (F.col("most_backlog") <= 100), "smooth").when((F.col("most_rate") <= 500_000) | (F.col("most_backlog") <= 500), "minor delays").otherwise("likely freezes")
+    joined = most.join(spent, "run_id", "left")
+    return joined.select("run_id", F.when(took > 0, F.floor(F.col("files") * 1_000_000_000 / took)).otherwise(F.lit(0)).cast("long").alias("files_per_1000s"), "most_rate", "most_backlog", smooth.alias("smoothness"))
+
+
 def card(rows: DataFrame, stage: str = "hashing") -> DataFrame:
     """Per run: mean utilisation over the rows of a stage with its grade, and the row of the largest backlog."""
     made = derived(rows).withColumnsRenamed({"row_id": "r2", "run_id": "run2"})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import paths
-from gleaner.operators import duplicates, peers, plan, ranking, similarity
+from gleaner.operators import catalog, duplicates, peers, plan, ranking, similarity
 from gleaner.plans.domain import load
 from gleaner.sources import files as sources
 from gleaner.plans.similarity_queries import _RECURSIVE, _files
@@ -32,6 +32,15 @@ def session_files(spark, d):
     return load(spark, d, "files").filter("session_id = 1").select("id", "path", "status")
 
 
+@query("SELECT s.id, s.name, s.status, p.username FROM {sessions} s, {remote_peers} p WHERE s.id = 2 AND p.username = (SELECT max(username) FROM {remote_peers})")
+def session_and_peer_lookup(spark, d):
+    """A session by its id and a peer by its name."""
+    known = load(spark, d, "remote_peers")
+    name = known.agg(F.max("username")).first()[0]
+    session = load(spark, d, "sessions").filter("id = 2").select("id", "name", "status")
+    return session.join(known.filter(F.col("username") == name).select("username"), F.lit(True))  # one row each
+
+
 @query("SELECT session_id, folder_path FROM {session_folders} WHERE session_id = 2")
 def session_folder_list(spark, d):
     return load(spark, d, "session_folders").filter("session_id = 2")
@@ -107,6 +116,20 @@ def path_functions(spark, d):
     )
 
 
+@query("""SELECT id, regexp_matches(regexp_extract(path, '[^/]*$'), '^[A-Za-z0-9_-]{1,64}$') AS name_is_user, regexp_matches(regexp_extract(path, '/([^/]*)/[^/]*$', 1), '^[A-Za-z0-9_-]{1,64}$') AS source_is_user,
+regexp_matches(coalesce(pixel_hash, ''), '^[A-Za-z0-9_-]{25,50}$') AS hash_is_folder, regexp_matches(path, '^[A-Za-z0-9_-]{25,50}$') AS path_is_folder,
+CASE WHEN thumbnail_path IS NOT NULL THEN concat('data:image/jpeg;base64,', to_base64(encode(thumbnail_path))) ELSE '' END AS thumbnail, CASE WHEN id % 2 = 0 AND thumbnail_path IS NOT NULL THEN concat('data:image/jpeg;base64,', to_base64(encode(thumbnail_path))) ELSE '' END AS guarded FROM {files}""")
+def validation_forms(spark, d):
+    """Whether texts have the forms of user names and folder ids; thumbnails by their path, and those of odd ids by a path that leaves the folder."""
+    p, t = F.col("path"), F.col("thumbnail_path")
+    away = F.when(F.col("id") % 2 == 0, t).otherwise(F.concat(t, F.lit("/../../etc/passwd")))
+    return load(spark, d, "files").select(
+        "id", paths.basename(p).rlike(paths.USER_FORM).alias("name_is_user"), paths.basename(paths.parent(p)).rlike(paths.USER_FORM).alias("source_is_user"),
+        F.coalesce("pixel_hash", F.lit("")).rlike(paths.FOLDER_ID_FORM).alias("hash_is_folder"), p.rlike(paths.FOLDER_ID_FORM).alias("path_is_folder"),
+        paths.safe_data_uri(t, F.encode(t, "utf-8"), "/thumbs").alias("thumbnail"), paths.safe_data_uri(away, F.encode(t, "utf-8"), "/thumbs/").alias("guarded"),
+    )
+
+
 # ---- ingest
 
 
@@ -169,7 +192,7 @@ def duplicate_files(spark, d):
     return duplicates.duplicate_files(load(spark, d, "files"), 1).select("id", "pixel_hash", "size", "modified_at", "copies")
 
 
-@query(_DUPLICATES + " SELECT pixel_hash, count(*) AS file_count, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM dup GROUP BY 1")
+@query(_DUPLICATES + " SELECT pixel_hash, count(*) OVER (PARTITION BY pixel_hash) AS file_count, row_number() OVER (PARTITION BY pixel_hash ORDER BY id) AS position, id FROM dup")
 def duplicate_ids(spark, d):
     return duplicates.duplicate_ids(load(spark, d, "files"), 1)
 
@@ -180,11 +203,11 @@ def folder_progress(spark, d):
 
 
 @query("""
-WITH marked AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) OVER (PARTITION BY pixel_hash) > 1 AS again FROM {files}
+WITH marked AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) OVER (PARTITION BY pixel_hash) > 1 AS again FROM {hash_folders}
   WHERE session_id = 1 AND status = 'active' AND pixel_hash IS NOT NULL)
 SELECT folder, count(*) AS files FROM marked GROUP BY 1 HAVING bool_and(again)""")
 def fully_duplicated_folders(spark, d):
-    return duplicates.fully_duplicated_folders(load(spark, d, "files"), 1)
+    return duplicates.fully_duplicated_folders(load(spark, d, "hash_folders"), 1)
 
 
 @query(_DUPLICATES + " SELECT pixel_hash, hash_algorithm, count(*) AS file_count, coalesce(sum(size) FILTER (size > 0) - max(size) FILTER (size > 0), 0)::BIGINT AS recoverable_bytes FROM dup GROUP BY 1, 2")
@@ -283,9 +306,11 @@ def last_undecided(spark, d):
     return ranking.last_undecided(load(spark, d, "files"), load(spark, d, "file_actions"))
 
 
-@query("SELECT id AS file_id, CASE WHEN id = 12 THEN 'keep' ELSE 'delete' END AS action FROM {files} WHERE id BETWEEN 10 AND 15")
+@query(_DUPLICATES + " SELECT id AS file_id, CASE WHEN id = min(id) OVER (PARTITION BY pixel_hash) THEN 'keep' ELSE 'delete' END AS action FROM dup")
 def keep_and_delete_others(spark, d):
-    return ranking.keep_and_delete_others(12, load(spark, d, "files").filter("id BETWEEN 10 AND 15").select("id"))
+    """The first file of every duplicate group is kept."""
+    same = duplicates.duplicate_files(load(spark, d, "files"), 1)
+    return ranking.keep_one_of_each(same.groupBy("pixel_hash").agg(F.min("id").alias("id")), same, "pixel_hash")
 
 
 # ---- the plan
@@ -304,6 +329,14 @@ def plan_deletions(spark, d):
     return plan.deletions(load(spark, d, "file_actions"), load(spark, d, "files"), 1)
 
 
+@query("""WITH gone AS (SELECT f.id AS file_id, f.path, f.size, coalesce(f.pixel_hash, '') AS pixel_hash FROM {file_actions} a JOIN {files} f ON f.id = a.file_id WHERE a.session_id = 1 AND a.executed_at IS NULL AND a.action = 'delete'),
+n AS (SELECT count(*) FILTER (a.action = 'keep') AS keep_count, count(*) FILTER (a.action = 'delete') AS delete_count, count(*) FILTER (a.action = 'ignore') AS ignore_count, coalesce(sum(f.size) FILTER (a.action = 'delete'), 0)::BIGINT AS total_size_bytes
+  FROM {file_actions} a JOIN {files} f ON f.id = a.file_id WHERE a.session_id = 1 AND a.executed_at IS NULL)
+SELECT g.*, 'delete' AS action, n.* FROM n LEFT JOIN gone g ON true""")
+def plan_review(spark, d):
+    return plan.review(load(spark, d, "file_actions"), load(spark, d, "files"), 1)
+
+
 @query(_DUPLICATES + " SELECT file_id, action FROM {file_actions} WHERE NOT (session_id = 1 AND file_id IN (SELECT id FROM dup))")
 def clear_duplicate_actions(spark, d):
     ids = duplicates.duplicate_files(load(spark, d, "files"), 1).select(F.col("id").alias("file_id"))
@@ -320,21 +353,21 @@ def folder_action(spark, d):
 
 
 @query("""
-WITH ch AS (SELECT session_id, id AS file_id, CASE id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'delete' ELSE 'ignore' END AS action FROM {files} WHERE id % 6 < 3)
+WITH ch AS (SELECT session_id, id AS file_id, CASE id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'delete' ELSE 'ignore' END AS action FROM {files})
 SELECT coalesce(a.session_id, c.session_id) AS session_id, coalesce(a.file_id, c.file_id) AS file_id, coalesce(c.action, a.action) AS action, a.executed_at
 FROM {file_actions} a FULL JOIN ch c ON a.session_id = c.session_id AND a.file_id = c.file_id""")
 def upsert_actions(spark, d):
-    files = load(spark, d, "files").filter("id % 6 < 3")
+    files = load(spark, d, "files")
     late = files.select("session_id", F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, "keep").when(F.col("id") % 3 == 1, "delete").otherwise("ignore").alias("action"), F.lit(2).alias("n"))
     early = late.withColumns({"action": F.lit("ignore"), "n": F.lit(1)})
     return plan.upsert_actions(load(spark, d, "file_actions"), early.unionByName(late), "n").select("session_id", "file_id", "action", "executed_at")
 
 
-@query("""
-SELECT a.session_id, a.file_id, CASE WHEN a.file_id % 2 = 0 THEN 'delete' ELSE a.action END AS action FROM {file_actions} a WHERE NOT (a.file_id % 2 = 0 AND a.action = 'delete')""")
+@query("SELECT session_id, file_id, 'delete' AS action FROM {file_actions} WHERE action <> 'delete'")
 def toggle_actions(spark, d):
+    """A deletion asked for every decided file."""
     actions = load(spark, d, "file_actions")
-    return plan.toggle(actions, actions.filter("file_id % 2 = 0").select("session_id", "file_id", F.lit("delete").alias("action")))
+    return plan.toggle(actions, actions.select("session_id", "file_id", F.lit("delete").alias("action")))
 
 
 # Names are found one deletion after the other here, by a recursion in the order of their paths.
@@ -379,9 +412,8 @@ def group_detail(spark, d):
 
 @query("SELECT id, CASE WHEN path ILIKE '/de/src\\_1/%' ESCAPE '\\' OR path ILIKE '/de/src1/%' THEN 'deleted' ELSE status END AS status FROM {files} WHERE session_id = 2")
 def deactivate_folder(spark, d):
-    files = load(spark, d, "files").filter("session_id = 2")
-    hit = paths.under_escaped(F.col("path"), "/de/src_1") | paths.under_escaped(F.col("path"), "/de/src1")
-    return files.select("id", F.when(hit, "deleted").otherwise(F.col("status")).alias("status"))
+    files = load(spark, d, "files")
+    return catalog.deactivate_folder(catalog.deactivate_folder(files, 2, "/de/src_1"), 2, "/de/src1").filter("session_id = 2").select("id", "status")
 
 
 @query("SELECT (expires_at::DATE - DATE '2024-06-15')::BIGINT AS days_left, count(*) AS items FROM {soft_deletes} WHERE recovered_at IS NULL GROUP BY 1")
@@ -430,11 +462,11 @@ def nest_and_flatten(spark, d):
 
 
 @query("""
-WITH p AS (SELECT string_split(path, '/') AS parts FROM {files}), e AS (SELECT array_to_string(parts[1:i], '/') AS root FROM p, range(1, len(parts)) t(i)),
-c AS (SELECT root, count(*) AS times FROM e WHERE length(root) >= 10 GROUP BY 1 HAVING count(*) >= greatest(2, floor(0.005 * (SELECT count(*) FROM {files}))))
+WITH p AS (SELECT string_split(path, '/') AS parts FROM {deep_files}), e AS (SELECT array_to_string(parts[1:i], '/') AS root FROM p, range(1, len(parts)) t(i)),
+c AS (SELECT root, count(*) AS times FROM e WHERE length(root) >= 10 GROUP BY 1 HAVING count(*) >= greatest(2, floor(0.005 * (SELECT count(*) FROM {deep_files}))))
 SELECT concat('<R', (row_number() OVER (ORDER BY length(root) DESC, times DESC, root) - 1)::VARCHAR, '>') AS token, root, times FROM c ORDER BY length(root) DESC, times DESC, root LIMIT 8""")
 def common_roots(spark, d):
-    return peers.common_roots(load(spark, d, "files"), 0.005)
+    return peers.common_roots(load(spark, d, "deep_files"), 0.005)
 
 
 @query("SELECT remote_id, peer_id FROM {remote_files} WHERE peer_id <> 3 UNION ALL SELECT concat('new', remote_id), 3 FROM {remote_files} WHERE peer_id = 5")
@@ -443,10 +475,11 @@ def replace_catalog(spark, d):
     return peers.replace_catalog(remote, 3, remote.filter("peer_id = 5").select(F.concat(F.lit("new"), "remote_id").alias("remote_id")))
 
 
-@query("SELECT id, status, CASE WHEN id % 8 IN (0, 1) AND id < 400 THEN '2024-08-01' END AS responded_at FROM (SELECT id, CASE WHEN id % 8 IN (0, 1) AND id < 400 THEN 'approved' ELSE status END AS status FROM {requests})")
+@query("SELECT id, CASE WHEN status = 'pending' AND session_id = 1 THEN 'approved' ELSE status END AS status, CASE WHEN status = 'pending' AND session_id = 1 THEN '2024-08-01' END AS responded_at FROM {requests}")
 def respond_requests(spark, d):
-    ids = [i for i in range(400) if i % 8 in (0, 1)]
-    return peers.respond(load(spark, d, "requests"), ids, "approved", "2024-08-01").select("id", "status", "responded_at")
+    """All pending requests of a session are answered."""
+    requests = load(spark, d, "requests")
+    return peers.respond(requests, peers.to_review(requests, 1).select("id"), "approved", "2024-08-01").select("id", "status", "responded_at")
 
 
 @query("""

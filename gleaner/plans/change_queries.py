@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import catalog, decisions, plan, ranking
+from gleaner.operators import catalog, decisions, peers, plan, ranking
 from gleaner.plans.catalog_queries import _CHAINS, _DUPLICATES, _TIES
 from gleaner.plans.domain import load
 
@@ -89,6 +89,52 @@ def delete_peer(spark, d):
     return peers.join(n, peers.id == n.peer_id, "left").select("id", "username", F.coalesce("files", F.lit(0)).alias("files"))
 
 
+@query("SELECT session_id, folder_path FROM {session_folders} UNION SELECT 1, regexp_replace(path, '/[^/]*$', '') FROM {files} WHERE session_id = 2")
+def add_folders(spark, d):
+    """A session is given the folders of the other one's files, and its own again."""
+    folders, files = load(spark, d, "session_folders"), load(spark, d, "files").filter("session_id = 2")
+    more = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder_path")).unionByName(folders.filter("session_id = 1").select("folder_path"))
+    return catalog.add_folders(folders, 1, more)
+
+
+@query("SELECT session_id, folder_path FROM {session_folders} WHERE NOT (session_id = 2 AND folder_path LIKE '/de/%')")
+def remove_folders(spark, d):
+    folders = load(spark, d, "session_folders")
+    return catalog.remove_folders(folders, 2, folders.filter("folder_path LIKE '/de/%'").select("folder_path"))
+
+
+@query("SELECT session_id, pixel_hash, target_peer, count(*) AS n FROM {requests} WHERE NOT (session_id = 1 AND status = 'denied') GROUP BY ALL HAVING (session_id, pixel_hash, target_peer) NOT IN (SELECT session_id, pixel_hash, target_peer FROM {requests} WHERE session_id = 1 AND status = 'denied')")
+def delete_requests(spark, d):
+    """All requests for what a session was denied are taken back."""
+    requests = load(spark, d, "requests")
+    left = peers.delete_requests(requests, requests.filter("session_id = 1 AND status = 'denied'"))
+    return left.groupBy("session_id", "pixel_hash", "target_peer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, username, '2024-06-01' AS last_seen_at, 'now' AS file_mtime FROM {remote_peers} UNION ALL SELECT NULL, concat(username, '-2'), '2024-06-01', 'now' FROM {remote_peers}")
+def upsert_peers(spark, d):
+    """Every peer is seen again, twice, and with a new one each; the later sight counts."""
+    known = load(spark, d, "remote_peers").withColumns({"last_seen_at": F.lit("2024-01-01"), "file_mtime": F.lit("then")})
+    late = known.select("username", F.lit("2024-06-01").alias("last_seen_at"), F.lit("now").alias("file_mtime"), F.lit(2).alias("n"))
+    early = late.withColumns({"last_seen_at": F.lit("2024-03-01"), "n": F.lit(1)})
+    new = late.withColumn("username", F.concat("username", F.lit("-2")))
+    return peers.upsert_peers(known, late.unionByName(early).unionByName(new), "n").select("id", "username", "last_seen_at", "file_mtime")
+
+
+@query("SELECT id, username, NULL::VARCHAR AS last_seen_at, NULL::VARCHAR AS file_mtime FROM {remote_peers}")
+def peers_list(spark, d):
+    none = F.lit(None).cast("string")
+    return peers.all_peers(load(spark, d, "remote_peers").withColumns({"last_seen_at": none, "file_mtime": none}))
+
+
+@query("SELECT id, path, CASE WHEN status = 'active' AND pixel_hash IS NULL THEN 'deleted' ELSE status END AS status FROM {files} WHERE session_id = 1 UNION ALL SELECT id, concat('/moved', path), 'renamed' FROM {files} WHERE session_id = 2")
+def update_status_and_path(spark, d):
+    """Active files without a hash are deleted in one session; all files of the other move."""
+    files = load(spark, d, "files")
+    gone = catalog.set_status(files, files.filter("session_id = 1 AND status = 'active' AND pixel_hash IS NULL"), "deleted")
+    return catalog.set_paths(gone, files.filter("session_id = 2").select("id", F.concat(F.lit("/moved"), "path").alias("path"))).select("id", "path", "status")
+
+
 _CHOSEN = _DUPLICATES + f", chosen AS (SELECT id, CASE WHEN row_number() OVER (PARTITION BY pixel_hash ORDER BY {_CHAINS['KEEP_NEWEST']}, {_TIES}) = 1 THEN 'keep' ELSE 'delete' END AS action FROM dup)"
 
 

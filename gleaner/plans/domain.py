@@ -29,6 +29,11 @@ SELECT doc_id AS id, cast(CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS BI
        CASE WHEN doc_id % 13 <> 0 THEN cast(doc_id * 37 % 4000 AS INT) END AS width,
        CASE WHEN doc_id % 13 <> 0 THEN cast(doc_id * 53 % 3000 AS INT) END AS height
 FROM {{documents}}""",
+    # Longer paths, whose roots stand for many of them.
+    "deep_files": """
+SELECT id, session_id, concat('/home/', CASE session_id WHEN 1 THEN 'ann' ELSE 'bob' END, '/pictures', path) AS path, size, modified_at, pixel_hash, status FROM {files}""",
+    # A folder for each hash: all files of a duplicate group lie in one folder, a lone file in another.
+    "hash_folders": "SELECT id, session_id, concat('/by hash/', coalesce(pixel_hash, 'none'), '/', cast(id AS STRING), '.jpg') AS path, pixel_hash, status FROM {files}",
     # Every event is a click on a file, some of them of no known action, scope or file.
     "decision_log": f"""
 SELECT event_id AS n, event_id * 31 % (SELECT max(doc_id) + 2 FROM {{documents}}) AS file_id,
@@ -76,7 +81,7 @@ FROM {documents} WHERE doc_id % 3 = 0""",
 SELECT cast(1 AS BIGINT) AS id, 'ann' AS local_username, cast(NULL AS STRING) AS gdrive_folder_id, false AS sync_enabled, 'filename' AS export_privacy, cast(count(*) AS INT) AS scan_delay_ms FROM {region}""",
     "telemetry": """
 SELECT user_id AS run_id, event_id AS row_id, ts AS noted_at, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS stage,
-       event_id * 3 AS files, event_id % 9 AS active, cast(8 AS BIGINT) AS workers, event_id % 40 AS waiting, event_id % 7 AS queued, event_id * 2 AS lock_us
+       event_id * 3 AS files, event_id % 9 AS active, cast(8 AS BIGINT) AS workers, event_id % 40 AS waiting, event_id % 7 AS queued, event_id * 2 AS lock_us, event_id * 5 AS events
 FROM {events}""",
 }
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import duplicates, plan, ranking, similarity, stored_groups
+from gleaner.operators import catalog, duplicates, plan, ranking, similarity, stored_groups
 from gleaner.plans.domain import load, made_once, materialised
 from gleaner.storage import shared_folder
 
@@ -65,9 +65,11 @@ def hash_representatives(spark, d):
     return similarity.representatives(similarity.with_hash(_files(spark, d), 1))
 
 
-@query(_PRINTS + " SELECT id, path FROM {files} WHERE session_id = 1 AND status = 'active' AND id NOT IN (SELECT doc_id FROM prints)")
+@query("SELECT id, path FROM {files} WHERE session_id = 1 AND status = 'active' AND pixel_hash IS NULL")
 def files_needing_hash(spark, d):
-    return similarity.needing_hash(_files(spark, d), 1).select("id", "path")
+    """The catalog before its pass over files without a pixel hash: these have no perceptual one either."""
+    files = _files(spark, d).withColumn("perceptual_hash", F.when(F.col("pixel_hash").isNotNull(), F.col("perceptual_hash")))
+    return similarity.needing_hash(files, 1).select("id", "path")
 
 
 @query(_PRINTS + """, nodes AS (SELECT bits, min(pixel_hash) AS node FROM reps GROUP BY 1)
@@ -110,6 +112,24 @@ def similarity_preset(spark, d):
     return ranking.apply_similarity_preset(_members(spark, d), duplicates.hash_totals(load(spark, d, "files"), 1), ranking.PRESETS["KEEP_LARGEST_FILE"])
 
 
+_PRESET = """, marked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY coalesce(size, 0) DESC, (coalesce(modified_at, '') <> ''), modified_at DESC,
+  length(path) - length(replace(path, '/', '')), distance, file_id) = 1 AS first FROM members WHERE member_count > 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY pixel_hash, first ORDER BY member_count DESC, group_id, distance, file_id) AS r,
+  (SELECT count(*) FROM {files} f WHERE f.session_id = 1 AND f.pixel_hash = marked.pixel_hash) AS total FROM marked),
+chosen AS (SELECT file_id, CASE WHEN first THEN 'keep' WHEN total <= 1 OR r <= total - 1 THEN 'delete' ELSE 'keep' END AS action FROM numbered)"""
+
+
+@query(_RECURSIVE + _PRESET + " SELECT session_id, file_id, action FROM {file_actions} WHERE NOT (session_id = 1 AND file_id IN (SELECT file_id FROM members)) UNION ALL SELECT 1, file_id, action FROM chosen")
+def apply_similarity_preset(spark, d):
+    found = catalog.apply_similarity_preset(load(spark, d, "file_actions"), load(spark, d, "files"), _members(spark, d), 1, ranking.PRESETS["KEEP_LARGEST_FILE"])
+    return found[0].select("session_id", "file_id", "action")
+
+
+@query(_RECURSIVE + _PRESET + " SELECT count(*) FILTER (action = 'keep') AS keep_count, count(*) FILTER (action = 'delete') AS delete_count FROM chosen")
+def apply_similarity_preset_counts(spark, d):
+    return catalog.apply_similarity_preset(load(spark, d, "file_actions"), load(spark, d, "files"), _members(spark, d), 1, ranking.PRESETS["KEEP_LARGEST_FILE"])[1]
+
+
 @query(_RECURSIVE + """, v AS (SELECT *, coalesce(width, 0)::BIGINT * coalesce(height, 0)::BIGINT AS res, coalesce(size, 0) AS bytes FROM members),
 p AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY res DESC, bytes DESC, coalesce(modified_at, '') DESC, length(path), distance, file_id) AS place FROM v),
 g AS (SELECT group_id, max(file_id) FILTER (place = 1) AS keeper_id, max(res) FILTER (place = 1) AS r1, max(res) FILTER (place > 1) AS r2, max(bytes) FILTER (place = 1) AS b1, max(bytes) FILTER (place > 1) AS b2 FROM p GROUP BY 1)

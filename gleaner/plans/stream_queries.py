@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleaner.functions import paths
-from gleaner.operators import similarity
+from gleaner.operators import similarity, telemetry
 from gleaner.plans.domain import load, made_once
 from gleaner.plans.similarity_queries import _PRINTS
+from gleaner.sources import exchange
 from gleaner.storage import shared_folder
 from gleaner.streaming import detectors, scan
 from gleaner.streaming.drain import drained_in_parts
@@ -69,3 +70,24 @@ arrived AS (SELECT f.*, (CASE WHEN id <= a THEN 0 WHEN id <= b THEN 1 ELSE 2 END
 SELECT row_number() OVER (ORDER BY part, f.session_id, f.path) AS id, f.session_id, f.path, f.size, f.modified_at, f.pixel_hash, printf('%016x', p.bits) AS perceptual_hash FROM arrived f LEFT JOIN prints p ON p.doc_id = f.id""")
 def live_scan(spark, d):
     return _scanned(spark, d).select("id", "session_id", "path", "size", "modified_at", "pixel_hash", "perceptual_hash")
+
+
+@query("SELECT run_id, stage, count(*) AS rows, max(files) AS files, sum(queued)::BIGINT AS queued FROM {telemetry} WHERE stage <> '' GROUP BY 1, 2")
+def live_telemetry(spark, d):
+    """The footer that a stream of telemetry leaves after its last part."""
+    rows = load(spark, d, "telemetry").select("run_id", F.col("row_id").alias("id"), "stage", "files", "queued")
+    base = f"{shared_folder(spark)}/telemetry-{uuid.uuid4().hex}"
+    schema = "run_id long, id long, stage string, files long, queued long"
+    for part in _parts(rows):
+        part.write.mode("append").parquet(f"{base}/in")
+        exchange.live_telemetry(spark.readStream.schema(part.schema).parquet(f"{base}/in"), f"{base}/out", telemetry.totals, schema).awaitTermination()
+    return exchange.read_summaries(spark, f"{base}/out/footer", "run_id long, stage string, rows long, files long, queued long")
+
+
+@query("SELECT count(*) AS rows, sum(files)::BIGINT AS files FROM {telemetry}")
+def telemetry_files(spark, d):
+    """Telemetry written as a file with its footer, read without it."""
+    rows = load(spark, d, "telemetry").select("run_id", "row_id", "stage", "files")
+    path = f"{shared_folder(spark)}/telemetry-{uuid.uuid4().hex}"
+    exchange.write_telemetry(rows, path, rows.agg(F.sum("files").alias("files")))
+    return exchange.read_telemetry(spark, path, "run_id long, row_id long, stage string, files long").agg(F.count("*").alias("rows"), F.sum("files").alias("files"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.functions.paths import USER_FORM
 from gleaner.operators import peers
@@ -30,6 +32,13 @@ def write_export(files: DataFrame, session: int, username: str, now: str, path:
     lines.write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
 
 
+def export_by_settings(files: DataFrame, sync_config: DataFrame, session: int, now: str, path: str, compressed: bool = False) -> None:
+    """write_export() with the user name and the level of privacy that the settings have; where there are none, local_user and hash_only (fixed values)."""
+    row = sync_config.select("local_username", "export_privacy").first()
+    name, privacy = (row["local_username"], row["export_privacy"]) if row else (None, None)
+    write_export(files, session, name or "local_user", now, path, privacy or "hash_only", compressed)
+
+
 def write_outgoing(requests: DataFrame, session: int, username: str, now: str, path: str) -> None:
     """A session's open requests as JSON lines beside its export, read again by read_outgoing."""
     rows = peers.outgoing(requests, session)
@@ -113,12 +122,29 @@ def unseen(listing: DataFrame, peers_seen: DataFrame, own: str) -> DataFrame:
     return named.join(peers_seen.select("username", "file_mtime"), ["username", "file_mtime"], "left_anti")
 
 
-def checksum(content: Column) -> Column:
-    return F.sha2(content, 256)
+def write_telemetry(rows: DataFrame, path: str, summary: DataFrame | None = None) -> None:
+    """Telemetry rows as CSV with a header; summary (one row) follows as a file of one comment line, "# SUMMARY:" and its JSON."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    if summary is not None:
+        line = F.concat(F.lit("# SUMMARY:"), F.to_json(F.struct(*summary.columns)))
+        summary.select(line.alias("value")).coalesce(1).write.mode("append").text(path)
 
 
-def write_telemetry(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def live_telemetry(rows: DataFrame, path: str, summarise: Callable[[DataFrame], DataFrame], schema: str) -> StreamingQuery:
+    """Writes a stream of telemetry rows as it comes, batch by batch, and after each batch the summary over all so far.
+
+    A batch that runs again writes over its own files. read_telemetry() and
+    read_summaries() read what is there; the last summary is in footer/.
+    """
+    base = path.rstrip("/")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("header", True).csv(f"{base}/rows/batch={number}")
+        known = read_telemetry(batch.sparkSession, f"{base}/rows", schema + ", batch int").filter(F.col("batch") <= number).drop("batch")
+        summary = summarise(known)
+        summary.select(F.concat(F.lit("# SUMMARY:"), F.to_json(F.struct(*summary.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{base}/footer")
+
+    return rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
 
 
 def read_telemetry(spark: SparkSession, path: str, schema: str) -> DataFrame:
