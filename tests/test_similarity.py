@@ -102,3 +102,30 @@ def test_clear_and_status(spark):
     assert as_rows(stored_groups.clear(groups, members, 1)) == ([], [])
     with pytest.raises(ValueError):
         stored_groups.set_status(groups, groups.select("id"), "done")
+
+
+def test_the_edges_of_a_hub_are_split(spark, monkeypatch):
+    """A star of 60,000 edges: the join that gives its hub the least neighbour is planned with the hub's partition split."""
+    from gleaner.operators import graph
+
+    plans = []
+    plain = graph.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        df.collect()  # runs this very plan
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "written", seen)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("16k", "16k", "-1", "false", "16"), strict=True):
+            spark.conf.set(k, v)
+        star = spark.range(1, 60_001).select(F.lit(1 << 40).alias("a"), "id").withColumnRenamed("id", "b").unionByName(spark.range(100_000, 103_000).select(F.col("id").alias("a"), (F.col("id") + 10_000).alias("b")))
+        labels = graph.least_labels(star)
+        assert labels.count() == 60_001 + 6_000 and labels.filter("root = 1").count() == 60_001
+        assert any("skew=true" in p for p in plans)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
