@@ -1,4 +1,4 @@
-"""DuckDB SQL for the conversation repair and spelling queries, written over whole tables without segments or tries."""
+"""DuckDB SQL for the embedding, conversation repair and spelling queries, written over whole tables without buckets, segments or tries."""
 
 from __future__ import annotations
 
@@ -78,3 +78,19 @@ runs AS (
 SELECT f.word, f.form, c.now AS root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
 FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.now AND e.form IS NULL
 """
+
+#: All pairs; the operator may miss some, with the chance that its docstring gives.
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT r AS a, r AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), labels AS (
+  SELECT reach.a AS r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.b GROUP BY 1
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.r) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN labels USING (r)
+"""

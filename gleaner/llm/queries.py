@@ -95,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_embedding_dedup": oracle_sql.EMBEDDINGS,
     "op12_conversation_repair": oracle_sql.CONVERSATIONS,
     "op13_spelling_variants": oracle_sql.SPELLING,
     "op2_exact_dedup": r"""
