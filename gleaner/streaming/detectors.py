@@ -57,7 +57,8 @@ def first_duplicates(hashed: DataFrame) -> DataFrame:
     """From a stream of files (session_id, id, pixel_hash): one row per session and hash at its second file.
 
     Within a micro-batch the lesser id is first. Files without a hash do not
-    count. State is two ids per hash, however many copies come.
+    count. State is two ids per hash, however many copies come. The stream is
+    started and run inside rocks().
     """
     rows = hashed.filter("pixel_hash IS NOT NULL").select("session_id", "pixel_hash", "id")
     return rows.groupBy("session_id", "pixel_hash").transformWithStateInPandas(
@@ -92,8 +93,8 @@ def finished_folders(hashed: DataFrame, expected: DataFrame) -> DataFrame:
     """From a stream of files (path, pixel_hash) and each folder's number of pending files (folder, pending): a row per folder (folder) when its last file is done, once.
 
     A file that failed (null hash) is never done, so its folder never ends.
-    The files of a folder are counted within a micro-batch before the state
-    sees them, one row for each partition that read some.
+    State is one number per folder. The stream is started and run inside
+    rocks().
     """
     done = hashed.select(paths.parent(F.col("path")).alias("folder"), F.when(F.col("pixel_hash").isNotNull(), 1).otherwise(0).alias("done"))
     return done.groupBy("folder").transformWithStateInPandas(Finished(), "folder string", "append", "None", initialState=expected.select("folder", "pending").groupBy("folder"))

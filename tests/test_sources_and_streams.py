@@ -82,8 +82,9 @@ def test_streams(spark, tmp_path):
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
     def drained(df, name, mode):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        with detectors.rocks(spark):
+            q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+            q.awaitTermination(120)
         return spark.table(name).collect()
 
     got = drained(detectors.first_duplicates(read()), "firsts", "append")
