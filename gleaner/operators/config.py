@@ -77,7 +77,7 @@ def set_app_setting(app_config: DataFrame, sync_config: DataFrame, name: str, va
 
 
 def save_sync(sync_config: DataFrame, username: str | None, folder_id: str | None, privacy: str) -> tuple[DataFrame, str | None]:
-    """sync_config after the user's choices, or as it was and why: invalid_username, invalid_folder_id. A folder turns sync on."""
+    """sync_config after the user's choices, or as it was and why: invalid_username, invalid_folder_id (fixed values). A folder turns sync on."""
     username, folder_id = (username or "").strip(), (folder_id or "").strip()
     if not re.match(paths.USER_FORM, username):
         return sync_config, "invalid_username"

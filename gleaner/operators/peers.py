@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import paths
 from gleaner.operators.plan import latest, merge
 
+#: Fixed value: characters of a name or path that an import keeps.
 NAME_LENGTH = 1024
 
 

@@ -44,7 +44,7 @@ def schema(table: str) -> StructType:
 
 
 def missing(tables: dict[str, DataFrame], views: tuple[str, ...] = VIEWS) -> list[str]:
-    """What a catalog lacks, in the order of the schema."""
+    """What a catalog lacks, in the order of the schema; the messages are fixed values."""
     found = []
     for table, ddl in DDL.items():
         if table not in tables:

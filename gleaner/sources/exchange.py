@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.functions.paths import USER_FORM
 from gleaner.operators import peers
 
+#: Bytes and entries that an imported document may have.
 MOST_BYTES, MOST_ENTRIES = 10 << 20, 100_000
 ENTRY = "struct<remote_id:string,pixel_hash:string,size:long,modified_at:string,perceptual_hash:string,filename:string,path:string>"
 DOCUMENT = f"username string, exported_at string, privacy_level string, files array<{ENTRY}>"

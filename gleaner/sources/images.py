@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SIDE, LOW = 32, 8
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
+def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """path, width, height, channels, pixels; width and height are null for files that can't be decoded."""
     raw = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select("image.*")
     size = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
@@ -75,7 +75,7 @@ UPRIGHT = {
 }
 
 
-def orientations(spark: SparkSession, folder: str, head_bytes: int = 1 << 17) -> DataFrame:
+def orientations(spark: SparkSession, folder: str | list[str], head_bytes: int = 1 << 17) -> DataFrame:
     """path, orientation of the JPEG files whose pixels lie otherwise than upright (2 to 8). Of a file's content only its head leaves the scan."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.lower("path").rlike(r"\.jpe?g$"))
     told = F.pandas_udf(lambda heads: pd.Series([orientation(h) for h in heads]), "int")
@@ -83,7 +83,7 @@ def orientations(spark: SparkSession, folder: str, head_bytes: int = 1 << 17) ->
     return found.filter("orientation > 1")
 
 
-def read_upright(spark: SparkSession, folder: str) -> DataFrame:
+def read_upright(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """read_images() with the orientation of each; width and height are those of the upright image.
 
     The join is on paths alone: the side of turned images is two columns, which the planner broadcasts if it is small.

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleaner import schemas
 from gleaner.sources import files as sources
+from gleaner.sources import images
 
 COLUMNS = tuple(c.split()[0] for c in schemas.DDL["files"].split(", "))
 
@@ -55,3 +56,22 @@ def live_scan(arrivals: DataFrame, folder: str, hashes: Callable[[DataFrame], Da
     """
     writer = arrivals.writeStream.foreachBatch(commit(folder, hashes)).option("checkpointLocation", f"{folder.rstrip('/')}/state")
     return writer.trigger(availableNow=True).start()
+
+
+def image_hashes(batch: DataFrame) -> DataFrame:
+    """hashes() for a stream of image files (sources.discover_stream()): both hashes, width and height of the upright image.
+
+    The paths of a batch go to the driver, which hands them to the image
+    source; the stream's option maxFilesPerTrigger bounds them. Files that
+    can't be decoded have nulls.
+    """
+    spark = batch.sparkSession
+    paths = [r["path"] for r in batch.select("path").distinct().collect()]
+    if not paths:
+        return batch.withColumns({c: F.lit(None).cast(t) for c, t in (("pixel_hash", "string"), ("perceptual_hash", "string"), ("width", "int"), ("height", "int"))})
+    return batch.join(images.with_hashes(images.read_upright(spark, paths)), "path", "left")
+
+
+def scan_images(spark: SparkSession, source: str, folder: str, session: int, scanned_at: str, files_per_batch: int = 128) -> StreamingQuery:
+    """live_scan() of the image files under source, as they are found."""
+    return live_scan(sources.discover_stream(spark, source, session, scanned_at, files_per_batch), folder, image_hashes)

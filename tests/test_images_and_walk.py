@@ -100,3 +100,22 @@ def test_live_telemetry_round_trip(spark, tmp_path):
     footer = exchange.read_summaries(spark, str(tmp_path / "out/footer"), "run_id long, stage string, rows long, files long, queued long")
     assert sorted(map(tuple, footer.collect())) == [(1, "discovery", 1, 3, 1), (1, "hashing", 2, 9, 6)]
     assert exchange.read_telemetry(spark, str(tmp_path / "out/rows"), schema).count() == 3
+
+
+def test_a_live_scan_of_images_equals_the_batch_result(spark, tmp_path):
+    from gleaner.streaming import scan
+
+    source, base = tmp_path / "in", np.kron(np.array([[10, 60], [200, 90]], np.uint8), np.ones((8, 8), np.uint8))
+    (source / "sub").mkdir(parents=True)
+    save_jpeg(spark, base, source / "a.jpg")
+    save_jpeg(spark, np.rot90(base, 1), source / "sub" / "b.JPG", exif(6, ">"))
+    (source / "bad.jpeg").write_bytes(b"no image")
+    (source / "c.txt").write_bytes(b"text")
+    scan.scan_images(spark, str(source), str(tmp_path / "catalog"), 3, "now", 2).awaitTermination()
+    save_jpeg(spark, base.T, source / "d.jpg")
+    scan.scan_images(spark, str(source), str(tmp_path / "catalog"), 3, "now", 2).awaitTermination()
+    rows = {r.path.rsplit("/", 1)[1]: r for r in scan.catalog(spark, str(tmp_path / "catalog")).collect()}
+    whole = {r.path.rsplit("/", 1)[1]: r for r in images.with_hashes(images.read_upright(spark, str(source))).collect()}
+    assert set(rows) == {"a.jpg", "b.JPG", "bad.jpeg", "d.jpg"} and sorted(r.id for r in rows.values()) == [1, 2, 3, 4] and rows["d.jpg"].id == 4
+    assert all((rows[n].pixel_hash, rows[n].perceptual_hash, rows[n].width, rows[n].height) == tuple(whole[n][c] for c in ("pixel_hash", "perceptual_hash", "width", "height")) for n in rows)
+    assert rows["a.jpg"].pixel_hash == rows["b.JPG"].pixel_hash != rows["d.jpg"].pixel_hash and rows["bad.jpeg"].pixel_hash is None and rows["a.jpg"].session_id == 3
