@@ -1,6 +1,8 @@
 """Registered queries on small tables of their own, where a thinned job would give less."""
 
+from gleaner.operators import duplicates
 from gleaner.plans import registry
+from gleaner.plans.domain import load
 
 
 def documents(spark, path, rows):
@@ -32,8 +34,10 @@ def test_fully_duplicated_folders_sees_every_file(spark, tmp_path):
     # /en/src1: copies with ids 3 and 6 make it whole; /en/src2: the unique file with id 9 disqualifies it.
     rows = [(3, "a", "src1"), (6, "a", "src1"), (7, "b", "src2"), (8, "b", "src2"), (9, "only", "src2")]
     d = documents(spark, tmp_path, [(i, t, "en", s, 1) for i, t, s in rows])
-    got = registry.QUERIES["fully_duplicated_folders"](spark, d).collect()
+    got = duplicates.fully_duplicated_folders(load(spark, d, "files"), 1).collect()
     assert [(r.folder, r["files"]) for r in got] == [("/en/src1", 2)]
+    by_hash = registry.QUERIES["fully_duplicated_folders"](spark, d).collect()  # a folder for each hash: those of two texts are whole
+    assert sorted(r["files"] for r in by_hash) == [2, 2]
 
 
 def test_scan_summary_counts_similarity_groups(spark, sf_dir):
