@@ -19,7 +19,21 @@ from gleaner.storage import written
 THRESHOLD = 8
 
 
+#: Words whose hashes a task remembers at most.
+REMEMBERED = 1 << 18
+
+
 def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, bytes] = {}
+
+    def digest(word: str) -> bytes:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            found = known[word] = hashlib.md5(word.encode(), usedforsecurity=False).digest()[:8]
+        return found
+
     for whole in batches:
         for lo in range(0, whole.num_rows, 1024):
             part = whole.slice(lo, 1024)
@@ -33,7 +47,7 @@ def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 votes, words = np.zeros(64, np.int64), list(words)
                 for at in range(0, len(words), 1 << 16):
                     some = words[at : at + (1 << 16)]
-                    digests = b"".join(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:8] for w in some)
+                    digests = b"".join(map(digest, some))
                     votes += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
                 found.append(np.packbits(votes * 2 > len(words)).tobytes().hex())
             made = pa.RecordBatch.from_arrays([keys, pa.array(found, pa.string())], ["key", "perceptual_hash"])
