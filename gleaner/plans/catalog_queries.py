@@ -363,11 +363,15 @@ def upsert_actions(spark, d):
     return plan.upsert_actions(load(spark, d, "file_actions"), early.unionByName(late), "n").select("session_id", "file_id", "action", "executed_at")
 
 
-@query("SELECT session_id, file_id, 'delete' AS action FROM {file_actions} WHERE action <> 'delete'")
+@query("""
+WITH ch AS (SELECT session_id, id AS file_id, CASE id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'delete' ELSE 'ignore' END AS action FROM {files} WHERE status = 'active')
+SELECT coalesce(a.session_id, c.session_id) AS session_id, coalesce(a.file_id, c.file_id) AS file_id, coalesce(c.action, a.action) AS action
+FROM {file_actions} a FULL JOIN ch c ON a.session_id = c.session_id AND a.file_id = c.file_id WHERE a.action IS DISTINCT FROM c.action""")
 def toggle_actions(spark, d):
-    """A deletion asked for every decided file."""
-    actions = load(spark, d, "file_actions")
-    return plan.toggle(actions, actions.select("session_id", "file_id", F.lit("delete").alias("action")))
+    """A click on every active file: its decision is made, replaced or cleared; decisions on the other files stay."""
+    asked = F.when(F.col("id") % 3 == 0, "keep").when(F.col("id") % 3 == 1, "delete").otherwise("ignore").alias("action")
+    clicks = load(spark, d, "files").filter("status = 'active'").select("session_id", F.col("id").alias("file_id"), asked)
+    return plan.toggle(load(spark, d, "file_actions"), clicks)
 
 
 # Names are found one deletion after the other here, by a recursion in the order of their paths.

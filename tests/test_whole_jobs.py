@@ -44,3 +44,11 @@ def test_scan_summary_counts_similarity_groups(spark, sf_dir):
     groups = registry.QUERIES["similarity_group_list"](spark, sf_dir).count()
     assert groups > 0
     assert registry.QUERIES["scan_summary"](spark, sf_dir).first().similarity_groups == groups
+
+
+def test_toggle_actions_makes_replaces_clears_and_keeps_decisions(spark, tmp_path):
+    # Decided: 1 keep, 3 keep, 4 delete, 17 ignore (not active); 2 is not.
+    d = documents(spark, tmp_path, [(i, f"t{i}", "en", "src1", 1) for i in (1, 2, 3, 4, 17)])
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 1, 1), (17, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES["toggle_actions"](spark, d).collect()
+    assert sorted((r.file_id, r.action) for r in got) == [(1, "delete"), (2, "ignore"), (17, "ignore")]
