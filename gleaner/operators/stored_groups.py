@@ -46,19 +46,19 @@ def merge_new(files: DataFrame, fresh: DataFrame, session: int, created_at: str,
     mine = written(similarity.with_hash(files, session).select("id", "pixel_hash", "perceptual_hash").filter("pixel_hash IS NOT NULL"), "hashed-files")
     new = fresh.select("id").distinct().withColumn("new", F.lit(True))
     # A hash is new if all of its files are; its representative is its first file.
-    state = mine.join(new, "id", "left").groupBy("pixel_hash").agg(F.min(F.struct("id", "perceptual_hash")).alias("first"), F.bool_and(F.coalesce("new", F.lit(False))).alias("new"))
+    state = mine.join(new.hint("merge"), "id", "left").groupBy("pixel_hash").agg(F.min(F.struct("id", "perceptual_hash")).alias("first"), F.bool_and(F.coalesce("new", F.lit(False))).alias("new"))
     reps = written(state.select("pixel_hash", "first.id", "first.perceptual_hash", "new"), "merged-representatives")
     found = similarity.links_of_new(reps, threshold, chunk)
     own = groups.filter(F.col("session_id") == session)
-    stored = members.join(own.select(F.col("id").alias("group_id"), "representative_file_id"), "group_id")
-    hash_of = lambda name, to: mine.select(F.col("id").alias(name), F.col("pixel_hash").alias(to))
+    stored = members.join(own.select(F.col("id").alias("group_id"), "representative_file_id").hint("merge"), "group_id")
+    hash_of = lambda name, to: mine.select(F.col("id").alias(name), F.col("pixel_hash").alias(to)).hint("merge")
     before = stored.join(hash_of("file_id", "a"), "file_id").join(hash_of("representative_file_id", "b"), "representative_file_id").filter("a <> b").select("a", "b").distinct()
     roots = least_labels(found.unionByName(before))
     joined = written(similarity.members_of(mine, reps, roots), "merged-groups")
     made, rows = _tables(joined, session, created_at)
-    same = rows.join(members.select("group_id", "file_id"), ["group_id", "file_id"]).groupBy("group_id").agg(F.count("*").alias("same"))
+    same = rows.join(members.select("group_id", "file_id").hint("merge"), ["group_id", "file_id"]).groupBy("group_id").agg(F.count("*").alias("same"))
     old = own.select(F.col("id").alias("old"), F.col("status").alias("old_status"), F.col("created_at").alias("old_at"), F.col("member_count").alias("old_count"))
-    judged = made.join(old, made.id == F.col("old"), "left").join(same, made.id == F.col("group_id"), "left")
+    judged = made.join(old.hint("merge"), made.id == F.col("old"), "left").join(same.hint("merge"), made.id == F.col("group_id"), "left")
     unchanged = (F.col("same") == F.col("member_count")) & (F.col("old_count") == F.col("member_count"))
     kept = judged.withColumns({"status": F.when(unchanged, F.col("old_status")).otherwise(F.col("status")), "created_at": F.when(unchanged, F.col("old_at")).otherwise(F.col("created_at"))}).select(*made.columns)
     rest = clear(groups, members, session)
@@ -68,7 +68,7 @@ def merge_new(files: DataFrame, fresh: DataFrame, session: int, created_at: str,
 def clear(groups: DataFrame, members: DataFrame, session: int) -> tuple[DataFrame, DataFrame]:
     """Both tables without a session's groups."""
     gone = groups.filter(F.col("session_id") == session).select(F.col("id").alias("group_id"))
-    return groups.filter(F.col("session_id") != session), members.join(gone, "group_id", "left_anti")
+    return groups.filter(F.col("session_id") != session), members.join(gone.hint("merge"), "group_id", "left_anti")
 
 
 def set_status(groups: DataFrame, ids: DataFrame, status: str) -> DataFrame:
@@ -76,7 +76,7 @@ def set_status(groups: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     if status not in STATUSES:
         raise ValueError(f"unknown status: {status}")
     named = ids.select("id").distinct().withColumn("named", F.lit(True))
-    return groups.join(named, "id", "left").withColumn("status", F.when(F.col("named"), status).otherwise(F.col("status"))).select(*groups.columns)
+    return groups.join(named.hint("merge"), "id", "left").withColumn("status", F.when(F.col("named"), status).otherwise(F.col("status"))).select(*groups.columns)
 
 
 def commit(folder: str, groups: DataFrame, members: DataFrame) -> int:

@@ -129,3 +129,25 @@ def test_the_edges_of_a_hub_are_split(spark, monkeypatch):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_no_table_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
+    """Small tables as these would all be broadcast if their joins left that to the planner."""
+    from gleaner.operators import graph
+
+    plans = []
+    plain = similarity.written
+
+    def seen(df, name):
+        df.collect()  # runs this very plan
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    for module in (graph, similarity, stored_groups):
+        monkeypatch.setattr(module, "written", seen)
+    rows = [(i, f"h{i // 2:02d}", f"{(i // 4) << 40 | 1 << i % 3:016x}") for i in range(40)]
+    whole, store = files_of(spark, rows), str(tmp_path / "store")
+    stored_groups.commit(store, *stored_groups.build(files_of(spark, rows[:20]), 1, "may", *stored_groups.empty(spark)))
+    for table in stored_groups.merge_new(whole, whole.filter("id >= 20").select("id"), 1, "june", *stored_groups.stored(spark, store)):
+        seen(table, "merged")
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
