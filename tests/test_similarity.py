@@ -151,3 +151,40 @@ def test_no_table_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
     for table in stored_groups.merge_new(whole, whole.filter("id >= 20").select("id"), 1, "june", *stored_groups.stored(spark, store)):
         seen(table, "merged")
     assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_hashes_of_texts_hold_little_at_once(spark, tmp_path, monkeypatch):
+    """Batches are of some MB however many rows come, few words are remembered, and the hashes are those of a plain program."""
+    import hashlib
+
+    from gleaner.plans import similarity_queries
+
+    texts = [*(f"Ab\tcd{i}\n\r e\x0bf  {i % 7} " * 30 for i in range(300)), None, "", " \n", "x"]
+    rows = [(i, t, "en", "src1", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, told = similarity._majorities, str(tmp_path / "told")
+
+    def noted(batches):
+        def told_of(some):
+            for b in some:
+                with open(told, "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield b
+
+        return plain(told_of(batches))
+
+    monkeypatch.setattr(similarity, "_majorities", noted)
+    monkeypatch.setattr(similarity, "HANDED", 1 << 14)
+    got = {r.doc_id: r.perceptual_hash for r in similarity_queries._prints(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        words = {w for w in (t or "").lower().replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w}
+        values = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in words]
+        if words:
+            want[i] = f"{sum(1 << b for b in range(64) if sum(v >> b & 1 for v in values) * 2 > len(words)):016x}"
+    assert got == want
+    sizes = [int(n) for n in open(told)]
+    assert sum(sizes) == len(texts) and max(sizes) < 100
+    known = similarity._Digests()
+    monkeypatch.setattr(similarity, "REMEMBERED", 10)
+    assert similarity._majority(texts[5].lower(), known) == want[5] and similarity._majority(texts[6].lower(), known) == want[6] and len(known) <= 10
