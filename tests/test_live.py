@@ -53,3 +53,23 @@ def test_each_hash_and_each_folder_is_told_once(spark):
     expected = spark.createDataFrame([("/f0", 5), ("/f1", 5), ("/f2", 5), ("/none", 2)], "folder string, pending long")
     done = drained_in_parts(parts, lambda s: detectors.finished_folders(s, expected), "done").collect()
     assert sorted(r.folder for r in done) == ["/f0", "/f1"]  # a file of /f2 failed
+
+
+def test_first_duplicates_ask_the_state_once_per_share(spark, tmp_path, monkeypatch):
+    """300 hashes in three shares: the state is asked by share and not by hash, and every second file is found at its place."""
+    calls, plain = str(tmp_path / "calls"), detectors.SecondCopy
+
+    class Noted(plain):
+        def handleInputRows(self, key, rows, timers):
+            with open(calls, "a") as f:
+                f.write("x")
+            yield from plain.handleInputRows(self, key, rows, timers)
+
+    monkeypatch.setattr(detectors, "SecondCopy", Noted)
+    # h0 to h99 come in both parts, h100 to h199 twice and more in the second, h200 to h299 once.
+    rows = [(i, 1 + i % 2, f"h{i}") for i in range(100)] + [(1000 + i * 5 + k, 1 + i % 2, f"h{i}") for i in range(200) for k in range(5)] + [(5000 + i, 1, f"h{i}") for i in range(200, 300)]
+    parts = [spark.createDataFrame(some, "id long, session_id long, pixel_hash string") for some in (rows[:100], rows[100:][::-1])]
+    got = drained_in_parts(parts, lambda s: detectors.first_duplicates(s, shares=3), "firsts").collect()
+    want = [(1 + i % 2, f"h{i}", i, 1000 + i * 5) for i in range(100)] + [(1 + i % 2, f"h{i}", 1000 + i * 5, 1001 + i * 5) for i in range(100, 200)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len(open(calls).read()) <= 6
