@@ -188,3 +188,14 @@ def test_hashes_of_texts_hold_little_at_once(spark, tmp_path, monkeypatch):
     known = similarity._Digests()
     monkeypatch.setattr(similarity, "REMEMBERED", 10)
     assert similarity._majority(texts[5].lower(), known) == want[5] and similarity._majority(texts[6].lower(), known) == want[6] and len(known) <= 10
+
+
+def test_groups_read_their_files_once(spark, tmp_path, monkeypatch):
+    """The files' hashes are dear to compute, so one of the written tables reads the source and the others that one."""
+    plans = []
+    plain = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: (plans.append(df.inputFiles()), plain(df, name))[1])
+    files_of(spark, [(i, f"h{i}", f"{i // 2 << 20:016x}") for i in range(20)]).write.parquet(f"{tmp_path}/source")
+    members = similarity.similarity_groups(spark.read.parquet(f"{tmp_path}/source"), 1)
+    assert members.count() == 20
+    assert sum(any("/source/" in f for f in files) for files in [*plans, members.inputFiles()]) == 1
