@@ -244,10 +244,15 @@ def in_chunks(keyed: DataFrame, key: list[str], item: str, chunk: int) -> DataFr
     and a chunk meets every chunk, itself included, in a group of their own.
     """
     sizes = keyed.groupBy(*key).agg(F.count("*").alias("n_of_key")).filter("n_of_key > 1")
+    return dealt(keyed.join(sizes, key), key, item, chunk)
+
+
+def dealt(sized: DataFrame, key: list[str], item: str, chunk: int) -> DataFrame:
+    """in_chunks for rows that have n_of_key, the rows of their key."""
     mine = F.pmod(F.xxhash64(F.lit(7), item), F.col("chunks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("x"), F.greatest(k, F.col("mine")).alias("y")))
-    dealt = keyed.join(sizes, key).withColumn("chunks", F.ceil(F.col("n_of_key") / F.lit(chunk)).cast("int")).withColumn("mine", mine).withColumn("pair", F.explode(meets))
-    return dealt.withColumn("grp", F.xxhash64(*key, "pair.x", "pair.y"))
+    rows = sized.withColumn("chunks", F.ceil(F.col("n_of_key") / F.lit(chunk)).cast("int")).withColumn("mine", mine).withColumn("pair", F.explode(meets))
+    return rows.withColumn("grp", F.xxhash64(*key, "pair.x", "pair.y"))
 
 
 def near_links(distinct: DataFrame, most_bits: int = MOST_BITS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
