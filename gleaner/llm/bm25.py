@@ -6,13 +6,15 @@ table, so scores of different shards compare and the merged top k is exact.
 
 In a shard documents lie in blocks of BLOCK_DOCS. For a query, postings of rare
 terms are summed for all documents; of common terms only the largest impact in
-each block is known at first. Both give an upper bound of every block, blocks
-are scored from the highest bound down, and the rest is skipped where a
-bound falls below the k-th best score (block-max WAND, a block at a time). To
-make bounds tight, documents are laid out by their most frequent terms.
-
-Queries stream past the indexes of a group of shards in batches; those and a
-batch of queries is all that a task holds. The square root of the groups is
+each block is known at first. Both give an upper bound of every block; without
+a floor the blocks of the highest bounds are scored first, and the rest is
+skipped where a bound falls below the k-th best score (block-max WAND, a block
+at a time). In a block that is not, a document is scored only if its own rare
+terms with the block's bound reach that score. To make bounds tight, documents
+are laid out by their most frequent terms.
+
+Queries stream past the indexes of a group of shards in batches, each of which
+is a row; those and a batch of queries is all that a task holds. The square root of the groups is
 searched first: a query's k-th best score there is its floor in the others,
 which name only documents that reach it. So each query gathers some
 2 * k * sqrt(groups) candidates rather than k from every group.
@@ -37,8 +39,8 @@ SHARD_BYTES = 48 << 20
 BLOCK_DOCS = 64
 #: Shards of small input partitions are searched together, up to so many postings.
 GROUP_POSTINGS = 6_000_000
-#: Queries that are scored at once.
-BATCH_QUERIES = 64
+#: Queries that are scored at once, 256 at most.
+BATCH_QUERIES = 128
 #: A term is common in a shard if it is in at least this share of its documents.
 COMMON = 1 / 16
 
@@ -132,57 +134,145 @@ class Shard:
             self.dense[self.doc[self.start[t] : self.start[t + 1]], c] = self.impact[self.start[t] : self.start[t + 1]]
         self.blocks = np.arange(0, n, BLOCK_DOCS)
         self.most = np.maximum.reduceat(self.dense, self.blocks, axis=0) if n else self.dense
+        self.single = self.dense.astype(np.float32)
 
     def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
         """For each query (global terms, weights) keys and scores of the k best documents that share a term (ties: least key); and how many blocks were scored.
 
         floors: scores below which a document does not matter to a query.
-        Bounds of all blocks come from one matrix product; the blocks of the
-        highest bounds are scored first, and later rounds score, block by
-        block, only for the queries whose k-th best score the bound reaches.
+        Bounds of all blocks come from one matrix product. For queries without
+        a floor the four blocks of the highest bounds are looked at first, then
+        for all queries the blocks whose bound reaches the k-th best score.
         """
-        n, q, nb = len(self.keys), len(queries), len(self.blocks)
-        floors = np.zeros(q) if floors is None else floors.copy()
-        weights, exact = np.zeros((self.dense.shape[1], q)), np.zeros((n, q))
-        for j, (gids, w) in enumerate(queries):
-            at = np.searchsorted(self.gids, gids)
-            here = at < len(self.gids)
-            here[here] = self.gids[at[here]] == gids[here]
-            at, w = at[here], w[here]
-            column = self.column[at]
-            weights[column[column >= 0], j] = w[column >= 0]
-            rare, rw = at[column < 0], w[column < 0]
-            lo, counts = self.start[rare], self.start[rare + 1] - self.start[rare]
-            ends = np.cumsum(counts)
-            index = np.repeat(lo - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-            exact[:, j] = np.bincount(self.doc[index], self.impact[index] * np.repeat(rw, counts), n)
+        sizes = [len(gids) for gids, _ in queries]
+        gids, weights = (np.concatenate(x) for x in zip(*queries, strict=True))
+        return self.best(gids, weights, np.repeat(np.arange(len(queries)), sizes), len(queries), k, floors)
+
+    def best(self, gids: np.ndarray, weights: np.ndarray, of: np.ndarray, q: int, k: int, floors: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """top() for q queries whose terms lie in one row: gids[i] with weights[i] is a term of query of[i]."""
+        n, nb = len(self.keys), len(self.blocks)
+        floors = np.zeros(q) if floors is None else floors.astype(np.float64)
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * q, 0
-        bound = np.maximum.reduceat(exact, self.blocks, axis=0) + self.most @ weights
-        order = np.argsort(-bound, axis=0, kind="stable")
-        score, open_, done = np.full((n, q), -1.0), bound > 0, 0
-        for lo, hi in ((0, 4), (4, 20), (20, nb)):
-            turn = np.zeros((nb, q), np.bool_)
-            np.put_along_axis(turn, order[lo:hi], True, axis=0)
-            # a bound is a sum in another order than a score: allow for rounding
-            turn &= open_ & (bound * (1 + 1e-9) + 1e-9 >= floors)
-            for b in np.flatnonzero(turn.any(axis=1)).tolist():
-                need = np.flatnonzero(turn[b])
-                rows = slice(b * BLOCK_DOCS, min(n, (b + 1) * BLOCK_DOCS))
-                score[rows, need] = np.round(exact[rows, need] + self.dense[rows] @ weights[:, need], 9)
-                done += len(need)
-            if n > k:
-                floors = np.maximum(floors, np.partition(score, n - k, axis=0)[n - k])
-        found = []
+        at = np.searchsorted(self.gids, gids)
+        here = at < len(self.gids)
+        here[here] = self.gids[at[here]] == gids[here]
+        at, weights, of = at[here], weights[here], of[here]
+        column = self.column[at]
+        common = column >= 0
+        dense = np.zeros((q, self.dense.shape[1]))
+        dense[of[common], column[common]] = weights[common]
+        at, weights, of = at[~common], weights[~common], of[~common]
+        by = np.argsort(of, kind="stable")
+        at, weights, cuts = at[by], weights[by], np.searchsorted(of[by], np.arange(q + 1)).tolist()
+        start, counts = self.start[at], self.start[at + 1] - self.start[at]
+        exact = np.full((q, nb * BLOCK_DOCS), -np.inf)  # the last block is filled up with what no bound reaches
         for j in range(q):
-            docs = np.flatnonzero((score[:, j] > 0) & (score[:, j] >= floors[j]))
-            first = docs[np.lexsort((self.keys[docs], -score[docs, j]))[:k]]
-            found.append((self.keys[first], score[first, j]))
-        return found, done
+            mine = slice(cuts[j], cuts[j + 1])
+            many, often = counts[mine], weights[mine]
+            ends = np.cumsum(many)
+            index = np.repeat(start[mine] - (ends - many), many)
+            index += np.arange(len(index))
+            impact = self.impact[index]
+            if (often != 1).any():
+                impact *= np.repeat(often, many)
+            exact[j, :n] = np.bincount(self.doc[index], impact, n)
+        of_block = dense @ self.most.T
+        bound = exact.reshape(q, nb, BLOCK_DOCS).max(axis=2)
+        bound += of_block
+        asked, docs, scores, done = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        open_ = bound > 0
+        # a bound is a sum in another order than a score: allow for rounding
+        for loose in (bound, of_block):
+            loose *= 1 + 1e-9
+            loose += 1e-9
+        new = np.flatnonzero(floors <= 0)
+        rounds = [np.zeros((q, nb), np.bool_)] if len(new) else []
+        if len(new):
+            first = np.argpartition(-bound[new], min(4, nb - 1), axis=1)[:, :4]
+            rounds[0][np.repeat(new, first.shape[1]), first.ravel()] = True
+        for turn in [*rounds, np.ones((q, nb), np.bool_)]:
+            turn &= open_ & (bound >= floors[:, None])
+            open_ &= ~turn
+            done += int(turn.sum())
+            found = [(asked, docs, scores)]
+            for j, some in self._reached(exact, of_block, dense, turn, floors):
+                for lo in range(0, len(some), 1024):
+                    d = some[lo : lo + 1024]
+                    score = np.round(exact[j, d] + self.dense[d] @ dense[j], 9)
+                    ok = (score > 0) & (score >= floors[j])
+                    found.append((np.full(int(ok.sum()), j), d[ok], score[ok]))
+            asked, docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.lexsort((self.keys[docs], -scores, asked))
+            asked, docs, scores = asked[by], docs[by], scores[by]
+            place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+            kth = place == k - 1
+            floors[asked[kth]] = np.maximum(floors[asked[kth]], scores[kth])
+            stay = place < k
+            asked, docs, scores = asked[stay], docs[stay], scores[stay]
+        cuts = np.searchsorted(asked, np.arange(q + 1)).tolist()
+        return [(self.keys[docs[x:y]], scores[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], done
+
+    def _reached(self, exact: np.ndarray, of_block: np.ndarray, dense: np.ndarray, turn: np.ndarray, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, documents of its blocks in this turn that may reach its floor).
+
+        A document's bound is its rare terms and its block's common ones. Of a
+        query whose floor very many reach, all common terms are summed in
+        single precision, for all such queries by one matrix product.
+        """
+        n, many, floor = len(self.keys), [], np.maximum(floors, 0.0)
+        for j in np.flatnonzero(turn.any(axis=1)).tolist():
+            blocks = np.flatnonzero(turn[j])
+            rows = exact[j].reshape(-1, BLOCK_DOCS)[blocks]
+            i, d = np.nonzero(rows + of_block[j, blocks, None] >= floor[j])
+            docs = blocks[i] * BLOCK_DOCS + d
+            if len(docs) * 32 > n:
+                many.append((j, docs))
+            else:
+                yield j, docs
+        for lo in range(0, len(many), 16):
+            some = many[lo : lo + 16]
+            near = dense[[j for j, _ in some]].astype(np.float32) @ self.single.T
+            for (j, docs), sums in zip(some, near, strict=True):
+                # sums of positive products: the relative error is the number of terms times 2^-24 at most, and some more of the roundings before
+                slack = 1 + 2.0**-22 * (self.dense.shape[1] + 8)
+                yield j, docs[exact[j, docs] + sums[docs] * slack + 1e-9 >= floor[j]]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes before all second ones, so that those that are nearly always zero compress."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ask, ids, counts, floor), a query each, as rows of BATCH_QUERIES queries: what is asked and from which floor; and the terms of all, by their numbers (as differences), with the place of the query in its row and the count."""
+    names, held = ["head", "ids", "of", "counts"], []
+
+    def row() -> pa.RecordBatch:
+        asks, ids, counts, floors = zip(*held, strict=True)
+        gids, often = np.concatenate([np.frombuffer(x, "<i8") for x in ids]), np.concatenate([np.frombuffer(x, "<u4") for x in counts])
+        of = np.repeat(np.arange(len(held), dtype=np.uint8), [len(x) // 8 for x in ids])
+        by = np.argsort(gids, kind="stable")
+        head = np.array(asks, "<i8").tobytes() + np.array(floors, "<f8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (head, _planes(np.diff(gids[by], prepend=0)), of[by].tobytes(), _planes(often[by]))], names)
+
+    for batch in batches:
+        for query in zip(*(batch.column(c).to_pylist() for c in ("ask", "ids", "counts", "floor")), strict=True):
+            held.append(query)
+            if len(held) == BATCH_QUERIES:
+                yield row()
+                held = []
+    if held:
+        yield row()
 
 
 def _search(n_docs: int, mean: float, k: int):
-    """Rows sorted by (grp, asks, shard, kind): a shard's words (key: global number) and documents, shard by shard, then the queries (ids: global numbers; floor: the score to reach)."""
+    """Rows sorted by (grp, asks, shard, kind): a shard's words (key: global number) and documents, shard by shard, then the queries, BATCH_QUERIES in a row, as _pack() has them."""
     names, types = ["query_id", "doc_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,18 +309,19 @@ def _search(n_docs: int, mean: float, k: int):
                     keys += part.column("key").to_pylist()
                     docs += [(np.frombuffer(i.as_py(), "<u4"), np.frombuffer(c.as_py(), "<u4")) for i, c in zip(part.column("ids"), part.column("counts"), strict=True)]
                 else:
-                    for at in range(0, part.num_rows, BATCH_QUERIES):
-                        some = part.slice(at, BATCH_QUERIES)
-                        asked = [(np.frombuffer(i.as_py(), "<i8"), np.frombuffer(c.as_py(), "<u4").astype(np.float64)) for i, c in zip(some.column("ids"), some.column("counts"), strict=True)]
-                        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
-                        least = some.column("floor").to_numpy()
+                    for head, ids, of, counts in zip(*(part.column(c).to_pylist() for c in ("head", "ids", "of", "counts")), strict=True):
+                        q = len(head) // 16
+                        asks, least = np.frombuffer(head[: q * 8], "<i8"), np.frombuffer(head[q * 8 :], "<f8")
+                        terms = np.cumsum(_from_planes(ids, "<i8")), _from_planes(counts, "<u4").astype(np.float64), np.frombuffer(of, np.uint8).astype(np.int64)
+                        best = [(np.zeros(0, np.int64), np.zeros(0))] * q
                         for index in indexes:
                             floors = np.maximum(least, [s[-1] if len(s) == k else 0.0 for _, s in best])
-                            for j, (more, score) in enumerate(index.top(asked, k, floors)[0]):
-                                both, scores = np.concatenate([best[j][0], more]), np.concatenate([best[j][1], score])
-                                first = np.lexsort((both, -scores))[:k]
-                                best[j] = both[first], scores[first]
-                        out = [(np.full(len(found), qid), found, score) for qid, (found, score) in zip(some.column("key").to_pylist(), best, strict=True)]
+                            for j, (more, score) in enumerate(index.best(*terms, q, k, floors)[0]):
+                                if len(more):
+                                    both, scores = np.concatenate([best[j][0], more]), np.concatenate([best[j][1], score])
+                                    first = np.lexsort((both, -scores))[:k]
+                                    best[j] = both[first], scores[first]
+                        out = [(np.full(len(found), ask), found, score) for ask, (found, score) in zip(asks.tolist(), best, strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
@@ -275,15 +366,16 @@ def search(docs: DataFrame, every: int = 50, k: int = TOP, id_col: str = "doc_id
     groups = written(together.withColumn("grp", F.dense_rank().over(Window.orderBy("together")) - 1).select("shard", "grp"), "bm25-groups")
     group = groups.agg(F.coalesce(F.max("grp"), F.lit(0))).first()[0]
     none = lambda kind: F.lit(None).cast(kind)
-    order = ["grp", "asks", "shard", "kind", "key", "ids", "counts", "number", "df", "floor"]
-    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), "df")).join(groups, "shard").withColumn("asks", F.lit(0)).withColumn("floor", none("double")).select(*order)
+    order = ["grp", "asks", "shard", "kind", "key", "ids", "counts", "number", "df", "of", "head"]
+    indexed = placed.unionByName(found.select("shard", "kind", "key", "ids", "counts", none("int").alias("number"), "df")).join(groups, "shard").withColumn("asks", F.lit(0)).withColumn("of", none("binary")).withColumn("head", none("binary")).select(*order)
     step = math.ceil((group + 1) / math.ceil(math.sqrt(group + 1)))
     first = F.pmod("grp", F.lit(step)) == 0
 
     def searched(these: Column, queries: DataFrame) -> DataFrame:
         """The k best of each of these groups for each query, as far as they reach its floor."""
-        asking = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(group)))).filter(these)
-        asking = asking.select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), F.col("ask").alias("key"), "ids", "counts", none("int").alias("number"), none("long").alias("df"), "floor")
+        packed = written(queries.select("ask", "ids", "counts", "floor").mapInArrow(_pack, "head binary, ids binary, of binary, counts binary"), "bm25-asked")
+        asking = packed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(group)))).filter(these)
+        asking = asking.select("grp", F.lit(1).alias("asks"), F.lit(-1).cast("long").alias("shard"), F.lit(2).alias("kind"), none("long").alias("key"), "ids", "counts", none("int").alias("number"), none("long").alias("df"), "of", "head")
         # Groups are dealt by number, not by a hash under which several could meet in one task.
         return indexed.filter(these).unionByName(asking).repartitionById(group + 1, F.col("grp")).sortWithinPartitions("grp", "asks", "shard", "kind").mapInArrow(_search(n_docs, max(total, 1) / max(n_docs, 1), k), "query_id long, doc_id long, score double")
 
