@@ -309,7 +309,8 @@ def _search(n_docs: int, mean: float, k: int):
                     keys += part.column("key").to_pylist()
                     docs += [(np.frombuffer(i.as_py(), "<u4"), np.frombuffer(c.as_py(), "<u4")) for i, c in zip(part.column("ids"), part.column("counts"), strict=True)]
                 else:
-                    for head, ids, of, counts in zip(*(part.column(c).to_pylist() for c in ("head", "ids", "of", "counts")), strict=True):
+                    for row in range(part.num_rows):
+                        head, ids, of, counts = (part.column(c)[row].as_py() for c in ("head", "ids", "of", "counts"))
                         q = len(head) // 16
                         asks, least = np.frombuffer(head[: q * 8], "<i8"), np.frombuffer(head[q * 8 :], "<f8")
                         terms = np.cumsum(_from_planes(ids, "<i8")), _from_planes(counts, "<u4").astype(np.float64), np.frombuffer(of, np.uint8).astype(np.int64)
